@@ -290,6 +290,8 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col
 
 def ids_array(packed: Column) -> Column:
     """Packed ids as an array of longs."""
+    digits = F.hex(packed)
+    byte = lambda i, k: F.substr(digits, i * 8 + 2 * k + 1, F.lit(2))
+    one = lambda i: F.conv(F.concat(*(byte(i, k) for k in (3, 2, 1, 0))), 16, 10).cast("long")
     at = F.sequence(F.lit(0), (F.length(packed) / 4).cast("int") - 1)
-    one = lambda i: F.conv(F.hex(F.reverse(F.substr(packed, i * 4 + 1, F.lit(4)))), 16, 10).cast("long")
     return F.when(F.length(packed) == 0, F.array().cast("array<long>")).otherwise(F.transform(at, one))
