@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from evidentia.llm.common import add_columns
 
 #: Entries of the memo of chunks and of that of pieces; full tables are emptied, results stay the same.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
