@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +20,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE_BYTES = 8 << 20
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context; they need not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_evidentia_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp()  # the driver serves the file from here until the session ends
+    atexit.register(shutil.rmtree, folder, True)
+    path = f"{folder}/evidentia.zip"
+    with zipfile.ZipFile(path, "w") as packed:
+        for file in sorted(top.rglob("*.py")):
+            packed.write(file, file.relative_to(top.parent))
+    sc.addPyFile(path)
+    sc._evidentia_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

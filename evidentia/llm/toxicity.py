@@ -5,7 +5,8 @@ them. For a word that such a channel may have made, the alternatives of each sig
 lattice, and Viterbi search finds the reading that a character language model likes best.
 The model counts character triples of every text of the corpus. The restored words are then
 scored: features (words and their beginnings) that mark toxic documents were learned from
-labelled documents, and independent marks combine as a noisy or.
+labelled documents; the log likelihood ratios of a document's distinct marked words add up,
+and a logistic curve fitted on the same labelled documents turns the sum into a probability.
 
 Learning reads the labels of the rows given to ``fit`` only; no score looks at a label, a
 language, a source or an id.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -39,7 +40,7 @@ MEMO = 300_000
 #: Lengths of word beginnings that are features, beside whole words.
 PREFIXES = range(3, 8)
 #: A feature must be this much likelier in toxic documents, and the likelihood ratio statistic this large.
-LIFT, SIGNIFICANT = 15.0, 24.0
+LIFT, SIGNIFICANT = 5.0, 24.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëíìîïñóòôöõøœúùûüýÿß"
 # What a sign may stand for.
@@ -177,11 +178,11 @@ class Reader:
 
 @dataclass
 class Model:
-    """What scoring needs; ``marks`` has the probability of toxic given a feature."""
+    """What scoring needs; ``marks`` has the log likelihood ratio of a feature, ``curve`` intercept and slope."""
 
     language: np.ndarray
     marks: dict[str, float] = field(default_factory=dict)
-    base: float = 0.0
+    curve: tuple[float, float] | None = None
 
 
 class Scorer:
@@ -199,11 +200,15 @@ class Scorer:
                 self.memo[word] = got
         return got
 
+    def evidence(self, text: str | None) -> float:
+        # an exact sum, so that equal texts get equal sums
+        return math.fsum(map(self.mark, self.reader.read(text))) if text else 0.0
+
     def score(self, text: str | None) -> float:
-        clean = 1 - self.model.base
-        for word in self.reader.read(text) if text else ():
-            clean *= 1 - self.mark(word)
-        return 1 - clean
+        if self.model.curve is None:
+            return 0.0
+        a, b = self.model.curve
+        return 1 / (1 + math.exp(-min(700.0, max(-700.0, a + b * self.evidence(text)))))
 
 
 def count_features(texts: DataFrame, language: np.ndarray, among: set[str] | None = None) -> DataFrame:
@@ -259,12 +264,34 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
     for f, k in t.items():
         often, seldom = k / toxic, (c.get(f, 0) + 0.5) / (clean + 1)
         if often >= LIFT * seldom and likelihood_ratio(k, toxic, c.get(f, 0), max(clean, 1)) >= SIGNIFICANT:
-            model.marks[f] = prior * often / (prior * often + (1 - prior) * seldom)
-    model.base = prior / 10
+            model.marks[f] = math.log(often / seldom)
+    pairs = evidence(texts, model).collect()
+    model.curve = logistic(np.array([r.evidence for r in pairs]), np.array([r.toxic for r in pairs], float), prior)
     return model
 
 
-def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
+def evidence(texts: DataFrame, model: Model) -> DataFrame:
+    """(evidence, toxic) of the bounded sample ``texts``."""
+    return score(texts.select("text", "toxic"), model, out_col="evidence", what=Scorer.evidence).select("evidence", "toxic")
+
+
+def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
+    """Intercept and slope by Newton steps with a slight ridge; rows are weighted to the true share of toxic ones."""
+    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+    rows, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        slope = rows.T @ (weight * (y - p)) - 0.01 * w
+        curve = (rows * (weight * p * (1 - p))[:, None]).T @ rows + 0.01 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        w = w + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(w[0]), float(w[1])
+
+
+def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", what: Callable[[Scorer, str | None], float] = Scorer.score) -> DataFrame:
     """``df`` with the probability that each text is toxic."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -272,7 +299,7 @@ def score(df: DataFrame, model: Model, text_col: str = "text", out_col: str = "s
         scorer = Scorer(shared.value)
 
         def fn(texts: pa.Array) -> list[pa.Array]:
-            return [pa.array([scorer.score(t) for t in texts.to_pylist()], pa.float64())]
+            return [pa.array([what(scorer, t) for t in texts.to_pylist()], pa.float64())]
 
         return fn
 
