@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, langid, pii, simhash, toxicity
+from evidentia.llm import ann, bpe, chat, langid, pii, simhash, toxicity, urls
 from evidentia.llm.common import held_out, read
 
 
@@ -37,6 +37,16 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+#: Given rules: host, path, verdict.
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of low quality are the bad ones to learn from."""
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("bad"))
+    return urls.judge(read(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     rows = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -64,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
+    "op4_urls": op4_urls,
     "op5_chat": op5_chat,
     "op6_langid": op6_langid,
     "op7_ann": op7_ann,
