@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, langid, pii, secrets, simhash, toxicity, urls
+from evidentia.llm import ann, bpe, chat, decontam, langid, pii, secrets, simhash, toxicity, urls
 from evidentia.llm.common import held_out, read
 
 
@@ -65,6 +65,10 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).select("doc_id", *secrets.digest(F.col("found")))
 
@@ -82,11 +86,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_chat": op5_chat,
     "op6_langid": op6_langid,
     "op7_ann": op7_ann,
+    "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op8_decontam": decontam.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
