@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -222,11 +222,27 @@ def links(distinct: DataFrame, radius: int = 4, fp_col: str = "fp") -> DataFrame
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
-    """One row per row of ``df``: its id, ``fp`` and ``component_id``, the smallest id that links reach."""
+    """One row per row of ``df``: its id, ``fp``, ``component`` (its smallest fingerprint) and ``component_id``, the smallest id that links reach."""
     rows = cut_lineage(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle).select("doc_id", "fp"))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     found = connected_components(links(distinct, radius))
     classes = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component_id")
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    named = classes.join(least, "component").select("fp", "component", "component_id")
+    return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
+    """The rows of ``df`` that stay if one document of each group of near-duplicates does: that of the smallest id.
+
+    Rows of equal id are one document, of which the first text in order stays. Of a group of
+    null ids alone, the row of the smallest fingerprint stays.
+    """
+    found = cut_lineage(near_duplicates(df, id_col, text_col, radius, shingle).withColumnRenamed(id_col, "id"))
+    keep = found.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
+    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
+    named = df.join(keep, id_col, "left_semi").withColumn("_place", first).filter("_place = 1").select(*df.columns)
+    lost = found.filter("id is null and component_id is null and fp = component").select(F.col("fp").alias("_fp")).distinct()
+    without = fingerprints(df.filter(F.col(id_col).isNull()), text_col, "_fp", shingle).join(lost, "_fp")
+    first = F.row_number().over(Window.partitionBy("_fp").orderBy(text_col))
+    return named.unionByName(without.withColumn("_place", first).filter("_place = 1").select(*df.columns))
