@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,12 +19,12 @@ NOTATION: Sequence[tuple[str, str]] = (
     (r"\\left|\\right", ""),
     (r"\\(?:mathrm|rm|text)\s*\{([^{}]*)\}", "$1"),
     (r"\{\\rm\s+([A-Za-z]+)\}", "{$1}"),
-    (r"G_\{?N\}?", "G"),
-    (r"\\ell_\{?[pP]l?\}?|l_\{?[pP]l?\}?", "l_P"),
-    (r"[mM]_\{?[pP]l?\}?", "M_P"),
+    (r"G_(?:N|\{N\})", "G"),
+    (r"\\?(?:ell|(?<![A-Za-z])l)_(?:[pP]l?|\{[pP]l?\})", "l_P"),
+    (r"(?<![A-Za-z])[mM]_(?:[pP]l?|\{[pP]l?\})", "M_P"),
     (r"\\Lambda(?:_\{[a-z]+\})?", "Lambda"),
     (r"\\hbar", "hbar"),
-    (r"\\gamma_\{?I(?:mmirzi)?\}?|\\beta_\{?I\}?", "gamma_I"),
+    (r"\\(?:gamma|beta)_(?:I|\{I(?:mmirzi)?\})", "gamma_I"),
     (r"\\alpha'", "alpha_prime"),
     (r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "(($1)/($2))"),
     (r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "(($1)/($2))"),
@@ -111,8 +112,6 @@ def parse_equations(text: str | None, context: int = 300) -> list[dict]:
 
 def equations(df: DataFrame, text: str, out: str = "equations", context: int = 300) -> DataFrame:
     """``df`` with the displayed equations of its comment-free bodies, by Arrow batches, as their places matter."""
-    import pandas as pd
-
     @F.pandas_udf(EQUATIONS)
     def parse(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: parse_equations(t, context))

@@ -10,6 +10,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Words that carry no content.
 STOP_WORDS = (
@@ -130,13 +131,13 @@ def balanced_json(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extract_json(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in texts:
         yield part.map(balanced_json)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters of two texts, by longest matching blocks."""
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])

@@ -38,21 +38,21 @@ def bridge_scores(tags: DataFrame, edges: DataFrame, node: str, tag: str, source
     return best.groupBy(F.col("_n").alias(node)).agg(F.sum("_w").alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, node: str, source: str = "src", target: str = "dst", alpha: float = 0.85, rounds: int = 20, cut_every: int = 5) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; rank of nodes without edges out is spread over all. Lineage is cut every few rounds."""
-    links = edges.select(F.col(source).alias("s"), F.col(target).alias("d")).distinct()
+def pagerank(nodes: DataFrame, edges: DataFrame, node: str, source: str = "src", target: str = "dst", alpha: float = 0.85, rounds: int = 20) -> DataFrame:
+    """(node, rank) after a fixed number of rounds; rank of nodes without edges out is spread over all. Each round reads the last one twice, so each is written."""
+    # Every round reads the edges, so they are worked out once.
+    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("d")).distinct())
     out = links.groupBy("s").agg(F.count("*").alias("out"))
     n = nodes.count()
     ranks = nodes.select(F.col(node).alias("v"), F.lit(1.0 / max(1, n)).alias("r"))
     ends = nodes.select(F.col(node).alias("v")).join(out, F.col("v") == F.col("s"), "left").select("v", "out")
-    for k in range(rounds):
+    for _ in range(rounds):
         now = ranks.join(ends, "v")
         lost = now.agg((F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)) / n).alias("lost"))
         sent = now.join(links, F.col("v") == F.col("s")).groupBy("d").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
         base = nodes.select(F.col(node).alias("v")).join(F.broadcast(lost))
         ranks = base.join(sent, F.col("v") == F.col("d"), "left").select("v", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost"))).alias("r"))
-        if k % cut_every == cut_every - 1:
-            ranks = cut_lineage(ranks)
+        ranks = cut_lineage(ranks)
     return ranks.select(F.col("v").alias(node), F.col("r").alias("rank"))
 
 

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from evidentia.plans import evidence, expressions, graphs, models, relational, symptoms, texts  # noqa: F401
+from evidentia.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "symptoms_all"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
