@@ -60,7 +60,7 @@ def include_once(main: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def settings(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a key=value file; comments and blank lines skipped, quotes around values dropped."""
+    """(key, value) of a key=value file; comments and blank lines skipped, quotes around values dropped. Spark skips files whose names begin with a dot, so it must have another name."""
     lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line <> '' and not startswith(line, '#') and contains(line, '=')")
     value = F.regexp_replace(F.trim(F.regexp_extract("line", r"^[^=]*=(.*)$", 1)), "^[\"']|[\"']$", "")
     return lines.select(F.trim(F.substring_index("line", "=", 1)).alias("key"), value.alias("value"))
