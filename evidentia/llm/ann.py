@@ -95,9 +95,16 @@ def unpack(row: dict, side: str) -> tuple[np.ndarray, ...]:
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    x, y = a / np.abs(a).max(1, keepdims=True), b / np.abs(b).max(1, keepdims=True)
-    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum(1)))
+    """Row by row, in double precision, components added in order; scaled first only where squares would overflow or vanish."""
+    dot = lambda x, y: np.add.accumulate(x * y, axis=1)[:, -1]
+    with np.errstate(all="ignore"):
+        size = np.sqrt(dot(a, a) * dot(b, b))
+        out = dot(a, b) / size
+    odd = ~(np.isfinite(size) & (size > 1e-140) & np.isfinite(out))
+    if odd.any():
+        x, y = (v[odd] / np.abs(v[odd]).max(1, keepdims=True) for v in (a, b))
+        out[odd] = dot(x, y) / np.sqrt(dot(x, x) * dot(y, y))
+    return out
 
 
 def tile(query: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...], k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,3 +186,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id",
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+#: DuckDB SQL for the query's rows, by brute force.
+ORACLE = """
+with v as (select vec_id, embedding::double[] as x from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda y: y is null or not isfinite(y))) = 0 and len(list_filter(embedding, lambda y: y <> 0)) > 0),
+s as (select q.vec_id as query_id, c.vec_id, max(list_cosine_similarity(q.x, c.x)) as score from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.x) = len(c.x) group by all),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+"""

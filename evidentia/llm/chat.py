@@ -163,3 +163,18 @@ def read_back(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return df.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+_SAID = "</s>[INST] ok [/INST]"
+_ESCAPES = "|".join(re.sub(r"([\\|\[\]])", r"\\\1", c) for c in (*CONTROL, "\\"))
+_LONGER = lambda c: f"length({c}) + len(regexp_extract_all({c}, '{_ESCAPES}'))"
+_ORDER = "order by turn nulls first, r nulls first, t nulls first"
+#: DuckDB SQL for the query's rows: each match of a control string or backslash makes a text one longer.
+ORACLE = f"""
+with a as (select conv_id, turn, role as r, text as t from conversations union all select -1, 0, 'user', '{_SAID}' union all select -1, 1, 'assistant', '{_SAID}'),
+c as (select *, coalesce(r, '') as role, coalesce(t, '') as text from a)
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' {_ORDER}) filter (role = 'assistant'), '')) as loss_sha256,
+  ({len("<s>")} + sum({len(ROLE + TEXT + END)} + {_LONGER("role")} + {_LONGER("text")}))::bigint as formatted_chars
+from c group by conv_id
+"""

@@ -93,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {
+    "op5_chat": chat.ORACLE,
+    "op7_ann": ann.ORACLE,
     "op8_decontam": decontam.ORACLE,
     "op9_secrets": secrets.ORACLE,
 }
