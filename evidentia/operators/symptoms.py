@@ -135,3 +135,21 @@ def random_drops(df: DataFrame, key: str, symptoms: str, seed: int, copies: int
     ranked = F.array_sort(F.transform(symptoms, lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col(key), F.col("copy"), i).alias("h"), i.alias("i"), x.alias("x"))))
     kept = F.array_sort(F.transform(F.slice(ranked, drop + 1, F.size(symptoms)), lambda r: F.struct(r["i"].alias("i"), r["x"].alias("x"))))
     return each.select(key, "copy", F.transform(kept, lambda r: r["x"]).alias(symptoms))
+
+
+# What to question for each kind of wrong premise; {subject} is the symptom's.
+SUGGESTIONS = {
+    "UNNECESSARY_ASSUMPTION": "Drop what {subject} takes for granted and see what remains.",
+    "MISIDENTIFIED_FUNDAMENTAL": "Derive {subject} from something else.",
+    "FALSE_DICHOTOMY": "Look for one thing behind both sides of {subject}.",
+    "WRONG_LEVEL_OF_DESCRIPTION": "Describe {subject} at another level.",
+    "INVERTED_CAUSATION": "Swap cause and effect in {subject}.",
+    "IMPLICIT_BACKGROUND": "Let the fixed background of {subject} change.",
+    "CONTINUITY_ASSUMPTION": "Make {subject} discrete, or continuous.",
+}
+
+
+def suggestions(df: DataFrame, error: str, subject: str, templates: dict[str, str] = SUGGESTIONS) -> DataFrame:
+    """``df`` with ``suggestion``, the template of the kind of error with the subject put in; null for unknown kinds."""
+    table = F.create_map(*(F.lit(x) for kv in templates.items() for x in kv))
+    return df.withColumn("suggestion", F.replace(F.try_element_at(table, F.col(error)), F.lit("{subject}"), F.col(subject)))

@@ -68,10 +68,17 @@ def cluster_summary(df: DataFrame, cluster: str, group: str, topic: str) -> Data
     return out.withColumn("cross", F.col("n_groups") >= 2).withColumn("universal", F.col("n_groups") >= F.greatest(F.lit(3.0), F.col("size") / 2))
 
 
-def nearest_profiles(now: DataFrame, history: DataFrame, key: str, other: str, features: str, k: int) -> DataFrame:
-    """For each current profile the ``k`` historical ones of largest cosine; ``history`` is a curated, bounded table."""
+def dealt(many: DataFrame, few: DataFrame, by: str, strips: int) -> DataFrame:
+    """Every row of ``many`` beside every row of ``few``: ``many`` is cut into strips by hash, ``few`` goes to each, and an equi-join brings them together."""
+    a = many.withColumn("_strip", F.pmod(F.xxhash64(by), F.lit(strips)).cast("int"))
+    b = few.withColumn("_strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
+    return a.join(b, "_strip").drop("_strip")
+
+
+def nearest_profiles(now: DataFrame, history: DataFrame, key: str, other: str, features: str, k: int, strips: int = 8) -> DataFrame:
+    """For each current profile the ``k`` historical ones of largest cosine; ``history`` is the smaller table."""
     h = history.select(other, F.col(features).alias("_h"))
-    met = now.select(key, features).join(F.broadcast(h)).withColumn("cosine", cosine(F.col(features), F.col("_h")))
+    met = dealt(now.select(key, features), h, key, strips).withColumn("cosine", cosine(F.col(features), F.col("_h")))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("cosine"), other))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, other, "cosine", "rank")
 
@@ -101,9 +108,9 @@ def forest_probabilities(train: DataFrame, test: DataFrame, key: str, features:
     return out.select(key, vector_to_array("probability").alias("probabilities"))
 
 
-def leave_one_out(df: DataFrame, key: str, features: str, label: str) -> DataFrame:
-    """(n, n_right): how often the most similar other record has the record's class. ``df`` is a curated, bounded table."""
+def leave_one_out(df: DataFrame, key: str, features: str, label: str, strips: int = 8) -> DataFrame:
+    """(n, n_right): how often the most similar other record has the record's class. Looks at all pairs, dealt in strips."""
     other = df.select(F.col(key).alias("_k"), F.col(features).alias("_f"), F.col(label).alias("_l"))
-    met = df.join(F.broadcast(other), F.col(key) != F.col("_k")).withColumn("_c", cosine(F.col(features), F.col("_f")))
+    met = dealt(df, other, key, strips).filter(F.col(key) != F.col("_k")).withColumn("_c", cosine(F.col(features), F.col("_f")))
     best = met.groupBy(key, label).agg(F.max_by("_l", F.struct(F.coalesce("_c", F.lit(-2.0)), -F.col("_k"))).alias("_l"))
     return best.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("_l")).alias("n_right"))

@@ -169,3 +169,13 @@ def random_drop_augment(spark: SparkSession, d: str) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"])
     records = table(spark, d, "orders").groupBy("o_custkey").agg(ordered.alias("symptoms"))
     return S.random_drops(records, "o_custkey", "symptoms", 7).withColumn("symptoms", F.array_join("symptoms", ","))
+
+
+_TEMPLATES = "[" + ", ".join(f"'{x}'" for x in S.SUGGESTIONS.values()) + "]"
+
+
+@query(f"select p_partkey, replace({_TEMPLATES}[p_partkey % 8 + 1], '{{subject}}', p_name) as suggestion from part")
+def suggestions(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, S.SUGGESTIONS))
+    part = table(spark, d, "part").withColumn("error", F.get(kinds, (F.col("p_partkey") % 8).cast("int")))
+    return S.suggestions(part, "error", "p_name").select("p_partkey", "suggestion")
