@@ -4,8 +4,9 @@ Four detectors (email, ip, card, phone) run on the text itself: the base spans.
 then adds spans. Transducers rewrite the text: homoglyphs become the ASCII characters they
 imitate, spelled digits become digits, and "at" and "dot" disguises become signs. Every
 piece that a transducer writes remembers the source characters it stands for, so a span of
-the rewritten text maps back to the source. Spans that touch no rewritten piece, or that
-overlap a base span of any kind, are dropped: base spans always stay.
+the rewritten text maps back to the source. Base spans always stay. Spans that touch no
+rewritten piece are dropped, and those that overlap a base span other than one of their kind
+that they extend.
 
 Defined results: a null text counts as empty, an empty text has no spans, texts of any
 length are taken whole, repeated rows get equal results, clashing columns are replaced, an
@@ -60,6 +61,13 @@ BARE_ADDRESS = re.compile(ADDRESS, re.I)
 BARE_SIGN = re.compile(r"\s+(at|dot)\s+|\s*(@)\s*", re.I)
 SPELLED_TOKEN = re.compile(rf"plus|dot|point|\.|{WORD}|[0-9]+", re.I)
 
+#: Characters without width, which vanish.
+WIDTHLESS = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
+# Letters among digits that look like one; a run needs eight true digits or more.
+MIXED = re.compile(r"[0-9][OoIl|]|[OoIl|][0-9]")
+MIXED_RUN = re.compile(r"(?<![A-Za-z0-9])[0-9OoIl|]+(?:[ .-][0-9OoIl|]+)*(?![A-Za-z0-9])")
+LOOKALIKES = str.maketrans("OoIl|", "00111")
+
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -126,7 +134,7 @@ class Rewritten:
         i, j = bisect_right(self.at, start) - 1, bisect_right(self.at, end - 1) - 1
         a = self.source[i] + (0 if self.made[i] else start - self.at[i])
         b = self.edits[self.source[j]] if self.made[j] else self.source[j] + end - self.at[j]
-        return a, b, any(self.made[i : j + 1])
+        return a, b, any(self.made[i : j + 1]) or b - a != end - start
 
 
 def latin(text: str) -> bool:
@@ -158,8 +166,19 @@ def transduce(text: str) -> list[tuple[int, int, str]]:
             for s in BARE_SIGN.finditer(text, *m.span()):
                 if not any(a < s.end() and s.start() < b for a, b in taken):
                     edits.append((*s.span(), sign(s[1] or s[2])))
-        edits.sort()
-    return edits
+    if MIXED.search(text):
+        for m in MIXED_RUN.finditer(text):
+            if sum(c.isdigit() for c in m[0]) >= 8:
+                edits += [(m.start() + k, m.start() + k + 1, c.translate(LOOKALIKES)) for k, c in enumerate(m[0]) if c in "OoIl|"]
+    if not text.isascii():
+        edits += [(*m.span(), "") for m in WIDTHLESS.finditer(text)]
+    edits.sort()
+    out, last = [], 0
+    for edit in edits:
+        if edit[0] >= last:
+            out.append(edit)
+            last = edit[1]
+    return out
 
 
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
@@ -173,7 +192,7 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
         got: list[tuple[int, int, int, bool]] = []
         for kind, start, end in detect(new.text):
             a, b, made = new.back(start, end)
-            if (made or plain[a:b] != text[a:b]) and not any(x < b and a < y for _, x, y in base) and not any(k == kind and x < b and a < y for k, x, y, _ in got):
+            if (made or plain[a:b] != text[a:b]) and not any(x < b and a < y and not (k == kind and a <= x and y <= b and (x, y) != (a, b)) for k, x, y in base) and not any(k == kind and x < b and a < y for k, x, y, _ in got):
                 got.append((kind, a, b, False))
         out = sorted(out + got)
     return out

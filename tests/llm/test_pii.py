@@ -51,6 +51,10 @@ def test_base_spans_equal_plain_expressions():
         ("host one nine two dot one six eight dot one dot one up", "ip", "one nine two dot one six eight dot one dot one"),
         ("call plus one five five five one two three four five six seven ok", "phone", "plus one five five five one two three four five six seven"),
         ("card ４５３９ １４８８ ０３４３ ６４６７.", "card", "４５３９ １４８８ ０３４３ ６４６７"),
+        ("mail jo\u200bhn@example.com ok", "email", "jo\u200bhn@example.com"),
+        ("card 4539 l488 O343 6467 end", "card", "4539 l488 O343 6467"),
+        ("ask j_d {AT} mail {DOT} example {DOT} org", "email", "j_d {AT} mail {DOT} example {DOT} org"),
+        ("call +1 five five five 123 4567 now", "phone", "+1 five five five 123 4567"),
         ("card four five three nine 1488 0343 6467 end", "card", "four five three nine 1488 0343 6467"),
     ],
 )
