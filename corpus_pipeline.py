@@ -47,7 +47,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as packed token ids, with whether decoding gives the text back."""
     ship(spark)
     ranks = bpe.load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    ids = bpe.encode(docs, ranks, tokenizers.PATTERN).withColumn("_sum", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text")
+    summed = docs.withColumn("_sum", F.sha2(F.coalesce("text", F.lit("")), 256))
+    ids = bpe.encode(summed, ranks, tokenizers.PATTERN, drop=["text"])
     out = bpe.decode(ids, ranks, out_col="_decoded")
     return out.select("doc_id", "lang", "source", "n_chars", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("_decoded", 256) == F.col("_sum")).alias("round_trip"))
 

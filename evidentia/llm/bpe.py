@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -91,9 +93,13 @@ class Pairs:
     """Rank of the pair of two ids, by open addressing in arrays, so that many are looked up at once."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        rows = [(ranks[t[:k]], ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        left, right, rank = np.array(rows, np.int64).reshape(-1, 3).T
-        self.bits = max(4, int(4 * len(rows)).bit_length())
+        rows = array("q")
+        for t, rank in ranks.items():
+            for k in range(1, len(t)):
+                if t[:k] in ranks and t[k:] in ranks:
+                    rows.extend((ranks[t[:k]], ranks[t[k:]], rank))
+        left, right, rank = np.frombuffer(rows, np.int64).reshape(-1, 3).T if rows else np.zeros((3, 0), np.int64)
+        self.bits = max(4, (2 * len(left)).bit_length())
         self.key = np.full(1 << self.bits, -1, np.int64)
         self.rank = np.full(1 << self.bits, -1, np.int64)
         key = left << 32 | right
@@ -254,10 +260,11 @@ class Decoder:
         return [out[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out_col: str = "ids", drop: Sequence[str] = ()) -> DataFrame:
     """``df`` with the ids of each text, as little-endian unsigned 32-bit integers in a binary column.
 
-    No special tokens: their strings in a text are ordinary text. ``ids_array`` unpacks the column.
+    No special tokens: their strings in a text are ordinary text. ``ids_array`` unpacks the
+    column. Columns in ``drop`` are not returned, so that texts need not come back.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
@@ -269,7 +276,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
 
         return fn
 
-    return add_columns(df, [text_col], [T.StructField(out_col, T.BinaryType())], make)
+    return add_columns(df, [text_col], [T.StructField(out_col, T.BinaryType())], make, drop)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

@@ -16,13 +16,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 #: Bytes of one slice of an Arrow batch; bounds what a Python operator holds beside its batch.
 SLICE_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per context; they need not have it installed."""
+    """Send this package to the executors, once per context; they need not have it installed.
+
+    Arrow batches of texts are limited to BATCH_ROWS rows where the session has Spark's default
+    of ten thousand, as a batch of long texts would be held by the JVM and by Python at once.
+    """
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_evidentia_shipped", False):
         return
     top = Path(__file__).resolve().parents[1]
@@ -54,13 +62,15 @@ def add_columns(
     inputs: Sequence[str],
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[..., Sequence[pa.Array]]],
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """``df`` with ``fields`` appended, computed batch by batch in Arrow.
 
     ``make`` runs once per task and returns a function from the input arrays to the
-    arrays of ``fields``. A column of ``df`` that has the name of a new field is replaced.
+    arrays of ``fields``. A column of ``df`` that has the name of a new field is replaced; those
+    in ``drop`` are not returned.
     """
-    new = {f.name for f in fields}
+    new = {f.name for f in fields} | set(drop)
     keep = [f for f in df.schema.fields if f.name not in new]
     schema = T.StructType([*keep, *fields])
     arrow = to_arrow_schema(schema)

@@ -16,7 +16,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = bpe.load_ranks(tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, ranks, tokenizers.PATTERN).select("doc_id", "ids")
+    ids = bpe.encode(docs, ranks, tokenizers.PATTERN, drop=["text"])
     return bpe.decode(ids, ranks).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
