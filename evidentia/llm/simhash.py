@@ -28,9 +28,9 @@ from evidentia.llm.common import add_columns, cut_lineage
 from evidentia.llm.components import connected_components
 
 #: Fingerprints of the sample that the shards' tree is built of, and wanted in a shard.
-SAMPLE, SHARD = 8192, 8192
+SAMPLE, SHARD = 8192, 24_576
 #: Visitors that meet a shard's fingerprints in one task; more are dealt to several.
-VISITORS = 65_536
+VISITORS = 200_000
 #: Fingerprints of a leaf within a shard.
 LEAF = 256
 
