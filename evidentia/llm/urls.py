@@ -22,6 +22,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.common import cut_lineage
+
 #: Share of the bad pages, and number of them, that a rule's tokens must occur in together.
 MIN_SUPPORT, MIN_PAGES = 0.01, 5
 #: Share of a rule's labelled pages that must be bad.
@@ -112,7 +114,8 @@ def judge(
     known = labels.filter("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
     mined = mine(rows.join(known, F.col(id_col) == F.col("id")).select("items", "bad"), **thresholds)
     sets = rows.select("key", "items").filter(F.size("items") > 0).distinct()
-    guilty = match(sets, mined).select("key").distinct().withColumn("mined", F.lit(True))
+    # Written, so that its size is known and a small one is sent to the pages rather than they to it.
+    guilty = cut_lineage(match(sets, mined).select("key").distinct()).withColumn("mined", F.lit(True))
     name, verdict = by_rules(rules, F.col("host"), F.col("path"))
     out = rows.join(guilty, "key", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
     method = F.when(F.col("mined"), "block").otherwise("allow")
