@@ -150,6 +150,13 @@ def sign(word: str) -> str:
     return {"at": "@", "dot": ".", "point": "."}.get(word.lower(), word)
 
 
+def bare(text: str, low: str) -> list[tuple[int, int, str]]:
+    """Edits of the bare signs of addresses, left to right; ``low`` is the text in lower case."""
+    if not ("dot" in low and DOT.search(low) or ENDING.search(low) and AT.search(low)):
+        return []
+    return [(*s.span(), sign(s[1] or s[2])) for m in BARE_ADDRESS.finditer(text) for s in BARE_SIGN.finditer(text, *m.span())]
+
+
 def transduce(text: str) -> list[tuple[int, int, str]]:
     """Edits (start, end, new) of spelled digits and of at and dot disguises, left to right."""
     edits = []
@@ -160,12 +167,8 @@ def transduce(text: str) -> list[tuple[int, int, str]]:
             continue
         new = "".join({"plus": "+"}.get(t.lower()) or DIGITS.get(t.lower()) or sign(t) for t in SPELLED_TOKEN.findall(m[0]))
         edits.append((*m.span(), new))
-    if "dot" in low and DOT.search(low) or ENDING.search(low) and AT.search(low):
-        taken = [(a, b) for a, b, _ in edits]
-        for m in BARE_ADDRESS.finditer(text):
-            for s in BARE_SIGN.finditer(text, *m.span()):
-                if not any(a < s.end() and s.start() < b for a, b in taken):
-                    edits.append((*s.span(), sign(s[1] or s[2])))
+    taken = [(a, b) for a, b, _ in edits]
+    edits += [e for e in bare(text, low) if not any(a < e[1] and e[0] < b for a, b in taken)]
     if MIXED.search(text):
         for m in MIXED_RUN.finditer(text):
             if sum(c.isdigit() for c in m[0]) >= 8:
@@ -188,12 +191,20 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     plain = text.translate(GLYPHS) if not latin(text) and GLYPH.search(text) else text
     edits = transduce(plain)
     if edits or plain is not text:
-        new = Rewritten(plain, edits)
+        layers = [Rewritten(plain, edits)]
+        # What was rewritten may complete an address whose other signs are bare.
+        if edits and (more := bare(layers[0].text, layers[0].text.lower())):
+            layers.append(Rewritten(layers[0].text, more))
         got: list[tuple[int, int, int, bool]] = []
-        for kind, start, end in detect(new.text):
-            a, b, made = new.back(start, end)
-            if (made or plain[a:b] != text[a:b]) and not any(x < b and a < y and not (k == kind and a <= x and y <= b and (x, y) != (a, b)) for k, x, y in base) and not any(k == kind and x < b and a < y for k, x, y, _ in got):
-                got.append((kind, a, b, False))
+        # The deepest reading first; the one before adds what that lost by joining neighbours.
+        for depth in range(len(layers), 0, -1):
+            for kind, start, end in detect(layers[depth - 1].text):
+                a, b, made = start, end, False
+                for layer in layers[depth - 1 :: -1]:
+                    a, b, here = layer.back(a, b)
+                    made |= here
+                if (made or plain[a:b] != text[a:b]) and not any(x < b and a < y and not (k == kind and a <= x and y <= b and (x, y) != (a, b)) for k, x, y in base) and not any(k == kind and x < b and a < y for k, x, y, _ in got):
+                    got.append((kind, a, b, False))
         out = sorted(out + got)
     return out
 

@@ -62,11 +62,33 @@ def test_disguises_map_back(text, kind, source):
     assert [(pii.KINDS[k], text[a:b]) for k, a, b, is_base in pii.spans(text) if not is_base] == [(kind, source)]
 
 
+@pytest.mark.parametrize(
+    "source",
+    [
+        "jane (at) example dot com",
+        "jane at example [dot] com",
+        "jane [dot] doe at example.com",
+        "jane dot doe (at) mail [.] example dot com",
+        "jane dot doe at mail dot example {dot} org",
+        "jаne (at) exаmple dot com",
+    ],
+)
+def test_mixed_disguises_map_back(source):
+    text = f"(mail) {source}, now"
+    assert [(pii.KINDS[k], text[a:b], is_base) for k, a, b, is_base in pii.spans(text)] == [("email", source, False)]
+    assert pii.masked(text) == "(mail) <email>, now"
+
+
 @pytest.mark.parametrize("text", ["", "look at one two things", "meet at the dot on one page", "one by one", "at dot at dot", "[at]", "x" * 100_000, "1" * 100_000, "a@" * 20_000, "+1" + "." * 50_000])
 def test_clean_text_gets_nothing(text):
     assert pii.spans(text) == []
 
 
+def test_second_reading_loses_nothing():
+    text = "{.}a@b.com dot one.coma@b.com.com"
+    assert (0, 0, 10, False) in pii.spans(text)
+
+
 def test_mask():
     assert pii.masked("a x@y.zz b 1.2.3.4 c") == "a <email> b <ip> c"
 
