@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from evidentia.functions import expressions as E
+from evidentia.operators.graphs import components, cut_lineage
 
 
 def leader_clusters(df: DataFrame, block: str, item: str, text: str, alike: Callable[[str, str], bool]) -> DataFrame:
@@ -35,30 +36,72 @@ def leader_clusters(df: DataFrame, block: str, item: str, text: str, alike: Call
     return df.select(block, item, text).groupBy(block).applyInPandas(run, f"{item} {kind}, leader {kind}")
 
 
-def density_clusters(df: DataFrame, block: str, item: str, vector: str, min_size: int = 3, min_samples: int = 2, cut: float = 1.0) -> DataFrame:
+def density_clusters(df: DataFrame, block: str, item: str, vector: str, min_size: int = 3, min_samples: int = 2, cut: float = 1.0, tile: int = 2048) -> DataFrame:
     """(item, cluster): single linkage on mutual reachability distances up to ``cut``; clusters below ``min_size`` are -1, others their smallest item.
 
     The distance of two items is at least each one's distance to its ``min_samples``-th
-    neighbour. Exact, for blocks small enough for one task.
+    neighbour. Exact. A block is cut into tiles of about ``tile`` items, and a task compares two
+    tiles: first for the nearest distances of each item, then for links, of which it keeps a
+    spanning forest. All pairs of a block are looked at, as the definition asks.
     """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(item)
-        x = np.stack(frame[vector].to_numpy()).astype(float)
-        far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
-        core = np.sort(far, 1)[:, min(min_samples, len(x) - 1)]
-        near = np.maximum(far, np.maximum(core[:, None], core[None])) <= cut
-        label = np.arange(len(x))
-        while True:
-            new = np.array([label[near[i] | (np.arange(len(x)) == i)].min() for i in range(len(x))])
-            if (new == label).all():
-                break
-            label = new
-        size = np.bincount(label, minlength=len(x))
-        ids = frame[item].to_numpy()
-        return pd.DataFrame({item: ids, "cluster": [int(ids[c]) if size[c] >= min_size else -1 for c in label]})
-
-    return df.select(block, item, vector).groupBy(block).applyInPandas(run, f"{item} {df.schema[item].dataType.simpleString()}, cluster long")
+    rows = cut_lineage(df.select(F.col(block).alias("_b"), item, F.col(vector).alias("_v")).withColumn("_id", F.monotonically_increasing_id()))
+    many = rows.groupBy(F.col("_b").alias("_same")).agg(F.ceil(F.count("*") / tile).alias("_k"))
+    placed = rows.join(many, F.col("_b").eqNullSafe(F.col("_same"))).select("_b", "_id", "_v", "_k", F.pmod(F.xxhash64("_id"), F.col("_k")).alias("_t"))
+
+    def met(side: DataFrame) -> GroupedData:
+        other = side.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1)))
+        return other.withColumn("_i", F.least("_t", "_o")).withColumn("_j", F.greatest("_t", "_o")).drop("_k", "_o").groupBy("_b", "_i", "_j")
+
+    def sides(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+        """Ids of two tiles, the distances between them, and whether they are one."""
+        i, j = frame["_i"].iloc[0], frame["_j"].iloc[0]
+        a, b = frame[frame["_t"] == i], frame[frame["_t"] == j]
+        if a.empty or b.empty:
+            return a["_id"].to_numpy(), b["_id"].to_numpy(), np.zeros((len(a), len(b))), i == j
+        x, y = (np.stack(t["_v"].to_numpy()).astype(float) for t in (a, b))
+        return a["_id"].to_numpy(), b["_id"].to_numpy(), np.stack([np.sqrt(((y - r) ** 2).sum(1)) for r in x]), i == j
+
+    def nearest(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, far, one = sides(frame)
+        out: list[tuple[int, list[float]]] = []
+        for ids, d in ((left, far),) if one else ((left, far), (right, far.T)):
+            if d.size:
+                few = min(min_samples + 1, d.shape[1])
+                out += zip(ids.tolist(), np.partition(d, few - 1, 1)[:, :few].tolist(), strict=True)
+        return pd.DataFrame(out, columns=["_id", "_near"])
+
+    def links(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right, far, _ = sides(frame)
+        found = [(left[r], right[c]) for r, c in forest(far <= cut) if left[r] != right[c]]
+        return pd.DataFrame(found, columns=["src", "dst"])
+
+    # The item itself is the first of its neighbours; with too few of them, the last one counts.
+    near = met(placed).applyInPandas(nearest, "_id long, _near array<double>").groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_near"))).alias("_near"))
+    dense = near.filter(F.get("_near", F.least(F.lit(min_samples), F.size("_near") - 1)) <= cut).select("_id")
+    joined = components(met(placed.join(dense, "_id")).applyInPandas(links, "src long, dst long"))
+    member = rows.select("_id", item).join(joined, F.col("_id") == F.col("node"), "left").select(item, F.coalesce("component", "_id").alias("_c"))
+    whole = member.groupBy("_c").agg(F.count("*").alias("_n"), F.min(item).cast("long").alias("_first")).filter(F.col("_n") >= min_size)
+    return member.join(whole, "_c", "left").select(item, F.coalesce("_first", F.lit(-1).cast("long")).alias("cluster"))
+
+
+def forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """(row, column) of links that connect what all links of the matrix ``close`` connect, at most one for each row and column."""
+    across = np.ascontiguousarray(close.T)
+    rows, columns = np.ones(len(close), bool), np.ones(len(across), bool)
+    out = []
+    for start in range(len(close)):
+        todo = [start] if rows[start] else []
+        rows[start] = False
+        while todo:
+            r = todo.pop()
+            for c in np.flatnonzero(close[r] & columns).tolist():
+                columns[c] = False
+                out.append((r, c))
+                more = np.flatnonzero(across[c] & rows).tolist()
+                rows[more] = False
+                out += [(q, c) for q in more]
+                todo += more
+    return out
 
 
 def duplicate_tiers(df: DataFrame, topic: str, item: str, expression: str, structural: float = 0.95, numerical: float = 0.99) -> DataFrame:

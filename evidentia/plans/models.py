@@ -68,9 +68,9 @@ def forest_profile_predict(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.leave_one_out(profiles(spark, d).filter("user_id < 60").withColumn("label", F.col("user_id") % 3), "user_id", "features", "label")
+    return vectors.leave_one_out(profiles(spark, d).withColumn("label", F.col("user_id") % 3), "user_id", "features", "label")
 
 
 @query()
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return clusters.density_clusters(table(spark, d, "embeddings").filter("vec_id < 500"), "label", "vec_id", "embedding", cut=1.3)
+    return clusters.density_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding", cut=1.3)

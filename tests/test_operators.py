@@ -1,6 +1,7 @@
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from evidentia.schema import DDL, empty
 from evidentia.sources import landed
 from evidentia.streaming.incremental import PhaseLog, stream_keep_first, windowed_counts
 
+from .conftest import SF
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
@@ -129,6 +132,46 @@ def test_clusters(spark):
     assert dict(rows(clusters.density_clusters(points, "b", "id", "v", cut=0.5))) == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: -1}
 
 
+def dense(points, cut, min_size=3, min_samples=2):
+    """Clusters of one block by brute force."""
+    ids, x = [i for i, _ in points], np.array([v for _, v in points])
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    core = np.sort(far, 1)[:, min(min_samples, len(x) - 1)]
+    near = np.maximum(far, np.maximum(core[:, None], core[None])) <= cut
+    out, left = [], set(range(len(x)))
+    while left:
+        group = todo = {left.pop()}
+        while todo:
+            todo = {j for i in todo for j in np.flatnonzero(near[i]).tolist()} & left
+            left -= todo
+            group = group | todo
+        out += [(ids[i], min(ids[j] for j in group) if len(group) >= min_size else -1) for i in group]
+    return out
+
+
+@pytest.mark.parametrize("tile", [5, 40, 2048])
+def test_density_clusters_by_tiles(spark, tile):
+    rng = np.random.default_rng(4)
+    # The two blocks share ids.
+    blocks = {b: [(i, v) for i, v in enumerate(rng.uniform(0, 1, (n, 2)).tolist())] for b, n in (("t", 90), (None, 60), ("u", 2), ("w", 1))}
+    df = spark.createDataFrame([(i, b, v) for b, points in blocks.items() for i, v in points], "id int, b string, v array<double>")
+    got = rows(clusters.density_clusters(df, "b", "id", "v", cut=0.09, tile=tile))
+    want = [r for points in blocks.values() for r in dense(points, 0.09)]
+    assert got == sorted(want, key=str)
+    assert len({c for _, c in want}) > 5 and (0, -1) in want
+
+
+def test_models_take_whole_tables(spark, tmp_path):
+    from evidentia.plans import models
+
+    rng = np.random.default_rng(5)
+    vectors_ = [(i, (rng.normal(0, 0.05, 4) + (i % 7)).tolist(), i % 2) for i in range(0, 1400, 10)]
+    spark.createDataFrame(vectors_, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert sorted(r.vec_id for r in models.density_clusters(spark, str(tmp_path)).collect()) == list(range(0, 1400, 10))
+    users = models.table(spark, SF, "events").select("user_id").distinct().count()
+    assert users > 60 and models.leave_one_out(spark, SF).first().n == users
+
+
 def test_symptoms(spark):
     claims = spark.createDataFrame([("a", "b", "agrees"), ("a", "c", "differs")], "a string, b string, kind string")
     conjectures = spark.createDataFrame([("t", "duality", "verified", ["a", "b"], True, None, True), ("u", "duality", "disproved", ["a", "b"], None, None, None), ("v", "mapping", "open", ["a"], None, None, None)], "title string, kind string, status string, groups array<string>, algebraic boolean, numerical boolean, dimensional boolean")
