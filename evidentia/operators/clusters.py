@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -104,6 +104,20 @@ def forest(close: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def unexpected_agreement(members: DataFrame, cluster: str, group: str, distant: Sequence[tuple[str, str]]) -> DataFrame:
+    """(cluster, group_a, group_b, significance): clusters that hold both groups of a pair named as distant. Cluster -1 and null are no clusters."""
+    held = members.filter(F.col(cluster) != -1).select(cluster, group).distinct()
+    pairs = F.broadcast(members.sparkSession.createDataFrame(list(distant), "group_a string, group_b string"))
+    first = held.join(pairs, F.col(group) == F.col("group_a")).select(cluster, "group_a", "group_b")
+    return first.join(held.select(cluster, F.col(group).alias("group_b")), [cluster, "group_b"]).select(cluster, "group_a", "group_b", F.lit(0.8).alias("significance"))
+
+
+def outliers(items: DataFrame, members: DataFrame, item: str, cluster: str, topic: str, ignore: str = "other") -> DataFrame:
+    """``items`` that are in no cluster, with their significance; those of the topic ``ignore`` are left out. Cluster -1 and null are no clusters."""
+    found = items.join(members.filter(F.col(cluster) != -1).select(item), item, "left_anti")
+    return found.filter(~F.col(topic).eqNullSafe(F.lit(ignore))).withColumn("significance", F.lit(0.5))
+
+
 def duplicate_tiers(df: DataFrame, topic: str, item: str, expression: str, structural: float = 0.95, numerical: float = 0.99) -> DataFrame:
     """(item, leader, tier) of items in clusters of two or more: exact text first, then structure, then values, each on what the tiers before left."""
     exact = df.join(df.groupBy(topic, expression).agg(F.min(item).alias("leader"), F.count("*").alias("_n")).filter("_n > 1"), [topic, expression]).select(item, "leader", F.lit("exact").alias("tier"))

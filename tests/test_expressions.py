@@ -56,6 +56,19 @@ def test_limits(text, at, want):
     assert E.limit_behaviour(text, "x", at) == want
 
 
+@pytest.mark.parametrize(("text", "want"), [("2", 2.0), ("Rational(3,2)", 1.5), ("-3*4", -12.0), ("2*x", None), ("sqrt(-1)", None), ("((", None), (None, None)])
+def test_leading_coefficient(text, want):
+    assert E.leading_coefficient(text) == want
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [(r"E = m c^2 = x", ("E", "m c^2 = x")), (r"a \equiv b", ("a", "b")), (r"S \sim A \approx B", ("S", r"A \approx B")), (r"x = y \quad \text{for } z = 1", ("x", "y")), (r"= b \approx c", ("= b", "c")), ("x", None), (None, None)],
+)
+def test_equality_sides(text, want):
+    assert E.equality_sides(text) == want
+
+
 def test_verification():
     assert E.verified("(x+1)**2", "x**2+2*x+1") is True and E.verified("x", "y") is None
     assert E.numerically_verified("x*x", "x**2") is True and E.numerically_verified("x", "x + 1") is False

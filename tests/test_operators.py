@@ -161,6 +161,12 @@ def test_density_clusters_by_tiles(spark, tile):
     assert len({c for _, c in want}) > 5 and (0, -1) in want
 
 
+def test_agreement_of_distant_groups_and_outliers(spark):
+    df = spark.createDataFrame([(1, 1, "a", "t"), (2, 1, "b", "t"), (3, 1, "b", "t"), (4, 2, "a", "t"), (5, 2, "c", "t"), (6, -1, "a", "t"), (7, -1, "b", "other"), (8, None, "b", None)], "id int, c int, g string, topic string")
+    assert rows(clusters.unexpected_agreement(df, "c", "g", [("b", "a"), ("b", "c")])) == [(1, "b", "a", 0.8)]
+    assert rows(clusters.outliers(df.select("id", "topic"), df, "id", "c", "topic")) == [(6, "t", 0.5), (8, None, 0.5)]
+
+
 def test_models_take_whole_tables(spark, tmp_path):
     from evidentia.plans import models
 
