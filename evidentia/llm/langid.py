@@ -6,7 +6,8 @@ closer language. Counts are normalised by the logarithm of each sample's size, a
 sample yields longer matches, and the language with the least normalised count wins, ties
 going to the name that sorts first.
 
-The automata are tables of transitions, and many stretches of text walk them in step: a text
+Every language with labelled text is learned. The automata are tables of transitions, or sorted
+lists where many languages or letters would make these large, and many stretches of text walk them in step: a text
 is cut into stretches of ``STRETCH`` characters, all of which count; a phrase ends with its
 stretch. Only letters are compared; each run of other characters is one blank.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +32,8 @@ from evidentia.llm.common import add_columns, held_out
 
 #: Characters of each language's sample, and rows it is drawn from at most, chosen by hash of the id.
 SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 400
-#: Languages learned at most, the most frequent ones; bounds the automata and what is broadcast.
-LANGUAGES = 128
+#: Cells of a table of all transitions; beyond it, lists of transitions are searched, of about 1 MB a language.
+DENSE_CELLS = 1 << 26
 #: Characters of a stretch, and of the stretches that walk in step.
 STRETCH, STEP = 512, 1 << 20
 OTHER = re.compile(r"[\W\d_]+")
@@ -43,7 +45,10 @@ def fold(text: str) -> str:
 
 
 class Automaton:
-    """Suffix automaton of codes 1 and up; ``table[state, code]`` is the next state, 0 where there is none. The root is state 1."""
+    """Suffix automaton of codes 1 and up; ``table[state, code]`` is the next state, 0 where there is none. The root is state 1.
+
+    ``keys`` has state * width + code of each transition, in order, and a last key above all; ``to`` has the next states.
+    """
 
     def __init__(self, codes: list[int], width: int) -> None:
         limit = 2 * len(codes) + 3
@@ -70,10 +75,20 @@ class Automaton:
                     link[q] = link[now] = copy
             last = now
         assert len(moves) <= limit
-        self.table = np.zeros((len(moves), width), np.int32)
-        for state, to in enumerate(moves):
-            for c, nxt in to.items():
-                self.table[state, c] = nxt
+        self.states, self.width = len(moves), width
+        self.keys = np.array([state * width + c for state, to in enumerate(moves) for c in sorted(to)] + [np.iinfo(np.int64).max], np.int64)
+        self.to = np.array([to[c] for to in moves for c in sorted(to)] + [0], np.int32)
+
+    @property
+    def table(self) -> np.ndarray:
+        out = np.zeros(self.states * self.width, np.int32)
+        out[self.keys[:-1]] = self.to[:-1]
+        return out.reshape(self.states, self.width)
+
+    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        key = state * self.width + codes
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], 0)
 
 
 class Parser:
@@ -88,10 +103,13 @@ class Parser:
         self.lookup = np.ones(max(map(ord, letters), default=0) + 2, np.int32)
         for c, k in self.code.items():
             self.lookup[ord(c)] = k
-        tables = [Automaton([self.code[c] for c in samples[n]], width).table for n in self.names]
-        # One table holds all automata; a state of 0 within each is "no way on".
-        self.starts = np.cumsum([0, *map(len, tables)])[:-1]
-        self.table = np.concatenate([np.where(t > 0, t + s, 0).astype(np.int32) for t, s in zip(tables, self.starts, strict=True)]) if tables else np.zeros((2, 2), np.int32)
+        self.automata = [Automaton([self.code[c] for c in samples[n]], width) for n in self.names]
+        sizes = [a.states for a in self.automata]
+        # One table holds all automata if it is not too large; a state of 0 within each is "no way on".
+        self.starts = np.cumsum([0, *sizes])[:-1]
+        self.table = None
+        if sum(sizes) * width <= DENSE_CELLS:
+            self.table = np.concatenate([np.where(t > 0, t + s, 0).astype(np.int32) for t, s in zip((a.table for a in self.automata), self.starts, strict=True)]) if sizes else np.zeros((2, 2), np.int32)
         self.weight = [math.log(max(2, len(samples[n]))) for n in self.names]
 
     def phrases(self, texts: list[str]) -> np.ndarray:
@@ -112,24 +130,30 @@ class Parser:
                 grid[: len(pieces[k]), column] = pieces[k]
             sizes = np.array([len(pieces[k]) for k in some])
             who = np.array([owner[k] for k in some])
-            for language, start in enumerate(self.starts):
-                np.add.at(out[:, language], who, self.walk(grid, sizes, int(start) + 1))
+            for language in range(len(self.names)):
+                np.add.at(out[:, language], who, self.walk(grid, sizes, *self.moves(language)))
         return out
 
-    def walk(self, grid: np.ndarray, sizes: np.ndarray, root: int) -> np.ndarray:
-        """Phrases of each column; columns are sorted by length, longest first."""
+    def moves(self, language: int) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], int]:
+        """What takes states and codes to the next states, and the root."""
+        if self.table is None:
+            return self.automata[language].step, 1
         flat, width = self.table.ravel(), self.table.shape[1]
+        return lambda state, codes: flat[state * width + codes], int(self.starts[language]) + 1
+
+    def walk(self, grid: np.ndarray, sizes: np.ndarray, move: Callable[[np.ndarray, np.ndarray], np.ndarray], root: int) -> np.ndarray:
+        """Phrases of each column; columns are sorted by length, longest first."""
         state = np.full(grid.shape[1], root, np.int64)
         count = np.zeros(grid.shape[1], np.int64)
         live = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")
         for step, codes in enumerate(grid):
             n = live[step]
             codes = codes[:n]
-            state[:n] = to = flat[state[:n] * width + codes]
+            state[:n] = to = move(state[:n], codes)
             stuck = np.flatnonzero(to == 0)
             if len(stuck):
                 # The phrase ends before this character, which begins the next one.
-                again = flat[root * width + codes[stuck]]
+                again = move(np.int64(root), codes[stuck])
                 count[stuck] += 1
                 state[stuck] = np.where(again > 0, again, root)
         return count + (sizes > 0)
@@ -155,7 +179,7 @@ def fit(df: DataFrame, train: Column | None = None, text_col: str = "text", lang
     """
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.filter(train if train is not None else F.lit(True)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("at"))
-    n = known.groupBy("lang").count().withColumnRenamed("count", "n").orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    n = known.groupBy("lang").count().withColumnRenamed("count", "n")
     thin = known.join(F.broadcast(n), "lang").filter(F.pmod("at", F.lit(1 << 30)) < F.lit(4.0 * SAMPLE_ROWS * (1 << 30)) / F.col("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
     # Whole texts, as few as reach the wanted size: sizes first, so that no more than those leave the executors.

@@ -45,6 +45,28 @@ def test_phrase_counts_equal_brute_force(monkeypatch):
                 assert count == greedy(text, samples[name])
 
 
+def test_lists_of_transitions_count_as_the_table_does(monkeypatch):
+    rng = random.Random(2)
+    samples = {x: langid.fold(" ".join(sentence(rng, x) for _ in range(10))) for x in WORDS} | {"none": ""}
+    texts = [langid.fold(sentence(rng, rng.choice(list(WORDS)), rng.randint(1, 200))) for _ in range(60)] + ["zzz", "a", "漢字 x"]
+    table = langid.Parser(samples)
+    monkeypatch.setattr(langid, "DENSE_CELLS", 0)
+    lists = langid.Parser(samples)
+    assert table.table is not None and lists.table is None
+    assert (table.phrases(texts) == lists.phrases(texts)).all()
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(8)
+    words = {f"l{k:03}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for k in range(140)}
+    # The last ones are the rarest.
+    rows = [(k * 10 + i, " ".join(rng.choice(words[x]) for _ in range(60)), x) for k, x in enumerate(words) for i in range(3 if k < 130 else 1)]
+    samples = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(samples) == set(words)
+    asked = spark.createDataFrame([(" ".join(rng.choice(words[x]) for _ in range(30)), x) for x in list(words)[120:]], "text string, lang string")
+    assert all(r.lang_pred == r.lang for r in langid.predict(asked, samples).collect())
+
+
 def test_automaton_accepts_substrings():
     text = "abcbcabbcab"
     table = langid.Automaton([ord(c) - 96 for c in text], 5).table
