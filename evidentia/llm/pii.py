@@ -9,14 +9,15 @@ rewritten piece are dropped, and those that overlap a base span other than one o
 that they extend.
 
 Defined results: a null text counts as empty, an empty text has no spans, texts of any
-length are taken whole, repeated rows get equal results, clashing columns are replaced, an
-empty table gives an empty table. Offsets are code points, ends exclusive.
+length are taken whole, in time about linear in their length, repeated rows get equal
+results, clashing columns are replaced, an empty table gives an empty table. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
 
+import operator
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,36 +31,54 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 
 # Letters of other scripts that look like ASCII ones.
 HOMOGLYPHS = {
-    "а": "a", "в": "b", "с": "c", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "у": "y", "ԝ": "w", "х": "x",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X",
     "α": "a", "ο": "o", "ρ": "p", "ν": "v", "υ": "u", "ι": "i", "κ": "k", "τ": "t", "χ": "x",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ı": "i", "ɡ": "g",
     "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "\u2007": " ", "\u2009": " ", "\u202f": " ",
 }
 # Full-width forms stand at a fixed distance from ASCII; other scripts' digits are ten in a row.
 GLYPHS = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFEE0 + c: chr(c) for c in range(0x21, 0x7F)} | {zero + d: str(d) for zero in (0x660, 0x6F0, 0x966, 0x1D7CE, 0x1D7D8, 0x1D7E2, 0x1D7EC, 0x1D7F6) for d in range(10)}
-# Digit words.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Digit words of English, Spanish, German and French.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+}
+# Words for signs.
+SIGNS = {"at": "@", "arroba": "@", "arobase": "@", "dot": ".", "punto": ".", "punkt": ".", "point": ".", "plus": "+", "más": "+"}
 
 # Endings that make an address in bare words credible.
-ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "ai", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "nl", "ch", "at", "be", "se", "no", "dk", "fi", "pl", "pt", "ru", "cn", "jp", "in", "br", "mx", "au", "nz")
+ENDINGS = ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "ai", "xyz", "tech", "cloud", "eu", "de", "fr", "es", "it", "uk", "us", "ca", "co", "nl", "ch", "at", "be", "se", "no", "dk", "fi", "pl", "pt", "ru", "cz", "gr", "hu", "ro", "ie", "cn", "jp", "kr", "in", "br", "mx", "ar", "cl", "au", "nz", "za")
 
 GLYPH = re.compile("[" + "".join(map(re.escape, map(chr, GLYPHS))) + "]")
-WORD = "(?:" + "|".join(DIGITS) + ")"
+WORD = "(?:" + "|".join(sorted(DIGITS, key=len, reverse=True)) + ")"
+AT_WORD, DOT_WORD = ("(?:" + "|".join(w for w, to in SIGNS.items() if to == sign) + ")" for sign in "@.")
+PLUS_WORD = "(?:plus|más)"
 #: Runs of digit words, also mixed with digits, dots and a plus.
-SPELLED = rf"(?<![^\W_])(?:plus[\s-]+)?{WORD}(?:(?:[\s,-]+|\s*[.]\s*|[\s-]+(?:dot|point)[\s-]+)(?:{WORD}|[0-9]+)(?![^\W_])){{3,}}"
-BRACKETED = r"\s*[\[({<]\s*(?P<sign>at|dot|@|\.)\s*[\])}>]\s*"
-ADDRESS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+|\.[A-Za-z0-9_%+-]+)*(?:\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*(?:\s+dot\s+|\.)(?:{'|'.join(ENDINGS)})(?![A-Za-z0-9-])"
+SPELLED = rf"(?<![^\W_])(?:{PLUS_WORD}[\s-]+)?{WORD}(?:(?:[\s,-]+|\s*[.]\s*|[\s-]+{DOT_WORD}[\s-]+)(?:{WORD}|[0-9]+)(?![^\W_])){{3,}}"
+#: A sign in brackets; blanks around it go too, but are no part of the pattern, which would read long runs of them again and again.
+BRACKETED = rf"[\[({{<]\s*(?P<sign>{AT_WORD}|{DOT_WORD}|@|\.)\s*[\])}}>]"
 DISGUISE = re.compile(rf"(?P<spelled>{SPELLED})|{BRACKETED}", re.I)
 # What a disguise cannot lack, in lower case and quick to look for: two digit words or a word and
 # digits, a bracketed sign, a bare "dot", or a bare "at" together with an ending.
-TWO_DIGITS = re.compile(rf"{WORD}(?:[\s,.-]|dot|point)+(?:{WORD}|[0-9])")
-BRACKETS = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]")
-DOT = re.compile(r"\sdot\s")
-AT = re.compile(r"\sat\s")
+TWO_DIGITS = re.compile(rf"{WORD}(?:[\s,.-]|{DOT_WORD})+(?:{WORD}|[0-9])")
+BRACKETS = re.compile(rf"[\[({{<]\s*(?:{AT_WORD}|{DOT_WORD}|@|\.)\s*[\])}}>]")
+DOT = re.compile(rf"\s{DOT_WORD}\s")
+AT = re.compile(rf"\s{AT_WORD}\s")
 ENDING = re.compile(rf"\.(?:{'|'.join(ENDINGS)})(?![a-z0-9-])")
-BARE_ADDRESS = re.compile(ADDRESS, re.I)
-BARE_SIGN = re.compile(r"\s+(at|dot)\s+|\s*(@)\s*", re.I)
-SPELLED_TOKEN = re.compile(rf"plus|dot|point|\.|{WORD}|[0-9]+", re.I)
+#: The sign of an address, bare or not, between its parts, which are then read to its left (in the reversed text) and right.
+BARE_AT = re.compile(rf"(?<=[A-Za-z0-9_%+-])(?:\s+{AT_WORD}\s+|\s*@\s*)(?=[A-Za-z0-9-])", re.I)
+_SAID = "|".join(w[::-1] for w, to in SIGNS.items() if to == ".")
+LOCAL_LEFT = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\s++(?:{_SAID})\s++|\.)[A-Za-z0-9_%+-]++)*+", re.I)
+DOMAIN_RIGHT = re.compile(rf"[A-Za-z0-9-]++(?:(?:\s++{DOT_WORD}\s++|\.)[A-Za-z0-9-]++)*+", re.I)
+BARE_DOT = re.compile(rf"\s+{DOT_WORD}\s+|\.", re.I)
+BARE_DOT_WORD = re.compile(rf"\s+{DOT_WORD}\s+", re.I)
+ENDS = frozenset(ENDINGS)
+SPELLED_TOKEN = re.compile(rf"{PLUS_WORD}|{DOT_WORD}|\.|{WORD}|[0-9]+", re.I)
+BLANK = frozenset(" \t\n\r\f\v\x1c\x1d\x1e\x1f\x85\xa0")
 
 #: Characters without width, which vanish.
 WIDTHLESS = re.compile("[\u00ad\u200b\u200c\u200d\u2060\ufeff]")
@@ -99,7 +118,7 @@ def detect(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the four detectors, leftmost and not overlapping within a kind."""
     out = [(0, a, b) for a, b in emails(text)] if "@" in text else []
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             out.append((1, *m.span()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 13:
@@ -147,28 +166,58 @@ def latin(text: str) -> bool:
 
 
 def sign(word: str) -> str:
-    return {"at": "@", "dot": ".", "point": "."}.get(word.lower(), word)
+    return SIGNS.get(word.lower(), word)
 
 
 def bare(text: str, low: str) -> list[tuple[int, int, str]]:
-    """Edits of the bare signs of addresses, left to right; ``low`` is the text in lower case."""
-    if not ("dot" in low and DOT.search(low) or ENDING.search(low) and AT.search(low)):
+    """Edits of the bare signs of addresses, left to right; ``low`` is the text in lower case.
+
+    Every sign reads outwards, as far as parts and dots go: a span between two signs is read
+    twice at most, whatever the text.
+    """
+    if not (DOT.search(low) or ENDING.search(low) and AT.search(low)):
         return []
-    return [(*s.span(), sign(s[1] or s[2])) for m in BARE_ADDRESS.finditer(text) for s in BARE_SIGN.finditer(text, *m.span())]
+    back = text[::-1]
+    out: list[tuple[int, int, str]] = []
+    last = 0
+    for m in BARE_AT.finditer(text):
+        local = LOCAL_LEFT.match(back, len(text) - m.start())
+        start = len(text) - local.end()
+        if start < last or (start and text[start - 1] in LOCAL_CHARS):
+            continue
+        found = DOMAIN_RIGHT.match(text, m.end())
+        dots = [(d.start(), d.end()) for d in BARE_DOT.finditer(text, m.end(), found.end())]
+        stops = [a for a, _ in dots[1:]] + [found.end()]
+        # The last part that is a known ending closes the address.
+        close = next((k for k in range(len(dots) - 1, -1, -1) if text[dots[k][1] : stops[k]].lower() in ENDS), None)
+        if close is None:
+            continue
+        out += [(*d.span(), ".") for d in BARE_DOT_WORD.finditer(text, start, m.start())]
+        if m[0] != "@":
+            out.append((*m.span(), "@"))
+        out += [(a, b, ".") for a, b in dots[: close + 1] if b - a > 1]
+        last = stops[close]
+    return out
 
 
 def transduce(text: str) -> list[tuple[int, int, str]]:
     """Edits (start, end, new) of spelled digits and of at and dot disguises, left to right."""
-    edits = []
-    low = text.lower()
+    edits: list[tuple[int, int, str]] = []
+    low, last = text.lower(), 0
     for m in DISGUISE.finditer(text) if BRACKETS.search(low) or TWO_DIGITS.search(low) else ():
+        start, end = m.span()
         if m["spelled"] is None:
-            edits.append((*m.span(), sign(m["sign"])))
-            continue
-        new = "".join({"plus": "+"}.get(t.lower()) or DIGITS.get(t.lower()) or sign(t) for t in SPELLED_TOKEN.findall(m[0]))
-        edits.append((*m.span(), new))
-    taken = [(a, b) for a, b, _ in edits]
-    edits += [e for e in bare(text, low) if not any(a < e[1] and e[0] < b for a, b in taken)]
+            while start > last and text[start - 1] in BLANK:
+                start -= 1
+            while end < len(text) and text[end] in BLANK:
+                end += 1
+            edits.append((start, end, sign(m["sign"])))
+        else:
+            edits.append((start, end, "".join(DIGITS.get(t.lower()) or sign(t) for t in SPELLED_TOKEN.findall(m[0]))))
+        last = end
+    edits = [e for e in edits if e[1] > e[0]]
+    starts, ends = [a for a, _, _ in edits], [b for _, b, _ in edits]
+    edits += [e for e in bare(text, low) if bisect_right(ends, e[0]) >= bisect_left(starts, e[1])]
     if MIXED.search(text):
         for m in MIXED_RUN.finditer(text):
             if sum(c.isdigit() for c in m[0]) >= 8:
@@ -184,6 +233,31 @@ def transduce(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class Taken:
+    """Spans that don't overlap, in order; what overlaps a span is found by search."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+
+    def met(self, start: int, end: int) -> tuple[int, int]:
+        """The range of the spans that overlap."""
+        return bisect_right(self.ends, start), bisect_left(self.starts, end)
+
+    def extends(self, start: int, end: int) -> bool:
+        """Whether a span overlaps none here, or only such as lie within it, itself excluded."""
+        i, j = self.met(start, end)
+        if i >= j:
+            return True
+        return start <= self.starts[i] and self.ends[j - 1] <= end and (self.starts[i], self.ends[i]) != (start, end)
+
+    def add(self, start: int, end: int) -> bool:
+        i, j = self.met(start, end)
+        if i < j:
+            return False
+        self.starts.insert(i, start), self.ends.insert(i, end)
+        return True
+
+
 def spans(text: str) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base), by kind, then start."""
     base = detect(text)
@@ -195,7 +269,8 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
         # What was rewritten may complete an address whose other signs are bare.
         if edits and (more := bare(layers[0].text, layers[0].text.lower())):
             layers.append(Rewritten(layers[0].text, more))
-        got: list[tuple[int, int, int, bool]] = []
+        fixed = [Taken([(a, b) for k, a, b in base if k == kind]) for kind in range(len(KINDS))]
+        got = [Taken([]) for _ in KINDS]
         # The deepest reading first; the one before adds what that lost by joining neighbours.
         for depth in range(len(layers), 0, -1):
             for kind, start, end in detect(layers[depth - 1].text):
@@ -203,9 +278,11 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
                 for layer in layers[depth - 1 :: -1]:
                     a, b, here = layer.back(a, b)
                     made |= here
-                if (made or plain[a:b] != text[a:b]) and not any(x < b and a < y and not (k == kind and a <= x and y <= b and (x, y) != (a, b)) for k, x, y in base) and not any(k == kind and x < b and a < y for k, x, y, _ in got):
-                    got.append((kind, a, b, False))
-        out = sorted(out + got)
+                if not made and plain[a:b] == text[a:b]:
+                    continue
+                if all(t.extends(a, b) if k == kind else operator.ge(*t.met(a, b)) for k, t in enumerate(fixed)) and got[kind].add(a, b):
+                    out.append((kind, a, b, False))
+        out.sort()
     return out
 
 

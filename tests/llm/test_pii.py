@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -84,6 +85,96 @@ def test_clean_text_gets_nothing(text):
     assert pii.spans(text) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("x " + "0" * 5000 + ".1.2.3 y", [("ip", 2, 5008)]),
+        ("1." + "9" * 5000 + ".2.3", []),
+        ("+1 " + "2" * 6000, []),
+        ("4" * 6000, []),
+    ],
+)
+def test_endless_numbers(text, want):
+    assert base(text) == want == brute_of_long(text)
+
+
+def brute_of_long(text):
+    return [("ip", m.start(), m.end()) for m in re.finditer(PLAIN["ip"], text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) < 256 for p in m[0].split("."))]
+
+
+MB = 1 << 20
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a (at) b" + " " * MB,
+        "a" + " " * MB + "(at) b",
+        " (at)" * (MB // 5),
+        "one" + " " * MB + "two",
+        "one two " * (MB // 8),
+        "plus " * (MB // 5),
+        "a dot " * (MB // 6) + "at b.com",
+        "x at y " * (MB // 7) + "z.com x dot y ",
+        "a.com at " * (MB // 9) + "b dot c ",
+        "a@b.co (at) c.com " * (MB // 18),
+        "a at b.com [dot] " * (MB // 17),
+        "a@" * (MB // 2),
+        "0" * (MB - 7) + ".1.2.3",
+        "1." * (MB // 2),
+        "1l" * (MB // 2),
+        "1 l " * (MB // 4),
+        "+1" + "." * MB,
+        "\u200b" * MB,
+        "а@b.com " * (MB // 8),
+        "+1 (555) 010-9999, four five three nine " * (MB // 40),
+    ],
+    ids=range(20),
+)
+def test_a_megabyte_takes_seconds(text):
+    start = time.process_time()
+    pii.spans(text)
+    assert time.process_time() - start < 6
+
+
+def spell(rng, digits, words, sep=" "):
+    return sep.join(rng.choice([words[int(d)], d]) if k else words[int(d)] for k, d in enumerate(digits))
+
+
+def test_planted_disguises_are_found():
+    """Recall of each kind over planted disguises in four languages' words."""
+    rng = random.Random(11)
+    said_in = ("zero one two three four five six seven eight nine", "cero uno dos tres cuatro cinco seis siete ocho nueve", "null eins zwei drei vier fünf sechs sieben acht neun", "zéro un deux trois quatre cinq six sept huit neuf")
+    words = [line.split() for line in said_in]
+    glyph = {}
+    for odd, plain in pii.HOMOGLYPHS.items():
+        glyph.setdefault(plain, odd)
+    missed = {k: 0 for k in pii.KINDS}
+    n = 300
+    for kind in pii.KINDS:
+        for _ in range(n):
+            if kind == "email":
+                local, host, end = ("".join(rng.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(3))
+                end = rng.choice(["com", "org", "net", "de", "fr", "es", "eu"])
+                at, dot = rng.choice([(" at ", " dot "), (" (at) ", " [dot] "), ("[at]", "(dot)"), (" arroba ", " punto "), (" at ", " punkt "), (" arobase ", " point "), ("{at}", "."), (" at ", ".")])
+                said = f"{local}{at}{host}{dot}{end}"
+                if rng.random() < 0.3:
+                    said = "".join(glyph.get(c, c) if rng.random() < 0.4 else c for c in f"{local}@{host}.{end}")
+                    said = said if not said.isascii() else "а" + said
+            elif kind == "ip":
+                said = rng.choice([" dot ", " punto ", " punkt ", " point ", " . "]).join(spell(rng, str(rng.randint(0, 255)), rng.choice(words)) for _ in range(4))
+            elif kind == "card":
+                digits = [rng.randint(0, 9) for _ in range(15)]
+                last = next(d for d in range(10) if pii.luhn("".join(map(str, [*digits, d]))))
+                said = spell(rng, "".join(map(str, [*digits, last])), rng.choice(words))
+            else:
+                said = rng.choice(["plus ", "más ", "+"]) + spell(rng, "".join(str(rng.randint(0, 9)) for _ in range(11)), rng.choice(words))
+                said = said if said[0] != "+" else "+" + "".join(rng.choice([d, chr(0xFF10 + int(d))]) for d in "1555012" + str(rng.randint(1000, 9999)))
+            text = f"Please note, {said}, as agreed."
+            missed[kind] += not any(k == pii.KINDS.index(kind) and text[a:b].strip() == said.strip() for k, a, b, _ in pii.spans(text))
+    assert all(m <= n * 0.05 for m in missed.values()), missed
+
+
 def test_second_reading_loses_nothing():
     text = "{.}a@b.com dot one.coma@b.com.com"
     assert (0, 0, 10, False) in pii.spans(text)
