@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import pytest
 
@@ -28,8 +29,9 @@ def test_parse_reads_back():
     rng = random.Random(2)
     for _ in range(400):
         turns = [(rng.choice(["user", "assistant", *NASTY[:12]]), rng.choice(NASTY[:15])) for _ in range(rng.randint(0, 6))]
-        output, spans, rewrites = chat.locate([(chat.escape(r), chat.escape(t)) for r, t in turns], chat.turns_template)
+        output, spans, texts, rewrites = chat.locate([(chat.escape(r), chat.escape(t)) for r, t in turns], chat.turns_template)
         assert not rewrites and chat.parse(output) == turns
+        assert [chat.unescape(output[a:b]) for a, b in texts] == [t for _, t in turns]
         assert [output[a:b] for a, b in spans] == [chat.turns_template([(chat.escape(r), chat.escape(t))])[3:] for r, t in turns]
 
 
@@ -38,10 +40,40 @@ def test_rewriting_templates_are_detected():
         return "".join(f"[{r}]{t if k == len(turns) - 1 else t.split('|')[-1]}" for k, (r, t) in enumerate(turns))
 
     turns = [("u", "hi"), ("a", "think|yes"), ("u", "more")]
-    output, spans, rewrites = chat.locate(turns, trims)
+    output, spans, texts, rewrites = chat.locate(turns, trims)
     assert rewrites and output == "[u]hi[a]yes[u]more"
     assert output[slice(*spans[0])] == "[u]hi" and output[spans[2][0] :].endswith("[u]more")
-    assert not chat.locate(turns[:2], trims)[2]
+    assert [output[a:b] for a, b in texts] == ["hi", "yes", "more"]
+    assert not chat.locate(turns[:2], trims)[3]
+
+
+@pytest.mark.parametrize("text", ["end", "d", "|", ">", "<", "", "assistant", "|>", "text", "<|end|>", "\ue000", "end" * 3000])
+@pytest.mark.parametrize("role", ["assistant", "", "end", "t"])
+def test_masks_lie_on_texts_not_on_controls(text, role):
+    turns = [("user", text), (role, text), ("user", text)]
+    safe = [(chat.escape(r), chat.escape(t)) for r, t in turns]
+    output, _, texts, _ = chat.locate(safe, chat.turns_template)
+    at = 3
+    for (r, t), span in zip(safe, texts, strict=True):
+        at += len(chat.ROLE) + len(r) + len(chat.TEXT)
+        assert span == (at, at + len(t))
+        at += len(t) + len(chat.END)
+    assert at == len(output)
+
+
+def test_texts_of_odd_templates():
+    turns = [("u", "aa"), ("a", "b")]
+    assert chat.locate(turns, lambda ts: "".join(f"{t}-{r};" for r, t in ts))[2] == [(0, 2), (5, 6)]
+    assert chat.locate(turns, lambda ts: "".join(f"{r};" for r, _ in ts))[2] == [(2, 2), (4, 4)]  # left out
+    assert chat.locate(turns, lambda ts: "".join(f"{t}{r}{t};" for r, t in ts))[2] == [(0, 5), (6, 9)]  # repeated
+    assert chat.locate(turns, lambda ts: f"{len(ts)}" + "".join(t for _, t in ts))[2:] == ([(1, 3), (3, 4)], True)
+
+
+def test_long_conversations():
+    turns = [("user", f"turn {k} " + "x" * 90) for k in range(2000)]
+    start = time.process_time()
+    output, _, texts, _ = chat.locate(turns, chat.turns_template)
+    assert [output[a:b] for a, b in texts] == [t for _, t in turns] and time.process_time() - start < 20
 
 
 @pytest.mark.parametrize("template", [chat.turns_template, lambda turns: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in turns)])
@@ -55,10 +87,14 @@ def test_loss_mask_of_any_template(spark, template):
 def test_query(spark, write_tables):
     rng = random.Random(3)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice([*NASTY, None])) for c in range(40) for t in range(rng.randint(1, 7))]
-    rows += [(7, 99, "assistant", "twice"), (7, 99, "assistant", "twice"), (None, 0, "assistant", "lost"), (8, None, "user", "first")]
+    rows += [(7, 99, "assistant", "twice"), (7, 99, "assistant", "twice"), (None, 0, "assistant", "lost"), (None, 0, "user", None), (8, None, "user", "first")]
     rng.shuffle(rows)
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
-    got = {r.conv_id: r for r in op5_chat(spark, write_tables(conversations=df)).collect()}
+    every = op5_chat(spark, write_tables(conversations=df)).collect()
+    got = {r.conv_id: r for r in every if r.conv_id is not None}
+    # Each row without an id is a conversation.
+    assert sorted((r.n_turns, r.turns_sha256, r.loss_chars) for r in every if r.conv_id is None) == sorted([(1, sha("assistant\nlost\n"), 4), (1, sha("user\n\n"), 0)])
+    rows = [r for r in rows if r[0] is not None]
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     assert set(got) == {r[0] for r in rows}
     for conv, r in got.items():
