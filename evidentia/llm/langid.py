@@ -7,20 +7,24 @@ sample yields longer matches, and the language with the least normalised count w
 going to the name that sorts first.
 
 Every language with labelled text is learned. The automata are tables of transitions, or sorted
-lists where many languages or letters would make these large, and many stretches of text walk them in step: a text
-is cut into stretches of ``STRETCH`` characters, all of which count; a phrase ends with its
-stretch. Only letters are compared; each run of other characters is one blank.
+lists where many languages or letters would make these large. Many stretches of text walk them in
+step, each as if a phrase began with it. Then the state that a stretch's predecessor ends in walks
+on into it until it meets the state of the first walk, from where on both are the same; where it
+does not meet it, the next stretch is walked anew. So the counts are those of the whole text,
+however long its phrases. Only letters are compared; each run of other characters is one blank.
 
 Defined results: ``und`` with score 0 if a text is null or has no letter, or if nothing was
 learned; rows with a null language or text teach nothing; repeated rows get equal results;
-clashing columns are replaced; an empty table gives an empty table.
+texts of any length are read whole, in linear time; clashing columns are replaced; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Callable
+import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +34,38 @@ from pyspark.sql import types as T
 
 from evidentia.llm.common import add_columns, held_out
 
-#: Characters of each language's sample, and rows it is drawn from at most, chosen by hash of the id.
-SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 400
+#: Characters of each language's sample, at least where there are so many, and rows it is drawn from at most, chosen by hash
+#: of the id. Rows are taken whole; of one longer than all of the sample should be, PIECES parts from all over it stand for it.
+SAMPLE_CHARS, SAMPLE_ROWS, PIECES = 40_000, 400, 40
 #: Cells of a table of all transitions; beyond it, lists of transitions are searched, of about 1 MB a language.
 DENSE_CELLS = 1 << 26
-#: Characters of a stretch, and of the stretches that walk in step.
-STRETCH, STEP = 512, 1 << 20
-OTHER = re.compile(r"[\W\d_]+")
+#: Characters of a stretch, and cells (characters by languages) of the stretches that walk in step at most.
+STRETCH, STEP = 512, 1 << 22
+#: Walks in step at least; fewer go one by one, which is faster then.
+ABREAST = 48
+# Numerals that are neither digits nor letters: what a pattern of word characters takes for letters. The planes beyond have none.
+NUMERALS = "".join(c for c in map(chr, range(0x20000)) if c.isalnum() and not c.isdigit() and unicodedata.category(c)[0] != "L")
+NUMERALS += "".join(c for c in map(chr, range(0x20000)) if c.isdigit() and not c.isdecimal())
+OTHER, NUMERAL = re.compile(r"[\W\d_]+"), re.compile(f"[{NUMERALS}]")
+ODD_NUMERALS = frozenset(NUMERALS)
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LETTER.finditer(text))
+
+
 def fold(text: str) -> str:
-    return OTHER.sub(" ", text.lower()).strip()
+    low = text.lower()
+    if not low.isascii() and not ODD_NUMERALS.isdisjoint(low):
+        low = NUMERAL.sub(" ", low)
+    return OTHER.sub(" ", low).strip()
 
 
 class Automaton:
-    """Suffix automaton of codes 1 and up; ``table[state, code]`` is the next state, 0 where there is none. The root is state 1.
+    """Suffix automaton of codes 1 and up. The root is state 1; no transition leads to state 0.
 
-    ``keys`` has state * width + code of each transition, in order, and a last key above all; ``to`` has the next states.
+    ``keys`` has state * width + code of each transition, in order; ``to`` has the next states.
     """
 
     def __init__(self, codes: list[int], width: int) -> None:
@@ -76,19 +94,8 @@ class Automaton:
             last = now
         assert len(moves) <= limit
         self.states, self.width = len(moves), width
-        self.keys = np.array([state * width + c for state, to in enumerate(moves) for c in sorted(to)] + [np.iinfo(np.int64).max], np.int64)
-        self.to = np.array([to[c] for to in moves for c in sorted(to)] + [0], np.int32)
-
-    @property
-    def table(self) -> np.ndarray:
-        out = np.zeros(self.states * self.width, np.int32)
-        out[self.keys[:-1]] = self.to[:-1]
-        return out.reshape(self.states, self.width)
-
-    def step(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        key = state * self.width + codes
-        at = np.searchsorted(self.keys, key)
-        return np.where(self.keys[at] == key, self.to[at], 0)
+        self.keys = np.array([state * width + c for state, to in enumerate(moves) for c in sorted(to)], np.int64)
+        self.to = np.array([to[c] for to in moves for c in sorted(to)], np.int64)
 
 
 class Parser:
@@ -97,69 +104,140 @@ class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
         letters = sorted(set().union(*samples.values()))
-        # Codes: 0 ends a stretch, 1 is a character that no sample has.
+        # Codes: 0 fills rows up, 1 is a character that no sample has.
         self.code = {c: k + 2 for k, c in enumerate(letters)}
         width = len(letters) + 2
         self.lookup = np.ones(max(map(ord, letters), default=0) + 2, np.int32)
         for c, k in self.code.items():
             self.lookup[ord(c)] = k
-        self.automata = [Automaton([self.code[c] for c in samples[n]], width) for n in self.names]
-        sizes = [a.states for a in self.automata]
-        # One table holds all automata if it is not too large; a state of 0 within each is "no way on".
-        self.starts = np.cumsum([0, *sizes])[:-1]
-        self.table = None
-        if sum(sizes) * width <= DENSE_CELLS:
-            self.table = np.concatenate([np.where(t > 0, t + s, 0).astype(np.int32) for t, s in zip((a.table for a in self.automata), self.starts, strict=True)]) if sizes else np.zeros((2, 2), np.int32)
+        automata = [Automaton([self.code[c] for c in samples[n]], width) for n in self.names]
+        # States are numbered through; 0 is "no way on".
+        starts = np.cumsum([0, *(a.states for a in automata)])[:-1]
+        self.width, self.roots = width, starts + 1
+        self.keys = np.concatenate([*(a.keys + s * width for a, s in zip(automata, starts, strict=True)), np.array([np.iinfo(np.int64).max])])
+        self.to = np.concatenate([*(a.to + s for a, s in zip(automata, starts, strict=True)), np.zeros(1, np.int64)])
+        self.flat = None
+        cells = sum(a.states for a in automata) * width
+        if cells <= DENSE_CELLS:
+            # One table holds all transitions if it is not too large.
+            self.flat = np.zeros(max(1, cells), np.int32)
+            self.flat[self.keys[:-1]] = self.to[:-1]
+        # Where a phrase that begins with a character leads: its state, or the root if the sample has no such character.
+        first = self.move(np.repeat(self.roots[:, None], width, 1), np.arange(width))
+        self.first = np.where(first > 0, first, self.roots[:, None])
         self.weight = [math.log(max(2, len(samples[n]))) for n in self.names]
 
+    def move(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The next states; 0 where there is no way on."""
+        key = state * self.width + codes
+        if self.flat is not None:
+            return self.flat[key]
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], 0)
+
+    def encoded(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        return self.lookup[np.minimum(points, len(self.lookup) - 1)]
+
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Counts, a row for each folded text and a column for each language."""
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        owner, pieces = [], []
-        for i, text in enumerate(texts):
-            points = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
-            codes = self.lookup[np.minimum(points, len(self.lookup) - 1)]
-            for at in range(0, len(codes), STRETCH):
-                owner.append(i), pieces.append(codes[at : at + STRETCH])
-        order = sorted(range(len(pieces)), key=lambda k: -len(pieces[k]))
-        most = max(1, STEP // STRETCH)
-        for at in range(0, len(order), most):
-            some = order[at : at + most]
-            grid = np.zeros((len(pieces[some[0]]), len(some)), np.int32)
-            for column, k in enumerate(some):
-                grid[: len(pieces[k]), column] = pieces[k]
-            sizes = np.array([len(pieces[k]) for k in some])
-            who = np.array([owner[k] for k in some])
-            for language in range(len(self.names)):
-                np.add.at(out[:, language], who, self.walk(grid, sizes, *self.moves(language)))
-        return out
-
-    def moves(self, language: int) -> tuple[Callable[[np.ndarray, np.ndarray], np.ndarray], int]:
-        """What takes states and codes to the next states, and the root."""
-        if self.table is None:
-            return self.automata[language].step, 1
-        flat, width = self.table.ravel(), self.table.shape[1]
-        return lambda state, codes: flat[state * width + codes], int(self.starts[language]) + 1
-
-    def walk(self, grid: np.ndarray, sizes: np.ndarray, move: Callable[[np.ndarray, np.ndarray], np.ndarray], root: int) -> np.ndarray:
-        """Phrases of each column; columns are sorted by length, longest first."""
-        state = np.full(grid.shape[1], root, np.int64)
-        count = np.zeros(grid.shape[1], np.int64)
-        live = np.searchsorted(-sizes, -np.arange(1, len(grid) + 1), side="right")
-        for step, codes in enumerate(grid):
-            n = live[step]
-            codes = codes[:n]
-            state[:n] = to = move(state[:n], codes)
-            stuck = np.flatnonzero(to == 0)
-            if len(stuck):
-                # The phrase ends before this character, which begins the next one.
-                again = move(np.int64(root), codes[stuck])
-                count[stuck] += 1
-                state[stuck] = np.where(again > 0, again, root)
-        return count + (sizes > 0)
+        pieces = [(i, at, codes[at : at + STRETCH]) for i, codes in enumerate(map(self.encoded, texts)) for at in range(0, len(codes), STRETCH)]
+        most = max(1, STEP // STRETCH // len(self.names))
+        ended = self.roots
+        for start in range(0, len(pieces), most):
+            some = pieces[start : start + most]
+            count, ended = self.walk([codes for _, _, codes in some], np.array([at > 0 for _, at, _ in some]), ended)
+            np.add.at(out, [i for i, _, _ in some], count.T)
+        return out + (np.array([len(t) for t in texts]) > 0)[:, None]
+
+    def walk(self, stretches: list[np.ndarray], goes_on: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ends of phrases in each language and stretch, and the states at the end of the last one.
+
+        ``goes_on`` tells which stretches continue the one before them, and ``before`` has the
+        states that the first one may continue.
+        """
+        sizes = np.array([len(x) for x in stretches])
+        order = np.argsort(-sizes, kind="stable")
+        column = np.argsort(order)
+        many, languages, longest = len(stretches), len(self.names), int(sizes.max())
+        grid = np.zeros((longest, many), np.int64)
+        for k, codes in enumerate(stretches):
+            grid[: len(codes), column[k]] = codes
+        state = np.repeat(self.roots[:, None], many, 1)
+        seen, stuck = np.zeros((longest, languages, many), np.int32), np.zeros((longest, languages, many), bool)
+        live = np.searchsorted(-sizes[order], -np.arange(1, longest + 1), side="right")
+        for step, n in enumerate(live.tolist()):
+            codes = grid[step, :n]
+            to = self.move(state[:, :n], codes)
+            off = to == 0
+            if off.any():
+                # A phrase ends before a character without a way on, and the character begins the next one.
+                row, at = np.nonzero(off)
+                to[row, at] = self.first[row, codes[at]]
+            state[:, :n] = seen[step, :, :n] = to
+            stuck[step, :, :n] = off
+        ends = np.cumsum(stuck, 0, np.int16)
+        count, last = ends[-1].astype(np.int64), state
+        # The walks that go on from the stretch before: (language, stretch, state).
+        todo = [(language, k, int(last[language, column[k - 1]] if k else before[language])) for k in np.flatnonzero(goes_on).tolist() for language in range(languages)]
+        while todo:
+            again = []
+            for (language, k, _), (n, met, end) in zip(todo, self.continued(todo, grid, sizes, column, seen), strict=True):
+                c = column[k]
+                count[language, c] = n + (ends[-1, language, c] - ends[met, language, c] if met >= 0 else 0)
+                if met < 0 and end != last[language, c]:
+                    last[language, c] = end
+                    if k + 1 < many and goes_on[k + 1]:
+                        again.append((language, k + 1, end))
+                elif met >= 0 and last[language, c] != seen[sizes[k] - 1, language, c]:
+                    last[language, c] = seen[sizes[k] - 1, language, c]
+                    if k + 1 < many and goes_on[k + 1]:
+                        again.append((language, k + 1, int(last[language, c])))
+            todo = again
+        return count[:, column], last[:, column[-1]]
+
+    def continued(self, todo: list[tuple[int, int, int]], grid: np.ndarray, sizes: np.ndarray, column: np.ndarray, seen: np.ndarray) -> list[tuple[int, int, int]]:
+        """Of each walk, ends of phrases until it meets the state seen, the step where it does (-1 if it does not), and its last state."""
+        if len(todo) < ABREAST:
+            return [self.alone(language, state, grid[: sizes[k], column[k]].tolist(), seen[:, language, column[k]].tolist()) for language, k, state in todo]
+        language, k, state = (np.array(x) for x in zip(*todo, strict=True))
+        c, size = column[k], sizes[k]
+        n, met, who = np.zeros(len(todo), np.int64), np.full(len(todo), -1), np.arange(len(todo))
+        for step in range(len(grid)):
+            who = who[size[who] > step]
+            if not len(who):
+                break
+            codes = grid[step, c[who]]
+            to = self.move(state[who], codes).astype(np.int64)
+            off = np.flatnonzero(to == 0)
+            to[off] = self.first[language[who[off]], codes[off]]
+            n[who[off]] += 1
+            state[who] = to
+            same = to == seen[step, language[who], c[who]]
+            met[who[same]] = step
+            who = who[~same]
+        return list(zip(n.tolist(), met.tolist(), state.tolist(), strict=True))
+
+    def alone(self, language: int, state: int, codes: list[int], seen: list[int]) -> tuple[int, int, int]:
+        """The same for one walk."""
+        n, first, width = 0, self.first[language], self.width
+        flat, keys, to = None if self.flat is None else memoryview(self.flat), memoryview(self.keys), memoryview(self.to)
+        for step, code in enumerate(codes):
+            key = state * width + code
+            if flat is not None:
+                state = flat[key]
+            else:
+                at = bisect_left(keys, key)
+                state = to[at] if keys[at] == key else 0
+            if not state:
+                n, state = n + 1, int(first[code])
+            if state == seen[step]:
+                return n, step, state
+        return n, -1, state
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         out = [("und", 0.0)] * len(texts)
         if self.names and known:
             counts = self.phrases([fold(texts[i]) for i in known]) * np.array(self.weight)
@@ -175,21 +253,24 @@ def fit(df: DataFrame, train: Column | None = None, text_col: str = "text", lang
     """Samples of folded text by language, from rows of ``df`` for which ``train`` holds.
 
     Each language's rows are counted, thinned by hash of the id to a few times SAMPLE_ROWS, and
-    the first of those in hash order kept; whole texts join until SAMPLE_CHARS are reached.
+    the first of those in hash order kept, those longer than SAMPLE_CHARS last; whole texts join
+    until SAMPLE_CHARS are reached.
     """
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.filter(train if train is not None else F.lit(True)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("at"))
     n = known.groupBy("lang").count().withColumnRenamed("count", "n")
     thin = known.join(F.broadcast(n), "lang").filter(F.pmod("at", F.lit(1 << 30)) < F.lit(4.0 * SAMPLE_ROWS * (1 << 30)) / F.col("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
+    size, part = F.length("text"), SAMPLE_CHARS // PIECES
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substr("text", (F.floor(k * (size - part) / (PIECES - 1)) + 1).cast("int"), F.lit(part)))
+    thin = thin.select("lang", "at", (size > SAMPLE_CHARS).alias("long"), F.when(size > SAMPLE_CHARS, F.array_join(spread, " ")).otherwise(F.col("text")).alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("long", "at", "text"))
     # Whole texts, as few as reach the wanted size: sizes first, so that no more than those leave the executors.
     sized = thin.withColumn("place", place).filter(F.col("place") <= SAMPLE_ROWS)
     before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = sized.withColumn("before", before).filter(F.col("before") < SAMPLE_CHARS).select("lang", "place", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
+    rows = sized.withColumn("before", before).filter(F.col("before") < SAMPLE_CHARS).select("lang", "place", "text").collect()
     out: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.lang, r.place)):
-        joined = (out.get(r.lang, "") + " " + fold(r.text)).strip()
-        out[r.lang] = joined[:SAMPLE_CHARS]
+        out[r.lang] = (out.get(r.lang, "") + " " + fold(r.text)).strip()
     return out
 
 

@@ -1,4 +1,7 @@
+import math
 import random
+import time
+import unicodedata
 import zlib
 
 import numpy as np
@@ -19,30 +22,82 @@ def sentence(rng, lang, n=12):
 
 
 def greedy(text, sample):
-    """Phrases by brute force, stretch by stretch."""
-    n = 0
-    for at in range(0, len(text), langid.STRETCH):
-        part, i = text[at : at + langid.STRETCH], 0
-        while i < len(part):
-            k = 1
-            while i + k <= len(part) and part[i : i + k] in sample:
-                k += 1
-            i += max(1, k - 1)
+    """Phrases by brute force over the whole text; a character that the sample lacks ends a phrase and is none."""
+    n, i = bool(text), 0
+    while i < len(text):
+        k = 1
+        while i + k <= len(text) and text[i : i + k] in sample:
+            k += 1
+        i += k - 1
+        if i < len(text) and text[i] not in sample:
             n += 1
-    return n
+            i += 1
+        elif i < len(text):
+            n += 1
+    return int(n)
 
 
-def test_phrase_counts_equal_brute_force(monkeypatch):
-    monkeypatch.setattr(langid, "STRETCH", 40)
-    rng = random.Random(1)
+def parser_cases(rng):
     samples = {x: langid.fold(" ".join(sentence(rng, x) for _ in range(10))) for x in WORDS}
-    texts = [langid.fold(sentence(rng, rng.choice(list(WORDS)), rng.randint(1, 40))) for _ in range(60)] + ["zzz", "a", "漢字 x"]
+    texts = [langid.fold(sentence(rng, rng.choice(list(WORDS)), rng.randint(1, 40))) for _ in range(60)] + ["zzz", "a", "漢字 x", "", samples["en"], samples["de"] * 9, "the house of " * 300]
+    return samples, texts
+
+
+@pytest.mark.parametrize(("stretch", "step"), [(512, 1 << 22), (7, 100), (40, 1 << 22), (1, 50), (40, 500)])
+@pytest.mark.parametrize("abreast", [0, 5, 1000])
+@pytest.mark.parametrize("cells", [0, 1 << 26])
+def test_phrase_counts_equal_brute_force(monkeypatch, stretch, step, abreast, cells):
+    monkeypatch.setattr(langid, "STRETCH", stretch)
+    monkeypatch.setattr(langid, "STEP", step)
+    monkeypatch.setattr(langid, "ABREAST", abreast)
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+    samples, texts = parser_cases(random.Random(1))
     got = langid.Parser(samples).phrases(texts)
-    # a character that ends a phrase by being unknown is a phrase of its own only in brute force
-    for row, text in zip(got, texts, strict=True):
-        for count, name in zip(row, sorted(samples), strict=True):
-            if all(c in samples[name] for c in text):
-                assert count == greedy(text, samples[name])
+    assert got.tolist() == [[greedy(t, samples[n]) for n in sorted(samples)] for t in texts]
+
+
+def test_a_phrase_may_be_longer_than_any_block(monkeypatch):
+    rng = random.Random(3)
+    sample = langid.fold(" ".join(sentence(rng, "en") for _ in range(60)))
+    monkeypatch.setattr(langid, "STEP", 700)
+    assert len(sample) > 3000 and langid.Parser({"en": sample}).phrases([sample[7:2900], sample]).tolist() == [[1], [1]]
+
+
+def test_predictions_equal_brute_force():
+    samples, texts = parser_cases(random.Random(5))
+    names = sorted(samples)
+    for text, (lang, score) in zip(texts, langid.Parser(samples).predict(texts), strict=True):
+        if not any(c.isalpha() for c in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        cost = [greedy(text, samples[n]) * math.log(len(samples[n])) for n in names]
+        assert lang == names[cost.index(min(cost))]
+        assert abs(score - 1 / sum(math.exp(-8 * (c / min(cost) - 1)) for c in cost)) < 1e-9
+
+
+def test_letters_are_those_of_unicode():
+    for c in map(chr, range(0x20000)):
+        if not 0xD800 <= ord(c) < 0xE000:
+            assert langid.has_letter(c) == (unicodedata.category(c)[0] == "L"), hex(ord(c))
+            if unicodedata.category(c)[0] != "L":
+                assert not any(x.isalpha() and x not in c.lower() for x in langid.fold(c)) and (langid.fold(c) == "" or c.lower() != c)
+    assert langid.fold("½a²b Ⅷ c٣") == "a b c"
+
+
+def test_a_megabyte_is_read_whole(monkeypatch):
+    rng = random.Random(6)
+    samples, _ = parser_cases(rng)
+    text = langid.fold("the house of never morning " * 40_000)
+    start = time.process_time()
+    got = langid.Parser(samples).phrases([text, "a"])
+    assert time.process_time() - start < 10 and got[0, 1] > 1000
+
+
+def test_long_rows_teach_by_parts(spark):
+    rows = [(1, "aa bb " * 50_000, "x"), (2, "cc dd " * 100, "y"), (3, "ee ff " * 50_000, "y")]
+    samples = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert langid.SAMPLE_CHARS * 0.9 < len(samples["x"]) < langid.SAMPLE_CHARS * 1.1
+    assert samples["y"].startswith("cc dd") and "ee ff" in samples["y"]
 
 
 def test_lists_of_transitions_count_as_the_table_does(monkeypatch):
@@ -52,7 +107,7 @@ def test_lists_of_transitions_count_as_the_table_does(monkeypatch):
     table = langid.Parser(samples)
     monkeypatch.setattr(langid, "DENSE_CELLS", 0)
     lists = langid.Parser(samples)
-    assert table.table is not None and lists.table is None
+    assert table.flat is not None and lists.flat is None
     assert (table.phrases(texts) == lists.phrases(texts)).all()
 
 
@@ -69,12 +124,13 @@ def test_every_language_is_learned(spark):
 
 def test_automaton_accepts_substrings():
     text = "abcbcabbcab"
-    table = langid.Automaton([ord(c) - 96 for c in text], 5).table
+    automaton = langid.Automaton([ord(c) - 96 for c in text], 5)
+    table = dict(zip(automaton.keys.tolist(), automaton.to.tolist(), strict=True))
 
     def accepts(s):
         state = 1
         for c in s:
-            state = table[state, ord(c) - 96]
+            state = table.get(state * 5 + ord(c) - 96)
             if not state:
                 return False
         return True
@@ -85,7 +141,7 @@ def test_automaton_accepts_substrings():
     assert all(accepts(s) == (s in every) for s in ("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(400)))
 
 
-@pytest.mark.parametrize("text", [None, "", "12 34", "!?", "_"])
+@pytest.mark.parametrize("text", [None, "", "12 34", "!?", "_", "½", "²³", "Ⅷ", "¼ ٣ 12"])
 def test_undetermined(text):
     assert langid.Parser({"en": "the cat"}).predict([text]) == [("und", 0.0)]
 
