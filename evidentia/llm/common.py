@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -94,17 +95,63 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened where ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; the warehouse only where ``spark.checkpoint.dir`` is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, as in tests, the warehouse of a session that is one process."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir")
+
 
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; it goes when the session ends.
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again; it goes when the session ends."""
+    The table of ``instead_of``, an earlier result that nothing else reads any more, is deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/evidentia/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files = lambda p: (where := jvm.org.apache.hadoop.fs.Path(p), where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    where, system = files(path)
+    system.deleteOnExit(where)
+    if instead_of is not None and hasattr(instead_of, "_evidentia_path"):
+        where, system = files(instead_of._evidentia_path)
+        system.delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._evidentia_path = path
+    return out
+
+
+#: Keys that are broadcast at most, as each has more than this share of the rows; and rows of a key that no task minds.
+FREQUENT, FEW = 10_000, 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, without a task that gathers a frequent key.
+
+    ``right`` has one row for each key of ``left``, and how many rows of ``left`` have it in ``n``,
+    which is dropped. Both are read more than once and should be written tables. Keys with more
+    than one in FREQUENT of all rows (so fewer keys than that) are broadcast, the others shuffled.
+    """
+    total, most = right.agg(F.sum(n), F.max(n)).first()
+    bound = max(FEW, (total or 0) // FREQUENT)
+    if (most or 0) <= bound:
+        return left.join(right.drop(n), key)
+    hot, rest = right.filter(F.col(n) > bound).drop(n), right.filter(F.col(n) <= bound).drop(n)
+    seldom = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return left.join(F.broadcast(hot), key).unionByName(seldom)

@@ -3,13 +3,16 @@
 A fingerprint per document; equal ones fall together first, so copies cost nothing more. A
 tree over a bounded sample of fingerprints splits Hamming space into shards by distance to
 vantage points. Each fingerprint lives in one shard and visits every later shard that the
-triangle bound cannot exclude, so each linked pair meets in one shard. Within a shard a
-second tree prunes branches by the same bound. A shard returns a spanning forest of its
-links, never all pairs, and stars over these edges give the components.
+triangle bound cannot exclude, so each linked pair meets in one shard. Fingerprints travel
+packed, many to a row. Within a shard a second tree prunes branches by the same bound. A shard
+returns a spanning forest of its links, never all pairs, and stars over these edges give the
+components. No join gathers the rows of a frequent fingerprint or of a large component.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and
-links like any other; a null id keeps its row and never names a component (the component of
-null ids alone is null); repeated rows each keep their row; an empty table gives an empty one.
+links like any other; texts of any length are read whole, in linear time; a null id keeps its
+row and never names a component (the component of null ids alone is null); repeated rows each
+keep their row; columns named like those made here do not disturb; an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -24,13 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import add_columns, cut_lineage
+from evidentia.llm.common import add_columns, cut_lineage, fresh, join_counted
 from evidentia.llm.components import connected_components
 
-#: Fingerprints of the sample that the shards' tree is built of, and wanted in a shard.
-SAMPLE, SHARD = 8192, 24_576
+#: Fingerprints wanted in a shard, and of the sample that the shards' tree is built of: so many for each shard, at least, at most.
+SHARD, SAMPLE = 8192, (16, 8192, 1 << 20)
 #: Visitors that meet a shard's fingerprints in one task; more are dealt to several.
-VISITORS = 200_000
+VISITORS = 65_536
+#: Fingerprints that a task holds before it packs them by shard.
+PACK = 1 << 16
 #: Fingerprints of a leaf within a shard.
 LEAF = 256
 
@@ -191,45 +196,67 @@ def links(distinct: DataFrame, radius: int = 4, fp_col: str = "fp") -> DataFrame
     ``distinct`` has each fingerprint once, as a long.
     """
     spark = distinct.sparkSession
-    few = distinct.select(fp_col).orderBy(F.xxhash64(fp_col), fp_col).limit(SAMPLE).collect()
-    n = distinct.count() if len(few) == SAMPLE else len(few)
-    shards = Shards(np.array([r[0] for r in few], np.int64).view(np.uint64), max(1, -(-n // SHARD)))
+    n = distinct.count()
+    wanted = max(1, -(-n // SHARD))
+    each, least, most = SAMPLE
+    share = min(1.0, min(most, max(least, each * wanted)) / max(1, n))
+    few = distinct.filter(F.pmod(F.xxhash64(fp_col), F.lit(1 << 30)) < share * (1 << 30)).select(fp_col).collect()
+    sample = np.sort(np.array([r[0] for r in few], np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xF1DE83E19937733D)
+    shards = Shards(sample, wanted)
     # Of the fingerprints, this share of the sample visits a shard at most.
-    sample = np.array([r[0] for r in few], np.int64).view(np.uint64)
-    visits = np.bincount(shards.place(sample, radius)[1], minlength=1).max() / max(1, len(sample))
+    some = sample[: SAMPLE[1]]
+    visits = np.bincount(shards.place(some, radius)[1], minlength=1).max() / max(1, len(some))
     deals = max(1, round(n * visits / VISITORS))
     tree = spark.sparkContext.broadcast(shards)
 
+    def packed(points: np.ndarray) -> pa.RecordBatch:
+        """A row for each shard, deal and kind with the fingerprints' bytes; those at home go to every deal, visitors to one."""
+        who, shard, home = tree.value.place(points, radius)
+        deal = (points[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % deals
+        deal[home] = 0
+        key = (shard * deals + deal) * 2 + home
+        order = np.argsort(key, kind="stable")
+        key, values = key[order], points[who[order]]
+        cuts = np.flatnonzero(np.diff(key, prepend=-1))
+        rows = []
+        for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
+            k, blob = int(key[a]), values[a:b].astype("<u8").tobytes()
+            rows += [(k // 2 // deals, d, blob, k % 2 == 1) for d in (range(deals) if k % 2 else [k // 2 % deals])]
+        cols = zip(*rows, strict=True) if rows else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.bool_()), strict=True)], names=["shard", "deal", "fps", "home"])
+
     def place(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for frame in frames:
-            points = frame.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for at in range(0, len(points), 1 << 16):
-                part = points[at : at + (1 << 16)]
-                who, shard, home = tree.value.place(part, radius)
-                # Those at home go to every deal, visitors to one.
-                deal = (part[who] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % deals
-                who, shard, home, deal = (np.concatenate([x[~home], np.repeat(x[home], deals)]) for x in (who, shard, home, deal))
-                deal[home] = np.arange(int(home.sum())) % deals
-                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), pa.array(deal), pa.array(part[who].view(np.int64)), pa.array(home)], names=["shard", "deal", "fp", "home"])
+            held.append(frame.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+            size += len(held[-1])
+            if size >= PACK:
+                yield packed(np.concatenate(held))
+                held, size = [], 0
+        if size:
+            yield packed(np.concatenate(held))
 
     def within(frame: pd.DataFrame) -> pd.DataFrame:
-        points, home = frame["fp"].to_numpy(np.int64).view(np.uint64), frame["home"].to_numpy(bool)
-        a, b = local_links(points[home], points[~home], radius)
+        home = frame["home"].to_numpy(bool)
+        members, visitors = (np.frombuffer(b"".join(frame["fps"][at]), "<u8").astype(np.uint64) for at in (home, ~home))
+        a, b = local_links(members, visitors, radius)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    placed = distinct.select(F.col(fp_col).cast("long")).mapInArrow(place, "shard long, deal long, fp long, home boolean")
-    return placed.groupBy("shard", "deal").applyInPandas(within, "a long, b long")
+    placed = distinct.select(F.col(fp_col).cast("long")).mapInArrow(place, "shard long, deal long, fps binary, home boolean")
+    # The work is no matter of bytes, so the number of tasks is given: two for each group, as hashing spreads them unevenly.
+    tasks = min(100_000, max(2 * shards.leaves * deals, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return placed.repartition(tasks, "shard", "deal").groupBy("shard", "deal").applyInPandas(within, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
     """One row per row of ``df``: its id, ``fp``, ``component`` (its smallest fingerprint) and ``component_id``, the smallest id that links reach."""
     rows = cut_lineage(fingerprints(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle=shingle).select("doc_id", "fp"))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = cut_lineage(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     found = connected_components(links(distinct, radius))
-    classes = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    least = classes.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = classes.join(least, "component").select("fp", "component", "component_id")
-    return rows.join(named, "fp").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
+    classes = cut_lineage(distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first", "n", F.coalesce("component", "fp").alias("component")))
+    least = cut_lineage(classes.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("size")))
+    named = cut_lineage(join_counted(classes, least, "component", "size").select("fp", "n", "component", "component_id"))
+    return join_counted(rows, named, "fp", "n").select(F.col("doc_id").alias(id_col), "fp", "component", "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, shingle: int = 4) -> DataFrame:
@@ -238,11 +265,12 @@ def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     Rows of equal id are one document, of which the first text in order stays. Of a group of
     null ids alone, the row of the smallest fingerprint stays.
     """
+    place, fp = fresh(df, "place", "fp")
     found = cut_lineage(near_duplicates(df, id_col, text_col, radius, shingle).withColumnRenamed(id_col, "id"))
     keep = found.filter("id = component_id").select(F.col("id").alias(id_col)).distinct()
     first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = df.join(keep, id_col, "left_semi").withColumn("_place", first).filter("_place = 1").select(*df.columns)
-    lost = found.filter("id is null and component_id is null and fp = component").select(F.col("fp").alias("_fp")).distinct()
-    without = fingerprints(df.filter(F.col(id_col).isNull()), text_col, "_fp", shingle).join(lost, "_fp")
-    first = F.row_number().over(Window.partitionBy("_fp").orderBy(text_col))
-    return named.unionByName(without.withColumn("_place", first).filter("_place = 1").select(*df.columns))
+    named = df.join(keep, id_col, "left_semi").withColumn(place, first).filter(F.col(place) == 1).select(*df.columns)
+    lost = found.filter("id is null and component_id is null and fp = component").select(F.col("fp").alias(fp)).distinct()
+    without = fingerprints(df.filter(F.col(id_col).isNull()), text_col, fp, shingle).join(lost, fp)
+    first = F.row_number().over(Window.partitionBy(fp).orderBy(text_col))
+    return named.unionByName(without.withColumn(place, first).filter(F.col(place) == 1).select(*df.columns))

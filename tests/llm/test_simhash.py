@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from evidentia.llm import simhash
+from evidentia.llm import common, simhash
 from evidentia.llm.components import connected_components
 from evidentia.llm.queries import op10_simhash
 
@@ -79,16 +79,51 @@ def test_every_link_meets_in_one_shard():
             assert own[j] in at[i] or own[i] in at[j]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [1000, 2])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(common, "FREQUENT", 20)
     rng = random.Random(2)
-    pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 101), (200, 300), (300, 250)] + [(rng.randint(1000, 1060), rng.randint(1000, 1060)) for _ in range(40)]
+    pairs = [(i, i + 1) for i in range(1, 40)] + [(5000, 5001 + i) for i in range(60)] + [(7000, 6000 + i) for i in range(60)] + [(100, 101), (101, 101), (200, 300), (300, 250)] + [(rng.randint(1000, 1060), rng.randint(1000, 1060)) for _ in range(40)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame([*pairs, (None, 5)], "a long, b long")).collect()}
     linked = {frozenset(p) for p in pairs}
     want = plain_components(sorted({x for p in pairs if p[0] != p[1] for x in p}), lambda a, b: frozenset((a, b)) in linked)
     assert got == want
 
 
+def test_counted_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 3)
+    monkeypatch.setattr(common, "FREQUENT", 10)
+    rng = random.Random(1)
+    keys = [0] * 50 + [1] * 20 + [rng.randint(2, 40) for _ in range(40)]
+    left = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    right = spark.createDataFrame([(k, keys.count(k), -k) for k in set(keys)], "k long, n long, x long")
+    got = common.join_counted(left, right, "k", "n")
+    assert sorted((r.id, r.k, r.x) for r in got.collect()) == [(i, k, -k) for i, k in enumerate(keys)] and "n" not in got.columns
+    assert common.join_counted(left.limit(0), right.limit(0), "k", "n").count() == 0
+
+
+def test_several_shards_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 120)
+    monkeypatch.setattr(simhash, "VISITORS", 400)
+    monkeypatch.setattr(simhash, "SAMPLE", (16, 500, 2000))
+    monkeypatch.setattr(simhash, "PACK", 100)
+    monkeypatch.setattr(common, "FEW", 5)
+    points = clouds(random.Random(12), 2500, 300, 5)
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long")
+    got = {r.node: r.component for r in connected_components(simhash.links(df)).collect()}
+    want = plain_components(points.view(np.int64).tolist(), lambda a, b: ((a ^ b) & (1 << 64) - 1).bit_count() <= 4)
+    assert {x: got.get(x, x) for x in want} == want and len(set(want.values())) < 2000
+
+
+def test_one_of_each_leaves_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b c", "x", 5), (1, "a b c", "x", 5), (2, "a b c", "y", 6), (None, "q r", "z", 7), (None, "q r", "z", 7)], "doc_id long, text string, place string, fp int")
+    got = sorted(map(tuple, simhash.one_of_each(df).collect()), key=str)
+    assert got == [(1, "a b c", "x", 5), (None, "q r", "z", 7)]
+
+
 def test_query(spark, write_tables, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 2)
     monkeypatch.setattr(simhash, "SHARD", 8)
     monkeypatch.setattr(simhash, "VISITORS", 10)
     rng = random.Random(4)
