@@ -3,16 +3,19 @@
 A noisy channel writes letters as look-alike signs, stretches them, spaces them out or masks
 them. For a word that such a channel may have made, the alternatives of each sign form a
 lattice, and Viterbi search finds the reading that a character language model likes best.
-The model counts character triples of every text of the corpus. The restored words are then
-scored: features (words and their beginnings) that mark toxic documents were learned from
-labelled documents; the log likelihood ratios of a document's distinct marked words add up,
-and a logistic curve fitted on the same labelled documents turns the sum into a probability.
+A masked run stands for as many letters as it has signs. Where blanks stand between signs or
+pairs of them, the search also chooses where words end. The model counts character triples of
+every text of the corpus. The restored words are then scored: features (words and their
+beginnings) that mark toxic documents were learned from labelled documents; the log likelihood
+ratios of a document's distinct marked words add up, and a logistic curve fitted on the same
+labelled documents turns the sum into a probability. In what was spaced out, marked words count
+wherever they begin, as word ends are least sure there.
 
 Learning reads the labels of the rows given to ``fit`` only; no score looks at a label, a
 language, a source or an id.
 
-Defined results: null and empty texts get the model's base score; texts of any length are
-read whole; without labels of both classes every score is the base score; labels that
+Defined results: null and empty texts get the model's base score; texts of any length, and words
+of any length in them, are read whole, in linear time; without labels of both classes every score is the base score; labels that
 contradict each other for an id count as toxic; null labels and ids teach nothing; an empty
 table gives an empty table; clashing columns are replaced.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidentia.llm.common import add_columns, held_out
+from evidentia.llm.common import add_columns, cut_lineage, held_out
 
 #: Labelled rows of each class that features are learned from, at most about this many, chosen by hash of the id.
 SAMPLE = 20_000
@@ -44,7 +47,9 @@ LIFT, SIGNIFICANT = 5.0, 24.0
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzàâäáãåæçèéêëíìîïñóòôöõøœúùûüýÿß"
 # What a sign may stand for.
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l", "¡": "i", "*": "abcdefghijklmnopqrstuvwxyz", "#": "abcdefghijklmnopqrstuvwxyz"}
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "€": "e", "£": "l", "¡": "i"}
+# Signs that stand for one letter each, whichever.
+MASKS = "*#"
 DROPPED = frozenset(".-_'·~^")
 
 INDEX = np.zeros(0x181, np.int64)
@@ -53,10 +58,25 @@ for _k, _c in enumerate(LETTERS):
 N = len(LETTERS) + 1
 PLACE = {c: k + 1 for k, c in enumerate(LETTERS)}
 
-EDGES = re.compile(r"^[^\w@$!|+*]+|[^\w@$|+]+$")
+LEADING = re.compile(r"[^\w@$!|+*]*")
 ODD = re.compile(r"[^\W_](?:[@$!|+*#€£¡.\-_'·~^0-9])+[^\W_]|[@$!|+0-9][^\W\d_]|[^\W\d_][@$0-9]|([^\W\d_])\1\1")
-#: Single signs with blanks between them, four or more.
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*])(?: (?:[^\W_]|[@$!|+*])){3,}(?!\S)")
+#: Single signs and pairs of them with blanks between, four or more; three must be single.
+SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+*]){1,2}(?: (?:[^\W_]|[@$!|+*]){1,2}){3,}(?!\S)")
+SINGLES = 3
+#: Letters of a mark that is looked for in what was spaced out, at least.
+LEAST = 4
+#: What a letter of a reading is worth, so that short readings are not favoured: what an average letter costs.
+LETTER = 2.5
+#: Scores of the last steps of a masked run that are compared for a cycle.
+CYCLE = 64
+
+
+def core(token: str) -> str:
+    """A token without signs at its ends that no word begins or ends with."""
+    start, end = LEADING.match(token).end(), len(token)
+    while end > start and not (token[end - 1].isalnum() or token[end - 1] in "_@$|+"):
+        end -= 1
+    return token[start:end]
 
 
 def triples(text: str) -> np.ndarray:
@@ -97,46 +117,111 @@ def language_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True)).astype(np.float32)
 
 
-def lattice(word: str) -> list[tuple[str, ...]]:
-    """For each run of equal signs of a lower-case word, what it may stand for."""
-    out: list[tuple[str, ...]] = []
+def lattice(word: str) -> list[tuple[str, ...] | int]:
+    """For each run of equal signs of a lower-case word, what it may stand for; of a masked run, how many letters."""
+    out: list[tuple[str, ...] | int] = []
     for m in re.finditer(r"(.)\1*", word, re.S):
         sign, run = m[1], len(m[0])
         if sign in PLACE:
             out.append((sign, sign * 2) if run > 2 else (sign * run,))
+        elif sign in MASKS:
+            out.append(run)
         elif sign in LEET:
-            once = LEET[sign]
-            if sign in "*#":
-                out += [tuple(once)] * min(run, 8)
-            else:
-                out.append(tuple(c * k for c in once for k in ((1,) if run == 1 else (1, 2))))
+            out.append(tuple(c * k for c in LEET[sign] for k in ((1,) if run == 1 else (1, 2))))
         elif sign not in DROPPED:
             out.append((" ",))
     return out
 
 
-def restore(word: str, model: np.ndarray) -> str:
-    """The likeliest reading of a word, by Viterbi search over the last two letters."""
-    best = {(0, 0): (0.0, None)}
+class Masked:
+    """Viterbi search through ``n`` letters of which nothing is known, a to z each.
+
+    Scores are kept relative to the best one. They soon repeat, from where on all steps do, so
+    a run of any length takes a bounded number of them.
+    """
+
+    def __init__(self, start: dict[tuple[int, int], tuple[float, object]], n: int, model: np.ndarray) -> None:
+        self.n, self.paths = n, {k: p for k, (_, p) in start.items()}
+        score = np.full((N, N), -np.inf)
+        for (a, b), (s, _) in start.items():
+            score[a, b] = s
+        own = slice(1, 27)
+        self.back: list[np.ndarray] = []
+        self.cycle = 0
+        seen: dict[bytes, int] = {}
+        past: list[tuple[np.ndarray, float]] = []
+        total = 0.0
+        cube = model[own, own, own].astype(float)
+        for step in range(n):
+            by = model[:, :, own] if step == 0 else model[:, own, own] if step == 1 else cube
+            every = score[:, :, None] + by
+            self.back.append(every.argmax(0).astype(np.uint8))
+            score = every.max(0)
+            best = score.max()
+            score, total = score - best, total + best
+            if step >= 2:
+                past.append((score, total))
+                key = score.tobytes()
+                if key in seen:
+                    # Steps before + 1 to here are those that come again.
+                    before = seen[key]
+                    self.cycle = step - before
+                    left = n - 1 - step
+                    turns, rest = divmod(left, self.cycle)
+                    kept = past[len(past) - 1 - self.cycle + rest]
+                    total += turns * (total - past[len(past) - 1 - self.cycle][1]) + kept[1] - past[len(past) - 1 - self.cycle][1]
+                    score = kept[0]
+                    break
+                seen[key] = step
+                if len(past) > CYCLE:
+                    old = past.pop(0)[0].tobytes()
+                    if seen.get(old) == step - CYCLE:
+                        del seen[old]
+        self.score = score + total + LETTER * n
+
+    def ends(self) -> dict[tuple[int, int], tuple[float, object]]:
+        rows = range(1, 27) if self.n > 1 else range(N)
+        return {(a, b): (float(s), (self, (a, b))) for i, a in enumerate(rows) for b, s in enumerate(self.score[i], 1) if s > -np.inf}
+
+    def read(self, end: tuple[int, int]) -> tuple[str, object]:
+        """The letters that lead to an end, and the path before them."""
+        a, b = end
+        out = []
+        for step in range(self.n - 1, -1, -1):
+            out.append(LETTERS[b - 1])
+            if step >= len(self.back):
+                step = len(self.back) - self.cycle + (step - len(self.back)) % self.cycle
+            # rows and columns count from the first letter where both are letters of the run
+            row = a - 1 if self.back[step].shape[0] == 26 else a
+            before = int(self.back[step][row, b - 1])
+            a, b = (before + 1 if step >= 2 else before), a
+        return "".join(reversed(out)), self.paths[a, b]
+
+
+def restore(word: str, model: np.ndarray, ends: bool = False) -> str:
+    """The likeliest reading of a word, by Viterbi search over the last two letters; with ``ends``, of words that may end after any letter."""
+    best: dict[tuple[int, int], tuple[float, object]] = {(0, 0): (0.0, None)}
     for options in lattice(word):
-        step: dict[tuple[int, int], tuple[float, tuple]] = {}
+        if isinstance(options, int):
+            best = Masked(best, options, model).ends()
+            continue
+        step: dict[tuple[int, int], tuple[float, object]] = {}
         for (a, b), (score, path) in best.items():
-            for option in options:
+            for option in (*options, *(f"{o} " for o in options)) if ends else options:
                 x, y, s = a, b, score
                 for c in option:
                     z = PLACE.get(c, 0)
-                    s += float(model[x, y, z])
+                    s += float(model[x, y, z]) + LETTER * (c != " " or not ends)
                     x, y = y, z
-                # equal signs would favour short readings; a letter more costs what an average one does
-                s += 2.5 * len(option)
                 if (x, y) not in step or s > step[x, y][0]:
                     step[x, y] = (s, (path, option))
         best = step
     path = max(((s + float(model[a, b, 0]), p) for (a, b), (s, p) in best.items()), key=lambda x: x[0])[1]
     parts = []
     while path:
-        path, option = path
-        parts.append(option)
+        before, option = path
+        letters, path = before.read(option) if isinstance(before, Masked) else (option, before)
+        parts.append(letters)
     return "".join(reversed(parts))
 
 
@@ -154,7 +239,7 @@ class Reader:
     def words(self, token: str) -> tuple[str, ...]:
         got = self.memo.get(token)
         if got is None:
-            plain = EDGES.sub("", token)
+            plain = core(token)
             got = (plain,) if plain else ()
             if not plain.isalpha() or ODD.search(plain):
                 got += tuple(re.findall(r"[^\W\d_]+", plain))
@@ -166,14 +251,15 @@ class Reader:
                 self.memo[token] = got
         return got
 
-    def read(self, text: str) -> set[str]:
-        """Distinct words, restored ones among them; spaced-out signs are joined and read from every letter on."""
+    def read(self, text: str) -> tuple[set[str], dict[str, tuple[str, ...]]]:
+        """Distinct words, restored ones among them; and of what is spaced out, its letters and the words in them."""
         low = text.lower()
-        out = set().union(*map(self.words, set(low.split())))
+        spaced = {}
         for m in SPACED.finditer(low):
-            joined = restore(m[0].replace(" ", ""), self.model).replace(" ", "")
-            out.update(joined[i:j] for i in range(len(joined) - 3) for j in range(i + 4, min(len(joined), i + 14) + 1))
-        return out
+            if sum(map(len, m[0].split(" "))) <= 2 * (m[0].count(" ") + 1) - SINGLES:
+                words = restore(m[0].replace(" ", ""), self.model, True).split()
+                spaced["".join(words)] = tuple(words)
+        return set().union(*map(self.words, set(low.split()))), spaced
 
 
 @dataclass
@@ -189,6 +275,7 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.reader = model, Reader(model.language)
         self.memo: dict[str, float] = {}
+        self.lengths = sorted({len(f.removeprefix("=")) for f in model.marks} - set(range(LEAST)))
 
     def mark(self, word: str) -> float:
         got = self.memo.get(word)
@@ -200,9 +287,23 @@ class Scorer:
                 self.memo[word] = got
         return got
 
+    def marks_within(self, letters: str) -> dict[str, float]:
+        """The strongest mark that begins at each letter."""
+        marks, out = self.model.marks, {}
+        for at in range(len(letters)):
+            parts = (letters[at : at + n] for n in self.lengths if at + n <= len(letters))
+            best = max(((marks.get(f, 0.0), f) for p in parts for f in ("=" + p, p)), default=(0.0, ""))
+            if best[0] > 0:
+                out[best[1]] = best[0]
+        return out
+
     def evidence(self, text: str | None) -> float:
+        if not text:
+            return 0.0
+        words, spaced = self.reader.read(text)
+        within = {k: v for letters in spaced for k, v in self.marks_within(letters).items()}
         # an exact sum, so that equal texts get equal sums
-        return math.fsum(map(self.mark, self.reader.read(text))) if text else 0.0
+        return math.fsum([*map(self.mark, words), *within.values()])
 
     def score(self, text: str | None) -> float:
         if self.model.curve is None:
@@ -221,7 +322,8 @@ def count_features(texts: DataFrame, language: np.ndarray, among: set[str] | Non
         reader, total = Reader(language), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found = {f for w in reader.read(text or "") for f in features(w)}
+                words, spaced = reader.read(text or "")
+                found = {f for w in words.union(*spaced.values()) for f in features(w)}
                 total.update(found if among is None else found & among)
                 total[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
@@ -250,8 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
         return model
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n[1])).otherwise(min(1.0, SAMPLE / n[0]))
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    # The sample's expected size is bounded by twice SAMPLE rows of two small columns.
-    texts = docs.join(F.broadcast(some), "doc_id")
+    # The sample's expected size is bounded by twice SAMPLE rows of two small columns. Its texts are written once and read three times.
+    texts = cut_lineage(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"))
     found = count_features(texts.filter("toxic = 1"), model.language)
     toxic = found.filter("feature = ''").agg(F.sum("n")).first()[0] or 0
     least = max(3, toxic // 500)
@@ -272,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
 
 def evidence(texts: DataFrame, model: Model) -> DataFrame:
     """(evidence, toxic) of the bounded sample ``texts``."""
-    return score(texts.select("text", "toxic"), model, out_col="evidence", what=Scorer.evidence).select("evidence", "toxic")
+    return score(texts, model, out_col="evidence", what=Scorer.evidence).select("evidence", "toxic")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:

@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -38,9 +40,67 @@ def test_restores(model, disguised, plain):
     assert toxicity.restore(disguised, model.language) == plain
 
 
-@pytest.mark.parametrize("text", ["you st u p i d one", "ko m o r o n ga", "a 5tup1d ri", "STUUUPID", "ba wor†hless m0r0n"])
+@pytest.mark.parametrize("text", ["you st u p i d one", "ko m o r o n ga", "a 5tup1d ri", "STUUUPID", "ba wor†hless m0r0n", "s t u p i d", "b a k o s t u p i d r i t e n g a p e n", "ba s t u p i d m o r o n ko", "w o r t h l e s s"])
 def test_disguised_insults_score_high(model, text):
-    assert toxicity.Scorer(model).score(text) >= 0.3 or text.startswith("you st")
+    assert toxicity.Scorer(model).score(text) >= 0.3
+
+
+def readings(word, ends):
+    """All readings of a lattice, by enumeration."""
+    options = []
+    for x in toxicity.lattice(word):
+        if isinstance(x, int):
+            options += [tuple("abcdefghijklmnopqrstuvwxyz")] * x
+        else:
+            options.append((*x, *(o + " " for o in x)) if ends else x)
+    return itertools.product(*options)
+
+
+def worth(reading, model, ends):
+    a = b = 0
+    total = 0.0
+    for c in "".join(reading):
+        z = toxicity.PLACE.get(c, 0)
+        total += float(model[a, b, z]) + toxicity.LETTER * (c != " " or not ends)
+        a, b = b, z
+    return total + float(model[a, b, 0])
+
+
+@pytest.mark.parametrize("ends", [False, True])
+def test_readings_equal_enumeration(model, ends):
+    rng = random.Random(4)
+    alphabet = "stupidmoron10$.!|" if ends else "stupidmoron10$.!|*#("
+    words = ["".join(c * rng.choice([1, 1, 1, 2, 3]) for c in rng.choices(alphabet, k=rng.randint(1, 6))) for _ in range(60)]
+    words += [] if ends else ["*", "**", "***", "m*r*n", "a**b", "***d", "#*#"]
+    for word in words:
+        if sum(x for x in toxicity.lattice(word) if isinstance(x, int)) > 2 or len(word) > 8:
+            continue
+        got = toxicity.restore(word, model.language, ends)
+        best = max(readings(word, ends), key=lambda r: worth(r, model.language, ends))
+        assert abs(worth(got, model.language, ends) - worth(best, model.language, ends)) < 1e-4, (word, got, best)
+
+
+def test_a_mask_has_as_many_letters_as_signs(model):
+    for n in (1, 2, 3, 9, 40, 70, 200, 5000):
+        got = toxicity.restore(f"s{'*' * n}d", model.language)
+        assert len(got) == n + 2 and got[0] + got[-1] == "sd" and got.isalpha()
+    # The steps that come again are those of the whole run.
+    for n in (100, 300):
+        one = toxicity.restore(f"s{'*' * n}d", model.language)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(toxicity, "CYCLE", 0)
+            other = toxicity.restore(f"s{'*' * n}d", model.language)
+        assert abs(worth(one, model.language, False) - worth(other, model.language, False)) < 1e-3 * n
+
+
+MB = 1 << 20
+
+
+@pytest.mark.parametrize("text", ["s t " * (MB // 4), "a" + "*" * MB + "b", "a" * MB, "1a" * (MB // 2), "a*" * (MB // 256), "s t u p i d " * (MB // 12), "stup1d! " * (MB // 8), "x" + "." * MB + "y"], ids=range(8))
+def test_a_megabyte_is_read_whole(model, text):
+    start = time.process_time()
+    toxicity.Scorer(model).score(text)
+    assert time.process_time() - start < 20
 
 
 @pytest.mark.parametrize("text", [None, "", " ", "bako riten", "1 2 3 4 5 6", "!!!", "a" * 50_000, "ko 1234 ga5 $$$"])
