@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,35 @@ def fixture(seed=1):
     return docs, items
 
 
+def every_window(docs, items):
+    """The best of all windows of an item's size at all places."""
+    out = {}
+    for item, text in items:
+        own = split(text or "")
+        if not own:
+            continue
+        width = min(5, len(own))
+        want = cut(own, width)
+        for doc, text in docs:
+            words = split(text or "")
+            if len(words) < width or not set(cut(words, width)) & set(want):
+                continue
+            for start in range(max(1, len(words) - len(own) + 1)):
+                have = cut(words[start : start + len(own)], width)
+                common = sum((want & have).values())
+                s = common / (sum(want.values()) + sum(have.values()) - common)
+                if s >= 0.8:
+                    out[doc, item] = max(out.get((doc, item), 0), s)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(1, 9))
+def test_windows_at_shared_shingles_miss_none(seed):
+    docs, items = fixture(seed)
+    docs = [d for d in docs if d[0] != 503]
+    assert {k: s for k, (s, _) in brute(docs, items).items()} == every_window(docs, items)
+
+
 def frames(spark, docs, items):
     return {
         "documents": spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("clash")).withColumn("size", F.lit(1)),
@@ -105,6 +135,32 @@ def test_simhash_is_the_majority(spark):
     assert all((got >> b & 1) == int(2 * sum(h >> b & 1 for h in hashes) > 9) for b in range(64))
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 40_000])
+def test_simhash_of_any_number(spark, n):
+    rng = np.random.default_rng(n)
+    hashes = rng.integers(-(1 << 63), 1 << 63, n).tolist()
+    bits = np.unpackbits(np.array(hashes, "<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    want = int(np.packbits(bits * 2 > n, bitorder="little").view("<i8")[0])
+    assert spark.createDataFrame([(hashes,)], "h array<long>").select(decontam.simhash(F.col("h"))).first()[0] == want
+
+
+def test_similarity_is_weighted_jaccard(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abcd") for _ in range(rng.randint(1, 9))], [rng.choice("abcd") for _ in range(rng.randint(1, 9))]) for _ in range(200)]
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(decontam.similarity(F.col("a"), F.col("b"))).collect()]
+    for (a, b), s in zip(rows, got, strict=True):
+        common = sum((Counter(a) & Counter(b)).values())
+        assert s == common / (len(a) + len(b) - common)
+
+
+def test_long_items(spark):
+    rng = random.Random(2)
+    own = [rng.choice(VOCABULARY) for _ in range(12_000)]
+    docs = spark.createDataFrame([(1, " ".join(["before", *own, "after"])), (2, "other words " * 9000)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", " ".join(own))], "item_id string, text string")
+    assert [tuple(r) for r in decontam.contaminated(docs, items).collect()] == [(1, "x", 1.0, 1)]
+
+
 def test_repeated_rows_and_empty_tables(spark):
     docs, items = fixture()
     t = frames(spark, docs[:20] * 2, items)
