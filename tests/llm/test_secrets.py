@@ -5,7 +5,7 @@ import re
 import duckdb
 from pyspark.sql import functions as F
 
-from evidentia.llm import secrets
+from evidentia.llm import common, secrets
 from evidentia.llm.queries import op9_secrets
 
 # The detectors as stated, with failing matches dropped.
@@ -58,12 +58,25 @@ def test_frequencies_count_distinct_owners(spark):
     assert {(x.repositories, x.owners, x.live) for r in got for x in r.found} == {(3, 2, True)}
 
 
+def test_what_very_many_repositories_hold_is_copied(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 3)
+    rows = [(i, "token = " + ("a1b2c3d4e5f6g7" if i < 105 else f"z9y8x7w6v5u4{i}"), "one") for i in range(120)]
+    got = {r.doc_id: r.found[0] for r in secrets.scan(table(spark, rows)).collect()}
+    assert all((x.repositories, x.owners, x.live) == ((105, 1, False) if i < 105 else (1, 1, True)) for i, x in got.items())
+
+
+def test_very_many_matches(spark):
+    text = "token=abcdefghijkl " * 20_000 + "ghp_" + "a1B2" * 9 + " key ghp_" + "a1B2" * 9
+    r = secrets.scan(table(spark, [(1, text, "s")])).first()
+    assert len(r.found) == 20_002 and [(x.start, x.end) for x in r.found[19_999:]] == [(19 * 19_999, 19 * 19_999 + 18), (380_000, 380_040), (380_045, 380_085)]
+
+
 def test_oracle(spark, write_tables):
     rows = [(i, t, f"s{i % 7}") for i, t in enumerate(texts())]
     folder = write_tables(documents=table(spark, rows))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet/*.parquet')")
-    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied"]
+    cols = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_copied", "most_repositories", "most_owners"]
     want = sorted(con.execute(f"select {', '.join(cols)} from ({secrets.ORACLE})").fetchall())
     assert sorted(tuple(r[c] for c in cols) for r in op9_secrets(spark, folder).collect()) == want
 
