@@ -1,20 +1,24 @@
 """URL filters: given rules first, then association rules mined from labels.
 
-A URL becomes a set of tokens: labels and hyphenated parts of its host, segments of its path
-with digits masked, names of its query's parameters. FP-growth finds the token sets that
-are frequent among pages labelled bad; a set whose pages are bad often enough among all
-labelled ones is a rule. Rules are indexed by their rarest token: a page meets a rule only
-through that token, and matches if it has all others. Equal token sets are matched once.
+A URL becomes a set of tokens: labels of its host and their hyphenated parts, segments of its
+path with digits masked, names of its query's parameters. FP-growth finds the token sets that
+are frequent together with the mark of a bad page. A set is a rule if its pages are bad often
+enough: by confidence, as a multiple of the share of bad pages among all labelled ones, and by
+the likelihood ratio, so that chance makes no rules. Of these, sets that hold another rule's add
+nothing and go. Rules are indexed by their rarest token: a page meets a rule only through that
+token, and matches if it has all others. Equal token sets are matched once.
 
 Only DataFrame operations, and the ML library's FP-growth. Defined results: a null URL, or
-one without "://", has an empty host and path and no tokens; without bad labels no rule is
-mined and the method allows; contradicting labels of an id count as bad; repeated rows get
-equal verdicts; an empty table gives an empty table.
+one without "://", has an empty host and path and no tokens; without bad labels, or without
+others, no rule is mined and the method allows; contradicting labels of an id count as bad;
+repeated rows get equal verdicts; URLs of any length are read whole; columns named like those
+made here do not disturb; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import string
 from collections.abc import Sequence
 
@@ -26,10 +30,10 @@ from evidentia.llm.common import cut_lineage
 
 #: Share of the bad pages, and number of them, that a rule's tokens must occur in together.
 MIN_SUPPORT, MIN_PAGES = 0.01, 5
-#: Share of a rule's labelled pages that must be bad.
-MIN_CONFIDENCE = 0.6
-#: Tokens of a rule at most.
-MAX_TOKENS = 4
+#: How many times likelier than any labelled page a rule's page must be bad, and the likelihood ratio statistic at least.
+MIN_LIFT, SIGNIFICANT = 2.0, 20.0
+#: The item that marks a bad page; tokens have a colon.
+BAD = "bad"
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -52,7 +56,7 @@ def path(url: Column) -> Column:
 def tokens(url: Column) -> Column:
     """Distinct tokens, sorted; none where the URL has no host."""
     full, labels = host(url), F.split(host(url), r"\.")
-    parts = F.filter(F.split(full, r"[.-]"), lambda x: x != "")
+    parts = F.array_except(F.filter(F.split(full, r"[.-]"), lambda x: x != ""), labels)
     segments = F.filter(F.split(path(url), "[/.]"), lambda x: x != "")
     query = F.regexp_extract(after_scheme(url), r"\?([^#]*)", 1)
     keys = F.filter(F.transform(F.split(query, "&"), lambda x: F.substring_index(x, "=", 1)), lambda x: x != "")
@@ -80,21 +84,31 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
     return met.filter(F.size(F.array_except("wanted", "items")) == 0).select("key", "rule")
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
-    """Rules (rule, anchor, items, n, bad, confidence) from token sets with labels (items, bad as 0 or 1)."""
-    sets = labelled.filter(F.size("items") > 0).groupBy("items").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    sets = sets.withColumn("key", F.array_join("items", " "))
-    guilty = labelled.filter((F.col("bad") == 1) & (F.size("items") > 0)).select("items")
+def likelihood_ratio(n: Column, bad: Column, total: int, guilty: int) -> Column:
+    """Of ``n`` pages with ``bad`` bad ones, against those of all ``total``."""
+    cells = ((bad, n * (guilty / total)), (n - bad, n * (1 - guilty / total)), (guilty - bad, (total - n) * (guilty / total)), (total - n - guilty + bad, (total - n) * (1 - guilty / total)))
+    return 2 * functools.reduce(Column.__add__, (F.when(seen > 0.5, seen * F.ln(seen / due)).otherwise(0.0) for seen, due in cells))
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES, significant: float = SIGNIFICANT) -> DataFrame:
+    """Rules (rule, anchor, items, n, bad, confidence) from token sets with labels (items, bad as 0 or 1); none is part of another."""
+    known = labelled.filter(F.size("items") > 0).select("items", "bad")
+    total, guilty = known.agg(F.count("*"), F.sum("bad")).first()
     schema = "rule string, anchor string, items array<string>, n long, bad long, confidence double"
-    if guilty.isEmpty():
+    if not guilty or guilty == total:
         return labelled.sparkSession.createDataFrame([], schema)
-    frequent = FPGrowth(itemsCol="items", minSupport=min_support).fit(guilty).freqItemsets
-    wanted = frequent.filter((F.size("items") <= MAX_TOKENS) & (F.col("freq") >= min_pages)).select(F.array_sort("items").alias("items")).withColumn("rule", F.array_join("items", " "))
-    often = sets.select("n", F.explode("items").alias("item")).groupBy("item").agg(F.sum("n").alias("often"))
-    anchors = wanted.select("rule", F.explode("items").alias("item")).join(often, "item").groupBy("rule").agg(F.min(F.struct("often", "item"))["item"].alias("anchor"))
-    found = match(sets, wanted.join(anchors, "rule")).join(sets.select("key", "n", "bad"), "key")
-    counted = found.groupBy("rule").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("confidence", F.col("bad") / F.col("n"))
-    return wanted.join(anchors, "rule").join(counted.filter(F.col("confidence") >= min_confidence), "rule").select("rule", "anchor", "items", "n", "bad", "confidence")
+    least = max(min_pages, math.ceil(min_support * guilty))
+    marked = known.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min(1.0, min_lift * guilty / total)).fit(marked)
+    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    rules = rules.select(F.array_sort("antecedent").alias("items"), F.round(F.col("support") * total).cast("long").alias("bad"), "confidence")
+    rules = rules.withColumn("n", F.round(F.col("bad") / F.col("confidence")).cast("long")).withColumn("rule", F.array_join("items", " "))
+    rules = cut_lineage(rules.filter(likelihood_ratio(F.col("n"), F.col("bad"), total, guilty) >= significant))
+    often = known.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("often"))
+    anchors = rules.select("rule", F.explode("items").alias("item")).join(often, "item").groupBy("rule").agg(F.min(F.struct("often", "item"))["item"].alias("anchor"))
+    indexed = cut_lineage(rules.join(anchors, "rule").select("rule", "anchor", "items", "n", "bad", "confidence"))
+    wider = match(indexed.select(F.col("rule").alias("key"), "items"), indexed).filter("key <> rule").select(F.col("key").alias("rule")).distinct()
+    return indexed.join(wider, "rule", "left_anti")
 
 
 def judge(
@@ -110,13 +124,13 @@ def judge(
     ``labels`` has (id, bad); ids without a label teach nothing.
     """
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), tokens(url).alias("items")).withColumn("key", F.array_join("items", " "))
+    rows = pages.select(F.col(id_col).alias("page"), host(url).alias("host"), path(url).alias("path"), tokens(url).alias("items")).withColumn("key", F.array_join("items", " "))
     known = labels.filter("id is not null and bad is not null").groupBy("id").agg(F.max(F.col("bad").cast("int")).alias("bad"))
-    mined = mine(rows.join(known, F.col(id_col) == F.col("id")).select("items", "bad"), **thresholds)
+    mined = mine(rows.join(known, F.col("page") == F.col("id")).select("items", "bad"), **thresholds)
     sets = rows.select("key", "items").filter(F.size("items") > 0).distinct()
     # Written, so that its size is known and a small one is sent to the pages rather than they to it.
     guilty = cut_lineage(match(sets, mined).select("key").distinct()).withColumn("mined", F.lit(True))
     name, verdict = by_rules(rules, F.col("host"), F.col("path"))
     out = rows.join(guilty, "key", "left").withColumn("mined", F.coalesce("mined", F.lit(False)))
     method = F.when(F.col("mined"), "block").otherwise("allow")
-    return out.select(id_col, "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "mined")
+    return out.select(F.col("page").alias(id_col), "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), "mined")

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 
 import pytest
@@ -45,16 +46,19 @@ def test_rules(spark, write_tables):
 
 
 def brute(rows, bad, least=urls.MIN_PAGES):
-    """Token sets of up to four that are frequent among bad pages and mostly bad."""
-    guilty = [t for t, b in zip(rows, bad, strict=True) if b and t]
-    tokens = sorted(set().union(*guilty)) if guilty else []
-    out = set()
-    for k in range(1, urls.MAX_TOKENS + 1):
-        for items in itertools.combinations(tokens, k):
-            have = [b for t, b in zip(rows, bad, strict=True) if b is not None and set(items) <= t]
-            n = sum(have)
-            if n >= max(least, -(-len(guilty) * urls.MIN_SUPPORT // 1)) and n / len(have) >= urls.MIN_CONFIDENCE:
-                out.add(items)
+    """Token sets of any size that are frequent among bad pages and bad far more often than pages are."""
+    known = [(t, b) for t, b in zip(rows, bad, strict=True) if b is not None and t]
+    guilty = sum(b for _, b in known)
+    total, out = len(known), set()
+    for items in {c for t, b in known if b for k in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), k)}:
+        have = [b for t, b in known if set(items) <= t]
+        n, k = len(have), sum(have)
+        if k < max(least, -(-guilty * urls.MIN_SUPPORT // 1)) or k / n < urls.MIN_LIFT * guilty / total:
+            continue
+        p = guilty / total
+        cells = [(k, n * p), (n - k, n * (1 - p)), (guilty - k, (total - n) * p), (total - n - guilty + k, (total - n) * (1 - p))]
+        if 2 * sum(o * math.log(o / e) for o, e in cells if o) >= urls.SIGNIFICANT:
+            out.add(items)
     return out
 
 
@@ -78,5 +82,32 @@ def test_mining_equals_brute_force(spark, write_tables, seed):
     assert len(got) == 301
 
 
+def test_mined_rules_hold_on_pages_not_learned_from(spark):
+    """Precision and recall of the method on held-out pages of a planted habit of bad hosts."""
+    rng = random.Random(9)
+    rows = []
+    for i in range(3000):
+        bad = rng.random() < 0.2
+        host = rng.choice(["cheap-pills", "free-bets", "casino-win"] if bad else ["news", "blog", "cheap-flights", "free-news"])
+        rows.append((i, f"http://{host}.example.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr'])}/{rng.randint(1, 999)}", int(bad if rng.random() > 0.02 else not bad)))
+    labels_ = spark.createDataFrame([(i, b) for i, _, b in rows if i % 3], "id long, bad int")
+    got = {r.page_id: r.mined for r in urls.judge(pages(spark, [(i, u) for i, u, _ in rows]), labels_).collect()}
+    held = [(got[i], b) for i, _, b in rows if i % 3 == 0]
+    both = sum(m and b for m, b in held)
+    assert both / sum(m for m, _ in held) > 0.85 and both / sum(b for _, b in held) > 0.85
+
+
+def test_an_id_named_like_the_labels(spark):
+    df = pages(spark, [(1, "http://x.org/")]).withColumnRenamed("page_id", "id")
+    assert urls.judge(df, spark.createDataFrame([(1, 1)], "id long, bad int"), URL_RULES, id_col="id").first().verdict == "allow"
+
+
+def test_chance_makes_no_rules(spark):
+    rng = random.Random(3)
+    rows = [(i, f"http://{rng.choice('abcdefgh')}.{rng.choice(['com', 'net'])}/{rng.choice(['en', 'fr'])}/") for i in range(1500)]
+    known = spark.createDataFrame([(i, int(rng.random() < 0.15)) for i, _ in rows], "id long, bad int")
+    assert urls.judge(pages(spark, rows), known).filter("mined").count() == 0
+
+
 def test_empty(spark):
     assert urls.judge(pages(spark, []), spark.createDataFrame([], "id long, bad int"), URL_RULES).count() == 0
