@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 
@@ -20,23 +22,79 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def similar_pairs(df: DataFrame, item: str, vector: str, low: float, high: float = 2.0, group: str | None = None, strips: int = 16) -> DataFrame:
+#: Vectors of a block; a task compares two blocks.
+BLOCK = 2048
+
+
+def tiles(left: DataFrame, right: DataFrame | None, key: str, vector: str, block: int = BLOCK) -> GroupedData:
+    """Blocks of vectors that meet, as groups (_i, _j) of rows (_side, _key, _v and further columns).
+
+    Every row of ``left`` meets every row of ``right``, or without it every row of ``left`` once.
+    Blocks are cut by hash, as many as the number of rows asks for. Vectors travel packed as
+    doubles; null, zero and non-finite ones stay out.
+    """
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
+        n = max(1, -(-df.count() // block))
+        rows = df.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumnsRenamed({key: "_key", vector: "_v"})
+        return rows, n
+
+    a, m = packed(left)
+    if right is None:
+        other = F.sequence(F.lit(0), F.lit(m - 1))
+        met = a.withColumn("_o", F.explode(other)).withColumn("_i", F.least("_block", "_o")).withColumn("_j", F.greatest("_block", "_o")).withColumn("_side", (F.col("_block") == F.col("_j")).cast("int"))
+        n = m
+    else:
+        b, n = packed(right)
+        a = a.withColumn("_j", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_i", F.col("_block")).withColumn("_side", F.lit(0))
+        b = b.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("_j", F.col("_block")).withColumn("_side", F.lit(1))
+        met = a.unionByName(b, allowMissingColumns=True)
+    # The work is no matter of bytes, so the number of tasks is given.
+    return met.drop("_block", "_o").repartition(min(20_000, max(m * n, 8)), "_i", "_j").groupBy("_i", "_j")
+
+
+def unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of length one, in double precision, and which rows have one."""
+    fine = np.array([v is not None and len(v) > 0 and all(x is not None for x in v) for v in vectors], bool)
+    if not fine.any():
+        return np.zeros((0, 0)), fine
+    rows = np.stack([np.asarray(v, float) for v in vectors[fine]])
+    size = np.sqrt((rows * rows).sum(1))
+    good = np.isfinite(size) & (size > 0)
+    fine[np.flatnonzero(fine)[~good]] = False
+    return rows[good] / size[good, None], fine
+
+
+def similar_pairs(df: DataFrame, item: str, vector: str, low: float, high: float = 2.0, group: str | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (item_a, item_b, cosine) of cosine from ``low`` up to below ``high``, smaller id first, of different groups if one is named.
 
-    All pairs have to be looked at, so the comparison is dealt: one side is cut into strips by
-    hash, the other goes to each strip, and an equi-join on the strip spreads the work evenly.
-    Norms are taken once a row, not once a pair.
+    All pairs have to be looked at: as matrix products of blocks, of which only the pairs in
+    the band leave a task.
     """
-    v = F.transform(vector, lambda x: x.cast("double"))
-    rows = df.select(F.col(item), *([F.col(group).alias("_g")] if group else []), v.alias("_v")).withColumn("_n", F.sqrt(dot(F.col("_v"), F.col("_v")))).filter("_n > 0")
-    named = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns if c != "_strip"), "_strip")
-    a = named(rows.withColumn("_strip", F.pmod(F.xxhash64(item), F.lit(strips)).cast("int")), "a")
-    b = named(rows.withColumn("_strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))), "b")
-    met = a.join(b, "_strip").filter(F.col(f"{item}_a") < F.col(f"{item}_b"))
-    if group:
-        met = met.filter(F.col("_g_a") != F.col("_g_b"))
-    met = met.withColumn("cosine", dot(F.col("_v_a"), F.col("_v_b")) / (F.col("_n_a") * F.col("_n_b")))
-    return met.filter((F.col("cosine") >= low) & (F.col("cosine") < high)).select(f"{item}_a", f"{item}_b", "cosine")
+    rows = df.select(F.col(item), F.transform(vector, lambda x: x.cast("double")).alias("_v"), *([F.col(group).alias("_g")] if group else []))
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        one = frame["_i"].iloc[0] == frame["_j"].iloc[0]
+        a = frame if one else frame[frame["_side"] == 0]
+        b = a if one else frame[frame["_side"] == 1]
+        (x, ok_x), (y, ok_y) = unit_rows(a["_v"]), unit_rows(b["_v"])
+        a, b = a[ok_x], b[ok_y]
+        if a.empty or b.empty:
+            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+        c = x @ y.T
+        near = (c >= low) & (c < high)
+        left, right = a["_key"].to_numpy(), b["_key"].to_numpy()
+        if group:
+            near &= a["_g"].to_numpy()[:, None] != b["_g"].to_numpy()[None, :]
+        i, j = np.nonzero(near)
+        keep = left[i] < right[j] if one else left[i] != right[j]
+        i, j = i[keep], j[keep]
+        first = left[i] < right[j]
+        return pd.DataFrame({"a": np.where(first, left[i], right[j]), "b": np.where(first, right[j], left[i]), "cosine": c[i, j]})
+
+    kind = df.schema[item].dataType.simpleString()
+    found = tiles(rows, None, item, "_v", block).applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
+    return found.select(F.col("a").alias(f"{item}_a"), F.col("b").alias(f"{item}_b"), "cosine")
 
 
 def top_similar(df: DataFrame, query: Sequence[float] | DataFrame, item: str, vector: str, k: int) -> DataFrame:
@@ -68,19 +126,35 @@ def cluster_summary(df: DataFrame, cluster: str, group: str, topic: str) -> Data
     return out.withColumn("cross", F.col("n_groups") >= 2).withColumn("universal", F.col("n_groups") >= F.greatest(F.lit(3.0), F.col("size") / 2))
 
 
-def dealt(many: DataFrame, few: DataFrame, by: str, strips: int) -> DataFrame:
-    """Every row of ``many`` beside every row of ``few``: ``many`` is cut into strips by hash, ``few`` goes to each, and an equi-join brings them together."""
-    a = many.withColumn("_strip", F.pmod(F.xxhash64(by), F.lit(strips)).cast("int"))
-    b = few.withColumn("_strip", F.explode(F.sequence(F.lit(0), F.lit(strips - 1))))
-    return a.join(b, "_strip").drop("_strip")
+def nearest_profiles(now: DataFrame, history: DataFrame, key: str, other: str, features: str, k: int, not_itself: bool = False, digits: int = 9, block: int = BLOCK) -> DataFrame:
+    """For each current profile the ``k`` historical ones of largest cosine (null-free, rounded to ``digits``), ties to the smaller one; ``not_itself`` leaves out the one of its own id.
 
-
-def nearest_profiles(now: DataFrame, history: DataFrame, key: str, other: str, features: str, k: int, strips: int = 8) -> DataFrame:
-    """For each current profile the ``k`` historical ones of largest cosine; ``history`` is the smaller table."""
-    h = history.select(other, F.col(features).alias("_h"))
-    met = dealt(now.select(key, features), h, key, strips).withColumn("cosine", cosine(F.col(features), F.col("_h")))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc_nulls_last("cosine"), other))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, other, "cosine", "rank")
+    Blocks meet as matrix products; a task keeps the ``k`` best of each profile, and those of all tasks are ranked.
+    """
+    a = now.select(key, F.transform(features, lambda x: x.cast("double")).alias("_v"))
+    b = history.select(F.col(other).alias(key), F.transform(features, lambda x: x.cast("double")).alias("_v"))
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = frame[frame["_side"] == 0], frame[frame["_side"] == 1]
+        (x, ok_x), (y, ok_y) = unit_rows(a["_v"]), unit_rows(b["_v"])
+        left, right = a["_key"].to_numpy()[ok_x], b["_key"].to_numpy()[ok_y]
+        order = np.argsort(right, kind="stable")
+        right = right[order]
+        out = []
+        for at in range(0, len(left) if len(right) else 0, 256):
+            c = np.round(x[at : at + 256] @ y[order].T, digits)
+            if not_itself:
+                c[left[at : at + 256, None] == right[None, :]] = -np.inf
+            top = np.argsort(-c, axis=1, kind="stable")[:, :k]
+            scores = np.take_along_axis(c, top, 1)
+            row, place = np.nonzero(scores > -np.inf)
+            out.append(pd.DataFrame({"k": left[at + row], "o": right[top[row, place]], "cosine": scores[row, place]}))
+        return pd.concat(out) if out else pd.DataFrame({"k": [], "o": [], "cosine": []})
+
+    kinds = now.schema[key].dataType.simpleString(), history.schema[other].dataType.simpleString()
+    found = tiles(a, b, key, "_v", block).applyInPandas(best, f"k {kinds[0]}, o {kinds[1]}, cosine double")
+    rank = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("cosine"), "o"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select(F.col("k").alias(key), F.col("o").alias(other), "cosine", "rank")
 
 
 def profile_difference(now: DataFrame, then: DataFrame, kind: str) -> DataFrame:
@@ -108,9 +182,26 @@ def forest_probabilities(train: DataFrame, test: DataFrame, key: str, features:
     return out.select(key, vector_to_array("probability").alias("probabilities"))
 
 
-def leave_one_out(df: DataFrame, key: str, features: str, label: str, strips: int = 8) -> DataFrame:
-    """(n, n_right): how often the most similar other record has the record's class. Looks at all pairs, dealt in strips."""
-    other = df.select(F.col(key).alias("_k"), F.col(features).alias("_f"), F.col(label).alias("_l"))
-    met = dealt(df, other, key, strips).filter(F.col(key) != F.col("_k")).withColumn("_c", cosine(F.col(features), F.col("_f")))
-    best = met.groupBy(key, label).agg(F.max_by("_l", F.struct(F.coalesce("_c", F.lit(-2.0)), -F.col("_k"))).alias("_l"))
-    return best.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("_l")).alias("n_right"))
+def leave_one_out(df: DataFrame, key: str, features: str, label: str) -> DataFrame:
+    """(n, n_right): how often the most similar other record has the record's class. Looks at all pairs, by blocks."""
+    other = df.select(F.col(key).alias("_k"), features, F.col(label).alias("_l"))
+    best = nearest_profiles(df, other, key, "_k", features, 1, not_itself=True)
+    told = best.join(other.select("_k", "_l"), "_k").join(df.select(key, label), key)
+    return told.agg(F.count("*").alias("n"), F.count_if(F.col(label) == F.col("_l")).alias("n_right"))
+
+
+def leave_one_out_forest(df: DataFrame, key: str, features: str, label: str, trees: int = 200, seed: int = 42) -> DataFrame:
+    """(key, label, predicted): each record's class by a forest fitted on all others.
+
+    A forest is fitted for each record, so the table is meant to be a short one of history; its
+    keys are listed in the driver. Ties go to the smaller class.
+    """
+    rows = df.select(key, features, F.col(label).cast("int").alias(label))
+    out = None
+    for (one,) in rows.select(key).orderBy(key).collect():
+        test = rows.filter(F.col(key) == F.lit(one))
+        told = forest_probabilities(rows.filter(F.col(key) != F.lit(one)), test, key, features, label, trees, seed)
+        most = F.array_position("probabilities", F.array_max("probabilities")).cast("int") - 1
+        part = told.select(key, most.alias("predicted"))
+        out = part if out is None else out.unionAll(part)
+    return rows.select(key, label).join(out, key) if out is not None else rows.select(key, label, F.lit(0).alias("predicted"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.operators import clusters, vectors
 from evidentia.plans.registry import query, table
-from evidentia.plans.symptoms import profiles
+from evidentia.plans.symptoms import VECTOR, profiles
 
 COSINE = "list_cosine_similarity(a.embedding::double[], b.embedding::double[])"
 
@@ -39,10 +39,10 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with e as (select vec_id, unnest(range(1, 65)) as p, unnest(embedding)::double as x from embeddings), s as (select p, avg(x) as m, stddev_pop(x) as s from e group by p)
-select vec_id, (p - 1)::int as pos, round((x - m) / case when s > 0 then s else 1 end, 6) as x from e join s using (p) where vec_id < 40
+select vec_id, (p - 1)::int as pos, round((x - m) / case when s > 0 then s else 1 end, 6) as x from e join s using (p)
 """)
 def standardize(spark: SparkSession, d: str) -> DataFrame:
-    out = vectors.standardised(table(spark, d, "embeddings"), "vec_id", "embedding").filter("vec_id < 40")
+    out = vectors.standardised(table(spark, d, "embeddings"), "vec_id", "embedding")
     return out.select("vec_id", F.posexplode("scaled").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
@@ -66,11 +66,23 @@ def forest_profile_predict(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", F.posexplode("probabilities").alias("label", "probability"))
 
 
-@query()
+@query(f"""
+with v as ({VECTOR}), c as (select a.user_id as k, b.user_id as o, round(list_cosine_similarity(a.features, b.features), 9) as c from v a join v b on a.user_id <> b.user_id),
+best as (select k, o, row_number() over (partition by k order by c desc, o) as r from c)
+select count(*)::bigint as n, count(*) filter (k % 3 = o % 3)::bigint as n_right from best where r = 1
+""")
 def leave_one_out(spark: SparkSession, d: str) -> DataFrame:
     return vectors.leave_one_out(profiles(spark, d).withColumn("label", F.col("user_id") % 3), "user_id", "features", "label")
 
 
-@query()
+@query("""
+with recursive d as (select a.label as l, a.vec_id as a, b.vec_id as b, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double)))) as d
+  from embeddings a join embeddings b on a.label = b.label),
+c as (select a, list_sort(list(d))[least(3, count(*))] as core from d group by a),
+e as (select d.a, d.b from d join c x on d.a = x.a join c y on d.b = y.a where greatest(d.d, x.core, y.core) <= 1.3),
+r(n, m) as (select a, a from e union select e.b, r.m from r join e on e.a = r.n where r.m < e.b),
+k as (select n, min(m) as m from r group by n), z as (select vec_id, coalesce(m, -1 - vec_id) as m from embeddings left join k on n = vec_id)
+select vec_id, case when count(*) over (partition by m) >= 3 then m else -1 end::bigint as cluster from z
+""")
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.density_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding", cut=1.3)

@@ -55,7 +55,7 @@ PROLIFERATION = f"with {ITEMS}, g as (select count(distinct grp) as k from items
 DUAL = (
     sql("DUAL_DESCRIPTION", "s_nationkey || '|' || (s_suppkey % 7)", "1", "0.75", "from supplier where s_suppkey % 5 < 2")
     + " union all "
-    + sql("DUAL_DESCRIPTION", "o_orderkey", "2", "least(0.95, 0.5 + 0.15 * ((o_orderkey % 2 = 0)::int + (o_orderkey % 3 = 0)::int + (o_orderkey % 5 = 0)::int))", "from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'F' and o_orderkey < 300")
+    + sql("DUAL_DESCRIPTION", "o_orderkey", "2", "least(0.95, 0.5 + 0.15 * ((o_orderkey % 2 = 0)::int + (o_orderkey % 3 = 0)::int + (o_orderkey % 5 = 0)::int))", "from orders where o_orderpriority in ('1-URGENT', '2-HIGH') and o_orderstatus <> 'F'")
 )
 NULL = " union all ".join(sql("NULL_RESULT", f"'{s}'", "1", str(c), "") for s, c in NULLS)
 
@@ -103,7 +103,7 @@ def symptom_dual(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("o_orderpriority") == "1-URGENT", "duality").when(F.col("o_orderpriority") == "2-HIGH", "equivalence").otherwise("limit")
     status = F.when(F.col("o_orderstatus") == "F", "disproved").otherwise("inconclusive")
     flags = [(o % k == 0).alias(c) for k, c in ((2, "algebraic"), (3, "numerical"), (5, "dimensional"))]
-    conjectures = table(spark, d, "orders").filter(o < 300).select(o.cast("string").alias("title"), kind.alias("kind"), status.alias("status"), F.array(F.lit("x"), F.lit("y")).alias("groups"), *flags)
+    conjectures = table(spark, d, "orders").select(o.cast("string").alias("title"), kind.alias("kind"), status.alias("status"), F.array(F.lit("x"), F.lit("y")).alias("groups"), *flags)
     return out(S.dual_descriptions(claims, conjectures))
 
 
@@ -143,14 +143,13 @@ def symptom_vector(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-with v as ({VECTOR}), h as (select user_id as other, features as hf from v where user_id < 20),
-c as (select user_id, other, round(list_cosine_similarity(features, hf), 9) as cosine from v, h where user_id >= 20)
+with v as ({VECTOR}), c as (select a.user_id, b.user_id as other, round(list_cosine_similarity(a.features, b.features), 9) as cosine from v a join v b on a.user_id <> b.user_id)
 select user_id, other, cosine, rank from (select *, row_number() over (partition by user_id order by cosine desc, other)::int as rank from c) where rank <= 3
 """)
 def profile_knn(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's three most similar others."""
     v = profiles(spark, d)
-    history = v.filter("user_id < 20").select(F.col("user_id").alias("other"), "features")
-    return nearest_profiles(v.filter("user_id >= 20"), history, "user_id", "other", "features", 3).withColumn("cosine", F.round("cosine", 9))
+    return nearest_profiles(v, v.withColumnRenamed("user_id", "other"), "user_id", "other", "features", 3, not_itself=True)
 
 
 @query("""
