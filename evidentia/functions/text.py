@@ -34,11 +34,14 @@ RED_FLAGS = (
 )
 
 
+def words_of(text: Column) -> Column:
+    """Words of three letters or more, repeats included."""
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z_-]{2,})"), F.lit(1))
+
+
 def content_words(text: Column) -> Column:
     """Words of three letters or more that are no stop words, repeats included."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("([a-z][a-z_-]{2,})"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words_of(text), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def overlap(a: Column, b: Column) -> Column:

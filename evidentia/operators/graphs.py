@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written in the folder that executors share (the session's checkpoint folder, else its warehouse) and read again."""
+    """``df`` written in the folder that executors share (the session's checkpoint folder; the warehouse where that is unset and the session is one process) and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/evidentia/{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,22 +78,21 @@ def bipartite(df: DataFrame, item: str, members: str) -> DataFrame:
 
 
 def components(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
-    """(node, component): the smallest node that each node's edges reach, by labels that spread and jump until they settle.
+    """(node, component): the smallest node that each node's edges reach, by labels that spread and jump until none changes; nodes of any ordered type.
 
     The number of rounds is logarithmic for all but long thin paths, whose labels halve their distance each round.
     """
     both = cut_lineage(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).unionAll(edges.select(F.col(target).alias("u"), F.col(source).alias("v"))).filter("u is not null and v is not null").distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l"))
-    seen = None
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l"), F.lit(True).alias("new"))
     while True:
         labels = cut_lineage(labels)
-        total = labels.agg(F.sum(F.col("l").cast("decimal(38,0)"))).first()[0]
-        if total == seen:
+        if labels.filter("new").isEmpty():
             return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
-        seen = total
+        labels = labels.drop("new")
         near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
         spread = labels.join(near, "u").select("u", "l", F.least("l", "n").alias("n"))
         # The root that a node hung on takes the node's new label, then labels jump to their label's label.
         hooked = spread.groupBy("l").agg(F.min("n").alias("h")).select(F.col("l").alias("u"), "h")
-        new = spread.join(hooked, "u", "left").select("u", F.least("n", F.coalesce("h", "n")).alias("l"))
-        labels = new.join(new.select(F.col("u").alias("l"), F.col("l").alias("j")), "l", "left").select("u", F.least("l", F.coalesce("j", "l")).alias("l"))
+        new = spread.join(hooked, "u", "left").select("u", F.col("l").alias("was"), F.least("n", F.coalesce("h", "n")).alias("l"))
+        jumped = new.join(new.select(F.col("u").alias("l"), F.col("l").alias("j")), "l", "left").select("u", "was", F.least("l", F.coalesce("j", "l")).alias("l"))
+        labels = jumped.select("u", "l", (F.col("l") != F.col("was")).alias("new"))

@@ -46,6 +46,16 @@ def contained_keys(keys: DataFrame, items: DataFrame, key: str, name: str) -> Da
     return keys.join(items, F.col(name).contains(F.col(key)) | F.col(key).contains(F.substring_index(name, "/", -1)))
 
 
+def class_of(members: str) -> Column:
+    """What sets of equal members have in common: the sorted members, comma-joined."""
+    return F.array_join(F.array_sort(members), ",")
+
+
+def set_classes(df: DataFrame, item: str, members: str) -> DataFrame:
+    """(class, members, n): the distinct sets and how many items have each."""
+    return df.groupBy(class_of(members).alias("class")).agg(F.first(members).alias("members"), F.count(item).alias("n"))
+
+
 def overlapping_sets(df: DataFrame, item: str, members: str) -> DataFrame:
     """Ordered pairs (item_a, item_b) whose sets share a member while a's set is not within b's.
 

@@ -128,10 +128,10 @@ def pair_severity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-select source, max((lang = 'de')::int) as de, max((lang = 'en')::int) as en, max((lang = 'es')::int) as es, max((lang = 'fr')::int) as fr from documents where n_chars > 5000 group by source
+select source, max((lang = 'de')::int) as de, max((lang = 'en')::int) as en, max((lang = 'es')::int) as es, max((lang = 'fr')::int) as fr from documents group by source
 """)
 def presence_matrix(spark: SparkSession, d: str) -> DataFrame:
-    return evidence.presence_matrix(table(spark, d, "documents").filter("n_chars > 5000"), "source", "lang", ["de", "en", "es", "fr"])
+    return evidence.presence_matrix(table(spark, d, "documents"), "source", "lang", ["de", "en", "es", "fr"])
 
 
 @query("""
@@ -175,16 +175,21 @@ def status_lattice(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with t as (select doc_id, lower(text) as x, len(string_split_regex(trim(text), '\\s+')) as w from documents where n_chars between 50 and 900),
+with t as (select doc_id, lower(text) as x, greatest(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')), 1) as w from documents),
 s as (select doc_id, least(((contains(x, 'the')::int + contains(x, 'tion')::int + contains(x, 'und')::int) / greatest(3 * 0.4, 1.0)), 1.0) as historical,
  (case when contains(x, 'password') then 0.0 else 1.0 end) as consistency, 0.5 * least(100 / w, 2.0) / 2.0 + 0.5 * least((contains(x, 'unify')::int + contains(x, 'unification')::int + contains(x, 'single')::int + contains(x, 'simpler')::int
  + contains(x, 'reduce')::int + contains(x, 'eliminate')::int + contains(x, 'remove')::int + contains(x, 'drop')::int + contains(x, 'one')::int + contains(x, 'emergent')::int + contains(x, 'derive')::int + contains(x, 'recover')::int
  + contains(x, 'explain')::int + contains(x, 'subsume')::int) / 3.0, 1.0) as simplification from t),
-r as (select doc_id, (historical + 3 * consistency + 2 * simplification + 0.5) / 11 as score from s)
+o as (select source, count(distinct lang) as langs, count(*) as n from documents group by source),
+r as (select doc_id, (historical + 3 * consistency + 2 * simplification + 2 * least(langs / 4, 1.0) + 2 * (case when contains(x, '|') then 1.0 else 0.0 end) + (case when n >= 5 then 0.3 when n >= 2 then 0.5 else 0.7 end)) / 11 as score
+ from s join t using (doc_id) join documents using (doc_id) join o using (source))
 select doc_id, round(score, 6) as score, row_number() over (order by round(score, 6) desc, doc_id)::int as rank from r order by rank limit 50
 """)
 def premise_rank(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("n_chars between 50 and 900")
+    """The premises of best score: what the text says of itself, how widely its source converges (languages), whether it answers an obstacle, and how new it is."""
+    docs = table(spark, d, "documents")
+    found = docs.groupBy("source").agg(F.countDistinct("lang").alias("langs"), F.count("*").alias("hits"))
+    docs = docs.join(found, "source")
     text, current = F.col("text"), F.lit("w " * 100)
     from evidentia.operators.scans import vetoed
 
@@ -192,9 +197,9 @@ def premise_rank(spark: SparkSession, d: str) -> DataFrame:
         "historical": X.keyword_score(text, ["the", "tion", "und"]),
         "consistency": F.when(vetoed(text, [["password"]]), 0.0).otherwise(1.0),
         "simplification": X.simplification(current, text),
-        "convergence": F.lit(0.0),
-        "obstacle": F.lit(0.0),
-        "novelty": F.lit(0.5),
+        "convergence": F.least(F.col("langs") / 4, F.lit(1.0)),
+        "obstacle": F.when(text.contains("|"), 1.0).otherwise(0.0),
+        "novelty": ranking.novelty_band(F.col("hits"), F.lit(0)),
     }
     top = docs.select("doc_id", F.round(ranking.premise_score(scores), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
     # The fifty rows of the top-k are ranked, not the table.
@@ -204,16 +209,18 @@ def premise_rank(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 with c as (select item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z_-]{2,}'), lambda w: not list_contains(string_split('STOP', ' '), w))) as w from benchmark),
-x as (select doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z_-]{2,}'), lambda w: not list_contains(string_split('STOP', ' '), w))) as w from documents where doc_id < 60),
-o as (select doc_id, item_id, len(list_intersect(x.w, c.w)) / len(c.w) as s from x, c where len(c.w) > 0)
-select doc_id, round(max(s), 6) as best from o group by doc_id
+x as (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z][a-z_-]{2,}'))) as w from documents), i as (select item_id, len(w) as n, unnest(w) as w from c),
+o as (select doc_id, item_id, count(*) / n as s from x join i using (w) group by doc_id, item_id, n)
+select doc_id, round(coalesce(max(s), 0.0), 6) as best from documents left join o using (doc_id) group by doc_id
 """.replace("STOP", " ".join(X.STOP_WORDS)))
 def content_word_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's best share of a benchmark item's content words."""
     items = table(spark, d, "benchmark").select("item_id", F.array_distinct(X.content_words(F.col("text"))).alias("own")).filter("size(own) > 0")
-    docs = table(spark, d, "documents").filter("doc_id < 60").select("doc_id", F.array_distinct(X.content_words(F.col("text"))).alias("words"))
-    # Shared words are counted by a join on the word; pairs without one score zero.
-    hits = docs.select("doc_id", F.explode("words").alias("w")).join(items.select("item_id", F.size("own").alias("n"), F.explode("own").alias("w")), "w")
-    score = hits.groupBy("doc_id", "item_id").agg((F.count("*") / F.first("n")).alias("s")).groupBy("doc_id").agg(F.max("s").alias("best"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    # Shared words are counted by a join on the word, which leaves out stop words as items have none; pairs without one score zero.
+    words = docs.select("doc_id", F.explode(F.array_distinct(X.words_of(F.col("text")))).alias("w"))
+    hits = words.join(items.select("item_id", F.size("own").alias("n"), F.explode("own").alias("w")), "w")
+    score = hits.groupBy("doc_id", "item_id", "n").agg((F.count("*") / F.col("n")).alias("s")).groupBy("doc_id").agg(F.max("s").alias("best"))
     return docs.select("doc_id").join(score, "doc_id", "left").select("doc_id", F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
 
 

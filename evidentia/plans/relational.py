@@ -152,12 +152,23 @@ def known_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with s as (select o_custkey as id, list_sort(list_distinct(list(o_orderpriority))) as m from orders where o_custkey < 120 group by 1)
-select a.id as id_a, b.id as id_b from s a join s b on a.id <> b.id and list_has_any(a.m, b.m) and len(list_filter(a.m, lambda x: not list_contains(b.m, x))) > 0
+with s as (select o_custkey as id, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as m from orders group by 1), c as (select m, count(*)::bigint as n from s group by m)
+select a.m as set_a, b.m as set_b, a.n as n_a, b.n as n_b from c a join c b on a.m <> b.m and list_has_any(string_split(a.m, ','), string_split(b.m, ','))
+and len(list_filter(string_split(a.m, ','), lambda x: not list_contains(string_split(b.m, ','), x))) > 0
 """)
 def composable_sets(spark: SparkSession, d: str) -> DataFrame:
-    sets = table(spark, d, "orders").filter("o_custkey < 120").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("m"))
-    return pairs.overlapping_sets(sets, "id", "m")
+    """Classes of customers by their set of priorities, paired where they share one and the first has one more; ``set_members`` has who is in which."""
+    sets = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("m"))
+    classes = pairs.set_classes(sets, "id", "m")
+    met = pairs.overlapping_sets(classes, "class", "members")
+    size = lambda s: classes.select(F.col("class").alias(f"class_{s}"), F.col("n").alias(f"n_{s}"))
+    return met.join(size("a"), "class_a").join(size("b"), "class_b").select(F.col("class_a").alias("set_a"), F.col("class_b").alias("set_b"), "n_a", "n_b")
+
+
+@query("select o_custkey as id, array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') as class from orders group by 1")
+def set_members(spark: SparkSession, d: str) -> DataFrame:
+    sets = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("m"))
+    return sets.select("id", pairs.class_of("m").alias("class"))
 
 
 @query("""
@@ -231,16 +242,14 @@ def priority_sort_limit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 select distinct source_kind, item from (
-select 'document' as source_kind, lower(trim(substring(text, 1, 40))) as item from documents where n_chars < 200
-union all select 'benchmark', lower(trim(substring(text, 1, 40))) from benchmark
-union all select 'part', lower(trim(p_name)) from part)
+select 'document' as source_kind, md5(lower(trim(text))) as item from documents
+union all select 'benchmark', md5(lower(trim(text))) from benchmark
+union all select 'part', md5(lower(trim(p_name))) from part)
 """)
 def tagged_candidates(spark: SparkSession, d: str) -> DataFrame:
-    head = lambda c: F.lower(F.trim(c))
-    docs = table(spark, d, "documents").filter("n_chars < 200").select(F.lit("document").alias("source_kind"), head(F.substring("text", 1, 40)).alias("item"))
-    items = table(spark, d, "benchmark").select(F.lit("benchmark").alias("source_kind"), head(F.substring("text", 1, 40)).alias("item"))
-    parts = table(spark, d, "part").select(F.lit("part").alias("source_kind"), head(F.col("p_name")).alias("item"))
-    return docs.unionByName(items).unionByName(parts).distinct()
+    """Candidates of three sources with their kind, told apart by the digest of what they say but for case."""
+    said = lambda name, kind, c: table(spark, d, name).select(F.lit(kind).alias("source_kind"), F.md5(F.lower(F.trim(c))).alias("item"))
+    return said("documents", "document", "text").unionByName(said("benchmark", "benchmark", "text")).unionByName(said("part", "part", "p_name")).distinct()
 
 
 @query("""

@@ -28,23 +28,22 @@ def number_from_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-with t as (select distinct l_discount / (1 + l_tax) as v from lineitem union select distinct l_quantity / 7.0 as v from lineitem where l_quantity < 9),
+with t as (select distinct l_discount / (1 + l_tax) as v from lineitem union select distinct l_quantity / 7.0 as v from lineitem),
 f as (select v, min(k) as k from t, range(1, 21) r(k) where abs(round(v * k) / k - v) < 1e-6 group by v)
 select round(t.v, 9) as v, case when k = 1 then round(t.v)::bigint::varchar when k is not null then round(t.v * k)::bigint::varchar || '/' || k::varchar end as fraction from t left join f using (v)
 """)
 def simple_fraction(spark: SparkSession, d: str) -> DataFrame:
     line = table(spark, d, "lineitem")
-    rows = line.select((F.col("l_discount") / (1 + F.col("l_tax"))).alias("v")).union(line.filter("l_quantity < 9").select(F.col("l_quantity") / 7.0)).distinct()
+    rows = line.select((F.col("l_discount") / (1 + F.col("l_tax"))).alias("v")).union(line.select(F.col("l_quantity") / 7.0)).distinct()
     return rows.select(F.round("v", 9).alias("v"), X.simple_fraction(F.col("v")).alias("fraction"))
 
 
 RULES = [("G_N", "G"), ("ell_P", "l_P"), ("hbar", "h"), ("[0-9]+", "#")]
 
 
-@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the', 'G_N', 'g'), 'G_N', 'G', 'g'), 'hbar', 'h', 'g'), '[0-9]+', '#', 'g') as text from documents where n_chars < 400")
+@query("select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'the', 'G_N', 'g'), 'G_N', 'G', 'g'), 'hbar', 'h', 'g'), '[0-9]+', '#', 'g') as text from documents")
 def regex_normalize(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").filter("n_chars < 400")
-    return docs.select("doc_id", X.rewrite(F.col("text"), [("the", "G_N"), *RULES]).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.rewrite(F.col("text"), [("the", "G_N"), *RULES]).alias("text"))
 
 
 MATH = [r"a \[ x^2 + y \] b \[ x^2 + y \]", "p $$ E = m c^2 $$ q $$ab$$", "none", "\\[\n z = 3 \n\\]"]
