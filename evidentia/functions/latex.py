@@ -14,24 +14,45 @@ from evidentia.functions.text import rewrite
 
 # Environments of displayed equations; starred forms are the same with a star.
 ENVIRONMENTS = ("equation", "align", "gather", "multline", "eqnarray", "displaymath")
-# Rules from notation to plain expressions, in order.
+def subscript(*names: str) -> str:
+    either = "(?:" + "|".join(names) + ")"
+    return rf"_(?:{either}(?![A-Za-z])|\{{(?:\\rm\s+)?{either}\}}|\{{\\(?:mathrm|rm|text)\{{{either}\}}\}}|\\mathrm\{{{either}\}})"
+
+
+# What notation stands for, as rules in order. Subscripts may be bare, braced or in roman type.
 NOTATION: Sequence[tuple[str, str]] = (
+    # Newton's constant
+    (r"\\kappa\^2\s*/\s*\(?\s*16\s*\\pi\s*\)?", "G"),
+    (r"\\kappa\^2\s*/\s*\(?\s*8\s*\\pi\s*\)?", "2*G"),
+    (r"\\kappa\^2", "16*pi*G"),
+    (r"\\kappa(?![a-zA-Z])", "sqrt(16*pi*G)"),
+    ("G" + subscript("N"), "G"),
+    # Planck length and mass
+    (r"(?:\\ell|(?<![A-Za-z\\])l)" + subscript("[pP]l?"), "l_P"),
+    (r"(?<![A-Za-z\\])[mM]" + subscript("[pP]l?"), "M_P"),
+    # Cosmological constant, Planck's constant, Immirzi parameter
+    (r"\\Lambda(?:" + subscript("cc", "cosm") + ")?", "Lambda"),
+    (r"\\lambda(?![a-zA-Z])", "Lambda"),
+    (r"\\hbar", "hbar"),
+    (r"\\(?:gamma|beta)" + subscript("I", "Immirzi"), "gamma_I"),
+    # String theory, noncommutative geometry, anisotropic scaling
+    (r"\\alpha'|\\alpha" + subscript("s"), "alpha_prime"),
+    ("(?<![A-Za-z])g" + subscript("s"), "g_s"),
+    ("(?<![A-Za-z])l" + subscript("s"), "sqrt(alpha_prime)"),
+    (r"\\theta" + subscript("NC"), "theta_NC"),
+    ("(?<![A-Za-z])z" + subscript("HL"), "z_HL"),
+    # Delimiters, then common mathematics; fractions nest two deep
+    (r"\\left\[", "("),
+    (r"\\right\]", ")"),
     (r"\\left|\\right", ""),
     (r"\\(?:mathrm|rm|text)\s*\{([^{}]*)\}", "$1"),
-    (r"\{\\rm\s+([A-Za-z]+)\}", "{$1}"),
-    (r"G_(?:N|\{N\})", "G"),
-    (r"\\?(?:ell|(?<![A-Za-z])l)_(?:[pP]l?|\{[pP]l?\})", "l_P"),
-    (r"(?<![A-Za-z])[mM]_(?:[pP]l?|\{[pP]l?\})", "M_P"),
-    (r"\\Lambda(?:_\{[a-z]+\})?", "Lambda"),
-    (r"\\hbar", "hbar"),
-    (r"\\(?:gamma|beta)_(?:I|\{I(?:mmirzi)?\})", "gamma_I"),
-    (r"\\alpha'", "alpha_prime"),
     (r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "(($1)/($2))"),
     (r"\\d?frac\{([^{}]+)\}\{([^{}]+)\}", "(($1)/($2))"),
     (r"\\sqrt\{([^{}]+)\}", "sqrt($1)"),
     (r"\\ln|\\log", "log"),
     (r"\\exp", "exp"),
     (r"\\pi", "pi"),
+    (r"\\infty", "oo"),
     (r"\\cdot|\\times", "*"),
     (r"\^\{([^{}]*)\}", "**($1)"),
     (r"\^", "**"),
@@ -68,14 +89,20 @@ def body(text: Column) -> Column:
 def display_math(text: Column) -> Column:
     """Distinct displayed equations between brackets or double dollars, of more than three characters."""
     found = F.concat(F.regexp_extract_all(text, F.lit(r"(?s)\\\[(.+?)\\\]"), F.lit(1)), F.regexp_extract_all(text, F.lit(r"(?s)\$\$(.+?)\$\$"), F.lit(1)))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: F.length(x) > 3))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 3))
+
+
+def inline_math(text: Column) -> Column:
+    """Distinct equations between single dollars, of more than a character; escaped and double dollars bound none."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)(?<![\\$])\$(?!\$)([^$]+?)(?<![\\$])\$(?!\$)"), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: F.length(x) > 1))
 
 
 def citations(text: Column) -> Column:
     """Distinct keys of citation commands, sorted."""
     groups = F.regexp_extract_all(text, F.lit(r"\\cite[tp]?\{([^}]+)\}"), F.lit(1))
     keys = F.flatten(F.transform(groups, lambda g: F.split(g, ",")))
-    return F.array_sort(F.array_distinct(F.filter(F.transform(keys, F.trim), lambda k: k != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(keys, lambda x: F.trim(x)), lambda k: k != "")))
 
 
 def normalised(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A group agrees if its mean is within this share of the overall mean.
@@ -26,11 +26,11 @@ def duplicate_clusters(df: DataFrame, content: Column, item: str, group: str, ra
 def consensus(df: DataFrame, topic: str, group: str, value: str, tolerance: float = TOLERANCE, universal_at: int = 3) -> DataFrame:
     """Per topic: overall mean, population deviation, relative spread, groups that agree or not, and whether all of three or more agree."""
     groups = df.groupBy(topic, group).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"), F.sum(F.col(value) * F.col(value)).alias("_q")).filter("_n > 0")
-    over = Window.partitionBy(topic)
-    mean = F.sum("_s").over(over) / F.sum("_n").over(over)
-    spread = F.sqrt(F.greatest(F.sum("_q").over(over) / F.sum("_n").over(over) - mean * mean, F.lit(0.0)))
-    each = groups.withColumn("mean", mean).withColumn("std", spread).withColumn("agrees", F.abs(F.col("_s") / F.col("_n") - F.col("mean")) / F.greatest(F.abs("mean"), F.lit(1e-30)) < tolerance)
-    out = each.groupBy(topic).agg(F.first("mean").alias("mean"), F.first("std").alias("std"), F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_disagree"))
+    mean = F.sum("_s") / F.sum("_n")
+    totals = groups.groupBy(topic).agg(mean.alias("mean"), F.sqrt(F.greatest(F.sum("_q") / F.sum("_n") - mean * mean, F.lit(0.0))).alias("std"))
+    each = groups.join(totals, topic).withColumn("agrees", F.abs(F.col("_s") / F.col("_n") - F.col("mean")) / F.greatest(F.abs("mean"), F.lit(1e-30)) < tolerance)
+    told = each.groupBy(topic).agg(F.count_if("agrees").alias("n_agree"), F.count_if(~F.col("agrees")).alias("n_disagree"))
+    out = totals.join(told, topic)
     return out.withColumn("rel_spread", F.try_divide(F.col("std"), F.abs("mean"))).withColumn("universal", (F.col("n_disagree") == 0) & (F.col("n_agree") >= universal_at))
 
 
@@ -42,23 +42,32 @@ def disagreement(out: DataFrame) -> DataFrame:
 def comparison_table(df: DataFrame, topic: str, group: str, value: str, order: str, tolerance: float = TOLERANCE, universal_at: int = 3) -> DataFrame:
     """Per topic: each group's first value by ``order``, their spread, and how many agree; all do if the spread is within tolerance."""
     firsts = df.filter(F.col(value).isNotNull()).groupBy(topic, group).agg(F.min_by(value, order).alias("_v"))
-    over = Window.partitionBy(topic)
-    each = firsts.withColumn("_mean", F.avg("_v").over(over)).withColumn("_near", F.coalesce(F.try_divide(F.abs(F.col("_v") - F.col("_mean")), F.abs("_mean")) < tolerance, F.lit(False)))
-    out = each.groupBy(topic).agg(F.count("*").alias("n_groups"), F.avg("_v").alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"), F.count_if("_near").alias("_near"))
+    totals = firsts.groupBy(topic).agg(F.count("*").alias("n_groups"), F.avg("_v").alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    near = F.coalesce(F.try_divide(F.abs(F.col("_v") - F.col("mean")), F.abs("mean")) < tolerance, F.lit(False))
+    out = totals.join(firsts.join(totals, topic).groupBy(topic).agg(F.count_if(near).alias("_near")), topic)
     out = out.withColumn("spread", F.try_divide(F.col("high") - F.col("low"), F.abs("mean")))
     close = F.coalesce(F.col("spread") < tolerance, F.lit(False))
     out = out.withColumn("n_agree", F.when(close, F.col("n_groups")).otherwise(F.col("_near"))).drop("_near")
     return out.withColumn("universal", (F.col("n_agree") == F.col("n_groups")) & (F.col("n_groups") >= universal_at))
 
 
+#: Groups whose names meet a topic at once.
+GROUPS = 1000
+
+
 def coverage_gaps(df: DataFrame, topic: str, group: str) -> DataFrame:
-    """Per topic that some but not all groups cover: the share as text, and the groups that lack it, sorted."""
+    """Per topic that some but not all groups cover: the share as text, and the groups that lack it, sorted.
+
+    Names of groups meet the topics in lists of about GROUPS, however many there are.
+    """
     universe = df.select(group).distinct()
-    every = universe.agg(F.array_sort(F.collect_set(group)).alias("_all"))  # a dimension: one row of group names
-    have = df.groupBy(topic).agg(F.collect_set(group).alias("_have"))
-    out = have.join(F.broadcast(every)).withColumn("_gap", F.array_sort(F.array_except("_all", "_have")))
-    out = out.filter((F.size("_have") > 0) & (F.size("_gap") > 0))
-    return out.select(topic, F.concat_ws("/", F.size("_have").cast("string"), F.size("_all").cast("string")).alias("coverage"), F.array_join("_gap", ",").alias("missing"))
+    total = universe.count()
+    lists = max(1, -(-total // GROUPS))
+    names = universe.groupBy(F.pmod(F.xxhash64(group), F.lit(lists)).alias("_list")).agg(F.collect_set(group).alias("_names"))
+    have = df.groupBy(topic).agg(F.collect_set(group).alias("_have")).filter((F.size("_have") > 0) & (F.size("_have") < total))
+    met = have.withColumn("_list", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long")))).join(names, "_list")
+    gaps = met.groupBy(topic).agg(F.array_sort(F.flatten(F.collect_list(F.array_except("_names", "_have")))).alias("_gap"), F.max(F.size("_have")).alias("_k"))
+    return gaps.select(topic, F.concat_ws("/", F.col("_k").cast("string"), F.lit(str(total))).alias("coverage"), F.array_join("_gap", ",").alias("missing"))
 
 
 def shared_items(df: DataFrame, text: str, group: str, share: float = 0.8, least: int = 2) -> DataFrame:
@@ -95,6 +104,11 @@ def mark_spread(df: DataFrame, kind: str, group: str, least: int) -> DataFrame:
     return df.join(wide, kind)
 
 
+def members_of(df: DataFrame, group: str, member: str) -> DataFrame:
+    """(group, members): the distinct members of each group, sorted."""
+    return df.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"))
+
+
 def presence_matrix(df: DataFrame, row: str, column: str, values: Sequence[str]) -> DataFrame:
     """One row per ``row``; a column per value, 1 where present, else 0. Values are given, so that no extra pass looks for them."""
     marks = [F.max(F.when(F.col(column) == v, 1).otherwise(0)).alias(v) for v in values]

@@ -52,6 +52,23 @@ def base_id(identifier: Column) -> Column:
     return F.regexp_replace(identifier, r"v[0-9]+$", "")
 
 
+def finite(value: Column) -> Column:
+    """A number, or null where it is NaN or infinite."""
+    return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
+
+
+def placed(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """``df`` in order, with ``place`` from 1.
+
+    The rows are numbered in two steps, by range and then within it, so that no task holds them all.
+    """
+    sorted_ = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
+    # One row for each part of the sorted table.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return sorted_.join(F.broadcast(sizes.withColumn("_before", before)), "_part").withColumn("place", (F.col("_before") + F.col("_in") - F.col("_first") + 1).cast("int")).select(*df.columns, "place")
+
+
 def content_hash(*cols: Column) -> Column:
     """First 16 hexadecimal digits of the sha256 of colon-joined columns, nulls as empty."""
     return F.substring(F.sha2(F.concat_ws(":", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols)), 256), 1, 16)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,16 @@ def symptom(kind: str, subject: Column, n: Column, confidence: Column) -> list[C
     return [F.lit(kind).alias("symptom_type"), subject.cast("string").alias("subject"), n.cast("long").alias("n"), confidence.cast("double").alias("confidence")]
 
 
-def epicycles(df: DataFrame, group: str, topic: str, other: str = "other") -> DataFrame:
-    """Groups with many items on few topics, or mostly on none: one conditional aggregation."""
-    is_other = F.col(topic) == other
-    out = df.groupBy(group).agg(F.count("*").alias("total"), F.countDistinct(F.when(~is_other, F.col(topic))).alias("types"), F.count_if(is_other).alias("others"))
+def cells(df: DataFrame, group: str, topic: str, labels: Column | None = None) -> DataFrame:
+    """(group, topic, n, labels): how many items of a group are on a topic, and the distinct labels of these items. What several detectors need, in one pass."""
+    kept = F.array_distinct(F.flatten(F.collect_set(labels))) if labels is not None else F.array().cast("array<string>")
+    return df.groupBy(group, topic).agg(F.count("*").alias("n"), kept.alias("labels"))
+
+
+def epicycles(df: DataFrame, group: str, topic: str, other: str = "other", n: str | None = None) -> DataFrame:
+    """Groups with many items on few topics, or mostly on none: one conditional aggregation. Rows count ``n`` items each, if given."""
+    is_other, items = F.col(topic) == other, F.col(n) if n else F.lit(1)
+    out = df.groupBy(group).agg(F.sum(items).alias("total"), F.countDistinct(F.when(~is_other, F.col(topic))).alias("types"), F.coalesce(F.sum(F.when(is_other, items)), F.lit(0)).alias("others"))
     ratio = F.col("total") / F.greatest("types", F.lit(1))
     found = out.filter((F.col("total") >= 3) & ((ratio > 5) | ((F.col("others") / F.col("total") > 0.6) & (F.col("total") >= 5))))
     return found.select(*symptom("EPICYCLE_ACCUMULATION", F.col(group), F.col("total"), capped(0.4, 0.1, ratio, 0.9)))
@@ -48,6 +54,15 @@ def coincidences(df: DataFrame, group: str, topic: str, other: str = "other", le
     return found.select(*symptom("UNEXPLAINED_COINCIDENCE", F.col(topic), n, capped(0.5, 0.1, n, 0.95)))
 
 
+def coincidence_premises(df: DataFrame, group: str, topic: str, premises: DataFrame, premise: str, other: str = "other", least: int = 3) -> DataFrame:
+    """(topic, n_groups, n_shared): topics that several groups reach, and how many premises all of these share; none means that the agreement is independent."""
+    reached = df.filter(F.col(topic) != other).select(topic, group).distinct()
+    wide = reached.groupBy(topic).agg(F.count("*").alias("n_groups")).filter(F.col("n_groups") >= least)
+    held = reached.join(premises.select(group, premise).distinct(), group).groupBy(topic, premise).agg(F.count("*").alias("_k"))
+    shared = held.join(wide, topic).filter("_k = n_groups").groupBy(topic).agg(F.count("*").alias("n_shared"))
+    return wide.join(shared, topic, "left").select(topic, "n_groups", F.coalesce("n_shared", F.lit(0).cast("long")).alias("n_shared"))
+
+
 def structured_obstacles(df: DataFrame, group: str, kind: str, least_groups: int = 3, least: int = 3, most_kinds: int = 3) -> DataFrame:
     """Kinds of obstacles that several groups share, and groups whose obstacles are of few kinds."""
     n = F.col("n")
@@ -64,10 +79,14 @@ def universal_quantities(df: DataFrame, group: str, topic: str, other: str = "ot
     return found.select(*symptom("UNIVERSAL_QUANTITY", F.col(topic), n, sure))
 
 
-def unexplained_values(df: DataFrame, group: str, topic: str, text: str, watched: Sequence[tuple[str, Sequence[str], str]], other: str = "other") -> DataFrame:
-    """Watched values (label, topics, pattern): groups with an item on the topics, or whose text has the pattern in any case. One pass for all."""
+def watched_labels(topic: str, text: str, watched: Sequence[tuple[str, Sequence[str], str]], other: str = "other") -> Column:
+    """Labels of the watched values (label, topics, pattern) that an item is on the topics of, or has the pattern of in its text, in any case."""
     hit = lambda topics, pattern: F.col(topic).isin(list(topics)) | (F.col(text).ilike(pattern) & (F.col(topic) != other))
-    labels = F.array_compact(F.array(*(F.when(hit(topics, pattern), F.lit(label)) for label, topics, pattern in watched)))
+    return F.array_compact(F.array(*(F.when(hit(topics, pattern), F.lit(label)) for label, topics, pattern in watched)))
+
+
+def unexplained_values(df: DataFrame, group: str, labels: Column) -> DataFrame:
+    """Watched values, by how many groups have items with the label. One pass for all."""
     n = F.col("n_groups")
     found = df.select(group, F.explode(labels).alias("label")).groupBy("label").agg(F.countDistinct(group).alias("n_groups"))
     return found.select(*symptom("UNEXPLAINED_VALUE", F.col("label"), n, capped(0.4, 0.15, n, 0.9)))
@@ -105,6 +124,20 @@ def detect_all(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
+def detected(spark: SparkSession, detectors: Mapping[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, str]]:
+    """The symptoms of all detectors that can be planned, and what kept the others from it, by name: a missing table or column of one leaves the rest."""
+    found, failed = [], {}
+    for name, detect in detectors.items():
+        try:
+            df = detect()
+            df.schema  # plans the query, so that an unknown column or table shows here
+            found.append(df)
+        except Exception as e:  # whatever a detector raises
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+    empty = spark.createDataFrame([], "symptom_type string, subject string, n long, confidence double")
+    return detect_all(empty, *found), failed
+
+
 def feature_vector(df: DataFrame, key: str, kind: str, confidence: str, group: str, topic: str, kinds: Sequence[str] = SYMPTOM_TYPES) -> DataFrame:
     """(key, features): presence, counts and highest confidence of each kind, then distinct groups and topics, number and mean confidence. One aggregation."""
     is_ = lambda k: F.col(kind) == k
@@ -137,6 +170,21 @@ def random_drops(df: DataFrame, key: str, symptoms: str, seed: int, copies: int
     return each.select(key, "copy", F.transform(kept, lambda r: r["x"]).alias(symptoms))
 
 
+def augment_all(df: DataFrame, key: str, year: str, stuck: str, symptoms: str, seed: int, negatives: DataFrame | None = None, copies: int = 3) -> DataFrame:
+    """(key, year, stuck, symptoms, way): records, their earlier snapshots, copies with symptoms dropped; then the negatives and copies of those."""
+
+    def dropped(rows: DataFrame) -> DataFrame:
+        return random_drops(rows, key, symptoms, seed, copies).drop("copy").join(rows.select(key, year, stuck), key).withColumn("way", F.lit("dropped"))
+
+    cols = [key, year, stuck, symptoms, "way"]
+    own = df.select(key, year, stuck, symptoms)
+    parts = [own.withColumn("way", F.lit("record")), time_slices(own, key, year, stuck, symptoms).withColumn("way", F.lit("slice")), dropped(own)]
+    if negatives is not None:
+        no = negatives.select(key, year, stuck, symptoms)
+        parts += [no.withColumn("way", F.lit("negative")), dropped(no)]
+    return reduce(DataFrame.unionByName, (p.select(cols) for p in parts))
+
+
 # What to question for each kind of wrong premise; {subject} is the symptom's.
 SUGGESTIONS = {
     "UNNECESSARY_ASSUMPTION": "Drop what {subject} takes for granted and see what remains.",

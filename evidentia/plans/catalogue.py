@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidentia.plans import evidence, expressions, graphs, models, relational, symptoms, texts  # noqa: F401
+from evidentia.plans import evidence, expressions, graphs, knowledge, models, relational, symptoms, texts  # noqa: F401
 from evidentia.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "symptoms_all"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidentia.functions import expressions as E
 from evidentia.functions.text import simple_fraction
 from evidentia.operators import clusters, pairs, ranking
-from evidentia.plans.registry import query
+from evidentia.plans.registry import known, query
 
 FORMULAS = [
     (1, "alpha", "area", "A/(4*G)"),
@@ -30,7 +30,20 @@ def formulas(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FORMULAS, "id int, grp string, topic string, expr string")
 
 
-@query()
+@query(
+    known(
+        "topic varchar, id_a int, id_b int, structural double, numerical double, dimensional double, score double, label varchar",
+        ('area', 1, 10, 0.0, None, 1.0, 0.428571, 'analogous'),
+        ('area', 1, 2, 1.0, 1.0, 1.0, 1.0, 'exact'),
+        ('area', 2, 10, 0.0, None, 1.0, 0.428571, 'analogous'),
+        ('area', 3, 10, 0.0, None, 1.0, 0.428571, 'analogous'),
+        ('area', 3, 4, 1.0, 1.0, 1.0, 1.0, 'exact'),
+        ('area', 4, 10, 0.0, None, 1.0, 0.428571, 'analogous'),
+        ('growth', 5, 6, 1.0, 1.0, 0.5, 0.884615, 'structural'),
+        ('growth', 5, 7, 0.8, 0.01, 0.5, 0.366154, 'analogous'),
+        ('growth', 8, 9, 1.0, 1.0, 0.5, 0.884615, 'structural'),
+    )
+)
 def expression_matches(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different groups within a topic, with structural, dimensional and numerical scores and their weighted mean."""
     found = pairs.cross_group_pairs(formulas(spark), "id", "grp", ["topic"], keep=["expr"])
@@ -44,7 +57,30 @@ def expression_matches(spark: SparkSession, d: str) -> DataFrame:
     return scored.withColumn("score", F.round(total, 6)).withColumn("label", ranking.match_label(F.col("score"))).filter("score >= 0.3")
 
 
-@query()
+@query(
+    known(
+        "id_a int, id_b int, distance int",
+        (1, 10, None),
+        (1, 2, 0),
+        (1, 3, 18),
+        (1, 4, 18),
+        (11, 12, 8),
+        (2, 10, None),
+        (2, 3, 18),
+        (3, 10, None),
+        (3, 4, 0),
+        (4, 10, None),
+        (5, 6, 4),
+        (5, 7, 1),
+        (5, 8, 4),
+        (6, 7, 5),
+        (6, 8, 6),
+        (6, 9, 11),
+        (7, 8, 4),
+        (7, 9, 8),
+        (8, 9, 8),
+    )
+)
 def tree_distance(spark: SparkSession, d: str) -> DataFrame:
     def of(a: str, b: str) -> int | None:
         x, y = E.parse(a), E.parse(b)
@@ -54,7 +90,13 @@ def tree_distance(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id_a", "id_b", E.udf(of, "int")(F.col("expr_a"), F.col("expr_b")).alias("distance"))
 
 
-@query()
+@query(
+    known(
+        "skeleton varchar, n_groups bigint, n bigint, significance double",
+        ('Add(Mul(c, log(Mul(Pow(v1, c), v0))), Mul(Pow(Mul(c, v1), c), v0))', 2, 2, 0.4),
+        ('Mul(Pow(Mul(c, v1), c), v0)', 2, 2, 0.4),
+    )
+)
 def skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
     """Skeletons that two or more groups share, and how significant: 0.4, from three groups on 0.6."""
     rows = formulas(spark).withColumn("skeleton", E.udf(lambda t: None if E.parse(t) is None else E.skeleton(E.parse(t)), "string")(F.col("expr")))
@@ -62,14 +104,43 @@ def skeleton_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("significance", F.when(F.col("n_groups") >= 3, 0.6).otherwise(0.4))
 
 
-@query()
+@query(
+    known(
+        "property varchar, n_groups bigint, n bigint, significance double",
+        ('even_in_x', 2, 2, 0.5),
+        ('homogeneous_in_A_deg_1.0', 2, 2, 0.5),
+        ('homogeneous_in_G_deg_-1.0', 2, 2, 0.5),
+        ('homogeneous_in_x_deg_2.0', 2, 2, 0.5),
+        ('homogeneous_in_y_deg_1.0', 2, 2, 0.5),
+        ('odd_in_A', 2, 2, 0.5),
+        ('odd_in_G', 2, 2, 0.5),
+        ('odd_in_y', 2, 2, 0.5),
+    )
+)
 def parity_scan(spark: SparkSession, d: str) -> DataFrame:
     rows = formulas(spark).select("grp", F.explode(E.udf(E.parity, "array<string>")(F.col("expr"))).alias("property"))
     out = rows.groupBy("property").agg(F.countDistinct("grp").alias("n_groups"), F.count("*").alias("n")).filter("n_groups >= 2")
     return out.withColumn("significance", F.least(F.col("n_groups") / 4, F.lit(1.0)))
 
 
-@query()
+@query(
+    known(
+        "id_a int, id_b int, c_a double, c_b double, fraction varchar",
+        (1, 2, 4.0, 4.0, '1'),
+        (1, 3, 4.0, -1.5, '-8/3'),
+        (1, 3, 4.0, 4.0, '1'),
+        (1, 4, 4.0, -1.5, '-8/3'),
+        (1, 4, 4.0, 4.0, '1'),
+        (2, 3, 4.0, -1.5, '-8/3'),
+        (2, 3, 4.0, 4.0, '1'),
+        (3, 4, -1.5, -1.5, '1'),
+        (3, 4, -1.5, 4.0, '-3/8'),
+        (3, 4, 4.0, -1.5, '-8/3'),
+        (3, 4, 4.0, 4.0, '1'),
+        (5, 8, 2.0, 2.0, '1'),
+        (8, 9, 2.0, 2.0, '1'),
+    )
+)
 def coefficient_ratios(spark: SparkSession, d: str) -> DataFrame:
     """Coefficients of different groups within a topic whose ratio is a simple fraction."""
     rows = formulas(spark).select("id", "grp", "topic", F.explode(E.udf(E.coefficients, "array<double>")(F.col("expr"))).alias("c"))
@@ -77,7 +148,19 @@ def coefficient_ratios(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("fraction", simple_fraction(F.col("ratio"))).filter("fraction is not null").select("id_a", "id_b", "c_a", "c_b", "fraction").distinct()
 
 
-@query()
+@query(
+    known(
+        "topic varchar, symbol varchar, at varchar, n_groups bigint, n_behaviours bigint, n_diverging bigint, significance double",
+        ('area', 'A', '0', 3, 2, 2, 0.8),
+        ('area', 'A', 'oo', 3, 1, 3, 0.7),
+        ('area', 'G', '0', 3, 1, 3, 0.7),
+        ('area', 'G', 'oo', 3, 2, 2, 0.8),
+        ('growth', 'x', '0', 4, 3, 1, 0.8),
+        ('growth', 'x', 'oo', 4, 2, 3, 0.8),
+        ('growth', 'y', '0', 4, 2, 0, 0.8),
+        ('growth', 'y', 'oo', 4, 1, 4, 0.7),
+    )
+)
 def limit_disagreement(spark: SparkSession, d: str) -> DataFrame:
     """Per topic, symbol and limit: where groups differ (0.8), and where two or more diverge (0.7)."""
 
@@ -92,22 +175,42 @@ def limit_disagreement(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("n_groups >= 2 and (n_behaviours > 1 or n_diverging >= 2)").withColumn("significance", F.when(F.col("n_behaviours") > 1, 0.8).otherwise(0.7))
 
 
-@query()
-def substitution_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs across topics that are equal once a symbol of one is renamed."""
-    maps = [("x", "A"), ("y", "G"), ("r", "x")]
+SUBSTITUTED = [(1, "a", "t", "kappa**2*x"), (2, "b", "t", "16*pi*G*x"), (3, "c", "t", "l_P**2*y"), (4, "a", "t", "G*y"), (5, "b", "u", "alpha_prime*x"), (6, "c", "u", "l_s**2*x"), (7, "a", "u", "x*l_s**2"), (8, "a", "v", "a*b + c*d + 1"), (9, "b", "v", "a*b + c*d"), (10, "c", "v", "broken (")]
 
-    def renamed(a: str, b: str) -> bool | None:
-        x, y = E.parse(a), E.parse(b)
-        if x is None or y is None:
-            return None
-        return any(s in E.symbols(x) and E.equal(E.substituted(x, {s: E.Node("Symbol", t)}), y) for s, t in maps) or E.equal(x, y)
 
-    found = pairs.cross_group_pairs(formulas(spark).withColumn("all", F.lit(1)), "id", "grp", ["all"], keep=["expr"])
-    return found.withColumn("same", E.udf(renamed, "boolean")(F.col("expr_a"), F.col("expr_b"))).filter("same").select("id_a", "id_b", F.lit(0.9).alias("significance"))
+@query(known("id_a int, id_b int, way varchar, significance double", (1, 2, "kappa_to_G", 0.85), (3, 4, "l_P_to_G", 0.85), (5, 6, "alpha_to_l_s", 0.85), (5, 7, "alpha_to_l_s", 0.85), (6, 7, "equal", 0.9), (8, 9, "near", 0.7)))
+def substitution_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs within a topic that are equal, equal once constants of one are written in the other's, or nearly so."""
+    rows = spark.createDataFrame(SUBSTITUTED, "id int, grp string, topic string, expr string")
+    found = pairs.cross_group_pairs(rows, "id", "grp", ["topic"], keep=["expr"])
+    level = E.udf(lambda a, b: [{"way": w, "significance": s} for w, s in E.substitution_levels(a, b)], "array<struct<way:string,significance:double>>")
+    return found.select("id_a", "id_b", F.explode(level(F.col("expr_a"), F.col("expr_b"))).alias("x")).select("id_a", "id_b", "x.*")
 
 
-@query()
+@query(
+    known(
+        "id_a int, id_b int, algebraic boolean, numerical boolean, counterexample boolean, status varchar",
+        (1, 10, None, None, None, 'inconclusive'),
+        (1, 2, True, True, False, 'verified'),
+        (1, 3, None, False, True, 'disproved'),
+        (1, 4, None, False, True, 'disproved'),
+        (11, 12, None, False, True, 'disproved'),
+        (2, 10, None, None, None, 'inconclusive'),
+        (2, 3, None, False, True, 'disproved'),
+        (3, 10, None, None, None, 'inconclusive'),
+        (3, 4, True, True, False, 'verified'),
+        (4, 10, None, None, None, 'inconclusive'),
+        (5, 6, True, True, False, 'verified'),
+        (5, 7, None, False, True, 'disproved'),
+        (5, 8, None, False, True, 'disproved'),
+        (6, 7, None, False, True, 'disproved'),
+        (6, 8, None, False, True, 'disproved'),
+        (6, 9, None, False, True, 'disproved'),
+        (7, 8, None, False, True, 'disproved'),
+        (7, 9, None, False, True, 'disproved'),
+        (8, 9, True, True, False, 'verified'),
+    )
+)
 def verification(spark: SparkSession, d: str) -> DataFrame:
     """Algebraic and numerical verification and counterexamples of pairs, and the verdict."""
     found = pairs.cross_group_pairs(formulas(spark), "id", "grp", ["topic"], keep=["expr"])
@@ -117,7 +220,19 @@ def verification(spark: SparkSession, d: str) -> DataFrame:
     return flags.withColumn("status", ranking.status(F.col("algebraic"), F.col("numerical"), none, F.col("counterexample"), none))
 
 
-@query()
+@query(
+    known(
+        "id int, leader int, tier varchar",
+        (1, 1, 'exact'),
+        (2, 1, 'exact'),
+        (3, 3, 'structural'),
+        (4, 3, 'structural'),
+        (5, 5, 'structural'),
+        (6, 5, 'structural'),
+        (8, 8, 'structural'),
+        (9, 8, 'structural'),
+    )
+)
 def duplicate_tiers(spark: SparkSession, d: str) -> DataFrame:
     return clusters.duplicate_tiers(formulas(spark), "topic", "id", "expr")
 

@@ -25,3 +25,15 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def known(schema: str, *rows: tuple) -> str:
+    """DuckDB SQL for rows that were worked out by hand; ``schema`` has name and type of each column."""
+    columns = [c.split() for c in schema.split(",")]
+
+    def cell(x: object) -> str:
+        return "null" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else repr(x)
+
+    names = ", ".join(f"c{k}" for k in range(len(columns)))
+    picked = ", ".join(f"c{k}::{kind} as {name}" for k, (name, kind) in enumerate(columns))
+    return f"select {picked} from (values {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) t({names})"

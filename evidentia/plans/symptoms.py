@@ -60,14 +60,19 @@ DUAL = (
 NULL = " union all ".join(sql("NULL_RESULT", f"'{s}'", "1", str(c), "") for s, c in NULLS)
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """Brands by topics, with the watched values of their items: five detectors read this, and Spark works it out once."""
+    return S.cells(items(spark, d), "grp", "topic", S.watched_labels("topic", "txt", WATCHED))
+
+
 @query(EPICYCLE)
 def symptom_epicycle(spark: SparkSession, d: str) -> DataFrame:
-    return out(S.epicycles(items(spark, d), "grp", "topic"))
+    return out(S.epicycles(counted(spark, d), "grp", "topic", n="n"))
 
 
 @query(COINCIDENCE)
 def symptom_coincidence(spark: SparkSession, d: str) -> DataFrame:
-    return out(S.coincidences(items(spark, d), "grp", "topic"))
+    return out(S.coincidences(counted(spark, d), "grp", "topic"))
 
 
 @query(OBSTACLE)
@@ -77,12 +82,12 @@ def symptom_obstacle(spark: SparkSession, d: str) -> DataFrame:
 
 @query(UNIVERSAL)
 def symptom_universal(spark: SparkSession, d: str) -> DataFrame:
-    return out(S.universal_quantities(items(spark, d), "grp", "topic"))
+    return out(S.universal_quantities(counted(spark, d), "grp", "topic"))
 
 
 @query(VALUE)
 def symptom_value(spark: SparkSession, d: str) -> DataFrame:
-    return out(S.unexplained_values(items(spark, d), "grp", "topic", "txt", WATCHED))
+    return out(S.unexplained_values(counted(spark, d), "grp", F.col("labels")))
 
 
 @query(MISMATCH)
@@ -92,7 +97,7 @@ def symptom_mismatch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(PROLIFERATION)
 def symptom_proliferation(spark: SparkSession, d: str) -> DataFrame:
-    return out(S.proliferation(items(spark, d), "grp"))
+    return out(S.proliferation(counted(spark, d), "grp"))
 
 
 @query(DUAL)
@@ -163,11 +168,18 @@ def time_slice_augment(spark: SparkSession, d: str) -> DataFrame:
     return S.time_slices(records, "o_custkey", "year", "stuck", "symptoms").withColumn("symptoms", F.array_join("symptoms", ","))
 
 
-@query()
+@query("""
+with r as (select o_custkey, list(o_orderpriority order by o_orderkey) as s from orders group by 1 having count(*) > 1)
+select o_custkey, unnest([0, 1, 2])::int as copy, len(s)::int as n, true as one_or_two_fewer, true as in_order from r
+""")
 def random_drop_augment(spark: SparkSession, d: str) -> DataFrame:
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: x["o_orderpriority"])
+    """Copies of records, with whether one or two symptoms are gone (but never all) and the rest stands in the old order."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))), lambda x: F.concat_ws(":", x["o_orderkey"].cast("string"), x["o_orderpriority"]))
     records = table(spark, d, "orders").groupBy("o_custkey").agg(ordered.alias("symptoms"))
-    return S.random_drops(records, "o_custkey", "symptoms", 7).withColumn("symptoms", F.array_join("symptoms", ","))
+    left = S.random_drops(records, "o_custkey", "symptoms", 7).withColumnRenamed("symptoms", "kept").join(records, "o_custkey")
+    fewer = F.size("symptoms") - F.size("kept")
+    in_order = F.filter("symptoms", lambda x: F.array_contains("kept", x)) == F.col("kept")
+    return left.select("o_custkey", "copy", F.size("symptoms").alias("n"), (fewer.between(1, 2) & (F.size("kept") > 0)).alias("one_or_two_fewer"), in_order.alias("in_order"))
 
 
 _TEMPLATES = "[" + ", ".join(f"'{x}'" for x in S.SUGGESTIONS.values()) + "]"

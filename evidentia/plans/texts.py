@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import latex, text as X
-from evidentia.plans.registry import query, table
+from evidentia.plans.registry import known, query, table
 
 NUMBERS = ["d_s = 2", "value ≈ 1.98 here", "it gives -1.5 overall", "the ratio 3/2 holds", "no number", "x = . y 7/4", "equals 4", "→ −3"]
 
@@ -77,29 +77,66 @@ PAPER = [
     "no math at all",
     "\\begin{eqnarray}x\\end{eqnarray} $$ S = \\frac{A}{4 G_N} $$",
 ]
-
-
-@query()
+CITING = [r"\cite{a,b} and \citep{c}", "none", r"\citet{b, a}\cite{a}", r"\cite{x:1,,y} \citex{z}", r"\cite{}"]
+
+
+@query(
+    known(
+        "id int, latex varchar, environment varchar, label varchar, section varchar, before varchar, after varchar, position int",
+        (0, 'E = m c^2', 'equation', 'eq:1', 'First', 'intro First see a,b and c', 'then align* a &= b align* Main results \\[ d_s = 2 \\] again \\[ d_s = 2 \\] 5\\%', 244),
+        (0, 'a &= b', 'align*', '', 'First', 'intro First see a,b and c equation eq:1 E = m c^2 equation then', 'Main results \\[ d_s = 2 \\] again \\[ d_s = 2 \\] 5\\%', 526),
+        (0, 'd_s = 2', 'displaymath', '', 'Main results', 'intro First see a,b and c equation eq:1 E = m c^2 equation then align* a &= b align* Main results', 'again \\[ d_s = 2 \\] 5\\%', 818),
+        (2, 'S = \\frac{A}{4 G_N}', 'displaymath', '', 'preamble', 'eqnarrayx eqnarray', '', 561),
+    )
+)
 def latex_equations(spark: SparkSession, d: str) -> DataFrame:
     return latex.equations(strings(spark, PAPER), "text").select("id", F.explode("equations").alias("e")).select("id", "e.*")
 
 
-@query()
+@query(
+    known(
+        "id int, place int, latex varchar, environment varchar, label varchar, section varchar, before varchar, after varchar, position int",
+        (0, 1, 'd_s = 2', 'displaymath', '', 'Main results', 'intro First see a,b and c equation eq:1 E = m c^2 equation then align* a &= b align* Main results', 'again \\[ d_s = 2 \\] 5\\%', 818),
+        (0, 2, 'E = m c^2', 'equation', 'eq:1', 'First', 'intro First see a,b and c', 'then align* a &= b align* Main results \\[ d_s = 2 \\] again \\[ d_s = 2 \\] 5\\%', 244),
+        (2, 1, 'S = \\frac{A}{4 G_N}', 'displaymath', '', 'preamble', 'eqnarrayx eqnarray', '', 561),
+    )
+)
 def key_equations(spark: SparkSession, d: str) -> DataFrame:
     return latex.key_equations(latex.equations(strings(spark, PAPER), "text"), "id", "equations", ["result", "conclusion"], 2)
 
 
-@query("select 0 as id, 'a,b,c' as keys union all select 1, '' union all select 2, ''")
+@query(known("id int, keys varchar", (0, "a,b,c"), (1, ""), (2, "a,b"), (3, "x:1,y"), (4, "")))
 def citation_keys(spark: SparkSession, d: str) -> DataFrame:
-    return strings(spark, PAPER).select("id", F.array_join(latex.citations(F.col("text")), ",").alias("keys"))
+    return strings(spark, CITING).select("id", F.array_join(latex.citations(F.col("text")), ",").alias("keys"))
+
+
+NOTATIONS = [
+    (r"S = \frac{A}{4 G_N}", "S = ((A)/(4 G))"),
+    (r"\ell_P^{2} \ln\left(x\right)", "l_P**(2) log(x)"),
+    (r"\frac{1}{\frac{a}{b}}", "((1)/(((a)/(b))))"),
+    (r"\sqrt{\hbar G_{N}}", "sqrt(hbar G)"),
+    (r"\kappa^2 / (16 \pi) + \kappa x", "G + sqrt(16*pi*G) x"),
+    (r"l_{\rm Pl} M_{\mathrm{Pl}} m_p", "l_P M_P M_P"),
+    (r"\Lambda_{cc} - \lambda", "Lambda - Lambda"),
+    (r"\gamma_{Immirzi} \beta_I", "gamma_I gamma_I"),
+    (r"g_{\rm s}^2 l_s \alpha'", "g_s**2 sqrt(alpha_prime) alpha_prime"),
+    (r"\theta_{NC} z_{HL} \to \infty", "theta_NC z_HL to oo"),
+    (r"a \cdot b \times \exp\left[x\right]", "a * b * exp(x)"),
+    (r"\alpha_{s} G_\mathrm{N} G_{\mathrm{N}}", "alpha_prime G G"),
+]
 
 
-@query("""
-select 0 as id, 'S = ((A)/(4 G))' as plain union all select 1, 'l_P**(2) log(x)' union all select 2, '((1)/(((a)/(b))))' union all select 3, 'sqrt(hbar G)'
-""")
+@query(known("id int, plain varchar", *((i, plain) for i, (_, plain) in enumerate(NOTATIONS))))
 def latex_to_expression(spark: SparkSession, d: str) -> DataFrame:
-    rows = strings(spark, [r"S = \frac{A}{4 G_N}", r"\ell_P^{2} \ln\left(x\right)", r"\frac{1}{\frac{a}{b}}", r"\sqrt{\hbar G_{N}}"])
-    return rows.select("id", latex.normalised(F.col("text")).alias("plain"))
+    return strings(spark, [said for said, _ in NOTATIONS]).select("id", latex.normalised(F.col("text")).alias("plain"))
+
+
+INLINE = ["take $x + y$ and $x + y$ of $z$", r"a cost of \$5 and $$a + b$$", "$a b$ then $c = d$", "none"]
+
+
+@query(known("id int, found varchar", (0, "x + y"), (1, ""), (2, "a b|c = d"), (3, "")))
+def latex_inline_math(spark: SparkSession, d: str) -> DataFrame:
+    return strings(spark, INLINE).select("id", F.array_join(latex.inline_math(F.col("text")), "|").alias("found"))
 
 
 REPLIES = ['prose [1, 2] tail', '```json\n{"a": [1, {"b": "]"}]}\n```', "nothing", '[{"x": 1}, {"x"', '{"items": []}']
@@ -119,7 +156,14 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", X.search_query(F.col("text")).alias("query"))
 
 
-@query()
+@query(
+    known(
+        "id int, p_name varchar, ratio double",
+        (0, 'small ring', 0.888889),
+        (1, 'blue bolt', 0.947368),
+        (3, 'hot gear', 1.0),
+    )
+)
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     """The part name most like each of a few texts, if half alike; text similarity needs Python, on distinct names only."""
     asked = strings(spark, ["smal rng", "blue bolts", "zzzz", "hot gear"])
