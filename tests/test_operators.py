@@ -6,10 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import latex, text as X
-from evidentia.operators import clusters, enrich, evidence, graphs, ranking, scans, sinks, symptoms, vectors
+from evidentia.operators import clusters, comparison, enrich, evidence, graphs, ranking, reports, scans, semantic, sinks, symptoms, vectors
 from evidentia.schema import DDL, empty
-from evidentia.sources import landed
-from evidentia.streaming.incremental import PhaseLog, stream_keep_first, windowed_counts
+from evidentia.sources import landed, literals
+from evidentia.streaming.incremental import Checkpoints, PhaseLog, run_phases, stream_keep_first, windowed_counts
 
 from .conftest import SF
 
@@ -236,3 +236,168 @@ def test_windowed_counts(spark, tmp_path):
 @pytest.mark.parametrize("name", ["bench", "__spark_entry__"])
 def test_top_modules_import(name):
     __import__(name)
+
+
+def test_phases_resume(spark, tmp_path):
+    log, ran = PhaseLog(spark, str(tmp_path / "log"), ["ingest_tier1", "extract", "compare"]), []
+    steps = {p: lambda p=p: ran.append(p) for p in log.phases}
+
+    def fails():
+        raise ValueError("no")
+
+    with pytest.raises(ValueError, match="no"):
+        run_phases(log, steps | {"extract": fails})
+    assert run_phases(log, steps) == ["extract", "compare"] and run_phases(log, steps) == ["compare"]
+    assert ran == ["ingest_tier1", "extract", "compare", "compare"]
+
+
+def test_checkpoints(spark, tmp_path):
+    points = Checkpoints(spark, str(tmp_path / "c"))
+    assert points.get("a") is None and points.get("a", "none") == "none"
+    points.set("a", "1")
+    points.set("a", "2")
+    points.set("b", "3")
+    assert (points.get("a"), points.get("b"), points.get("c")) == ("2", "3", None)
+
+
+def test_models_are_tried_and_routed(spark):
+    waits, tries = [], []
+
+    def rude(phase, prompt):
+        tries.append(prompt)
+        if len(tries) < 4:
+            raise OSError
+        return "ok"
+
+    assert enrich.patient(rude, sleep=waits.append)("p", "x") == "ok" and waits == [5.0, 10.0, 20.0]
+    assert enrich.patient(lambda *_: 1 / 0, tries=2, sleep=lambda _: None)("p", "x") is None
+    models = {"a": lambda p, t: "a", "b": lambda p, t: "b"}
+    route = enrich.routed(models, {"x": ["z", "b"]}, "a")
+    assert (route("x", ""), route("y", "")) == ("b", "a") and enrich.routed(models, {}, "none")("x", "") == "a"
+    asked = enrich.prompts(spark.createDataFrame([(1, "good"), (2, "bad")], "id int, t string"), "id", "e", F.col("t"))
+    model = enrich.patient(lambda phase, prompt: prompt if prompt == "good" else 1 / 0, tries=1)
+    assert [r.response_text for r in enrich.ask(asked, empty(spark, "response_cache"), model).collect()] == ["good"]
+
+
+def test_prompts(spark):
+    papers = spark.createDataFrame([(1, "T", 2020, "a" * 200), (2, None, None, None)], "id int, title string, year int, content string")
+    got = {r.id: r.prompt for r in enrich.extraction_prompts(papers, most=90).collect()}
+    assert "of T (2020)" in got[1] and "a" * 31 not in got[1] and "[...]" in got[1] and "of  ()" in got[2]
+    premises = spark.createDataFrame([("x", f"p{i}", float(i)) for i in range(30)] + [("y", "q", 1.0)], "g string, t string, s double")
+    (pair,) = enrich.contradiction_prompts(premises, "g", "t", "s").collect()
+    assert pair.pair == "x|y" and pair.prompt.count("\n- p") == 20 and "- p29\n" in pair.prompt and "p9\n" not in pair.prompt
+    found = spark.createDataFrame([(1, i) for i in range(5)] + [(2, 9)], "k int, v int")
+    assert rows(enrich.first_of_each(found, "k", ["v"])) == [(1, 0), (1, 1), (1, 2), (2, 9)]
+    assert rows(enrich.numbered_sections(found, "k", "v", ["v"])) == [(1, "1. 0\n2. 1\n3. 2\n4. 3\n5. 4"), (2, "1. 9")]
+
+
+def test_run_report(spark):
+    formulas = spark.createDataFrame([("a",), ("a",), ("b",)], "theory_slug string")
+    conjectures = spark.createDataFrame([("one", "says", "verified", 0.9, "mapping"), ("two", None, "known", 0.5, "universality"), ("three", None, "odd", 0.7, "x")], "title string, statement_natural string, status string, combined_score double, conjecture_type string")
+    out = reports.run_report({"papers": 2, "formulas": 3}, formulas, conjectures)
+    assert "- papers: 2\n- formulas: 3" in out and "- a: 2\n- b: 1" in out and "- one: says" in out and "- two" in out
+    assert out.index("[✓] one (score=0.90, status=verified)") < out.index("[?] three") < out.index("[●] two")
+    assert [r.title for r in reports.convergent(conjectures).orderBy("title").collect()] == ["one", "two"]
+
+
+def test_premise_and_breakthrough_reports(spark):
+    make = lambda cells, schema: spark.createDataFrame(cells, schema)
+    out = reports.premise_report(
+        make([("one", "universality", "open")], "title string, conjecture_type string, status string"),
+        make([("Space is smooth ", "a"), ("space is smooth", "b"), ("alone", "a")], "assumption_text string, theory_slug string"),
+        make([("drop it", 0.4), ("turn it", 0.6)], "proposed_shift string, score double"),
+        make([("clash", "major")], "description string, severity string"),
+        make([("no data", "x")], "description string, k string"),
+        top=1,
+        narrative="The end.",
+    )
+    assert "- space is smooth (2 frameworks)" in out and "- turn it (0.60)" in out and "drop it" not in out and "- [major] clash" in out and out.endswith("The end.\n")
+    out = reports.breakthrough_report(
+        make([("A",), ("A",)], "symptom_type string"), make([("light", 1905, 0.8)], "field string, year int, similarity double"), make([("X", 0.7)], "error string, probability double"),
+        make([("area",)], "topic string"), make([("turn it", 0.6)], "proposed_shift string, score double"), 0.5, 20,
+    )
+    assert "- A: 2" in out and "- light (1905): 0.80" in out and "- X: 0.70" in out and "- records: 20" in out
+
+
+def test_console_and_investigations(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x" * 60, 0.25), (2, None, None)], "id int, t string, s double")
+    assert reports.console_table(df, ["id"], width=5).splitlines() == ["id | t     | s", "---+-------+-----", "1  | xxxxx | 0.25", "2  |       |"]
+    reports.investigation_json(df, str(tmp_path / "i"))
+    assert spark.read.json(str(tmp_path / "i")).count() == 2
+    assert reports.investigation_text({"b": 1, "a": "é"}) == '{"a": "é", "b": 1}'
+
+
+def test_a_failing_detector_leaves_the_rest(spark):
+    good = lambda: symptoms.facts(spark.range(1), "NULL_RESULT", [("x", 0.5)])
+    found, failed = symptoms.detected(spark, {"good": good, "bad": lambda: spark.range(1).select("nowhere"), "also": good})
+    assert found.count() == 2 and set(failed) == {"bad"}
+
+
+def test_obstacles_of_droppable_premises(spark):
+    df = spark.createDataFrame([("a", "open", 0.9, "x"), ("b", "verified", 0.95, "y"), ("c", None, 0.4, None), ("d", "open", 0.2, "z")], "t string, st string, s double, w string")
+    found = comparison.droppable(df, "t", "st", "s")
+    assert [r.t for r in found.collect()] == ["a", "c"]
+    assert [r.what_it_might_mean for r in comparison.obstacles_of(found, "t", "s", "w").collect()] == ["Droppability: 0.90. x", "Droppability: 0.40. "]
+
+
+def test_semantic_vectors(spark):
+    df = spark.createDataFrame([(1, "area of the horizon"), (2, "the horizon area of"), (3, "nothing alike here"), (4, "12 !")], "id long, t string")
+    vectors_ = {r.id: np.array(r.vector) for r in semantic.word_vectors(df, "id", "t").collect()}
+    assert set(vectors_) == {1, 2, 3} and all(abs((v * v).sum() - 1) < 1e-12 for v in vectors_.values())
+    assert [(r.id_a, r.id_b) for r in semantic.like_each_other(df, "id", "t", 0.99).collect()] == [(1, 2)]
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_by_blocks(spark, block):
+    rng = np.random.default_rng(3)
+    vs = rng.normal(size=(60, 6))
+    vs[5] = 0
+    data = [(i, v.tolist(), i % 3) for i, v in enumerate(vs)] + [(60, None, 0), (61, [1.0, float("nan"), 0.0, 0.0, 0.0, 0.0], 0), (62, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(data, "id long, v array<double>, g int")
+    unit = vs / np.maximum(np.linalg.norm(vs, axis=1, keepdims=True), 1e-300)
+    cos = unit @ unit.T
+    want = sorted((i, j) for i in range(60) for j in range(i + 1, 60) if 5 not in (i, j) and 0.5 <= cos[i, j] < 0.9 and i % 3 != j % 3)
+    got = vectors.similar_pairs(df, "id", "v", 0.5, 0.9, "g", block=block).collect()
+    assert sorted((r.id_a, r.id_b) for r in got) == want and all(abs(r.cosine - cos[r.id_a, r.id_b]) < 1e-12 for r in got)
+    near = vectors.nearest_profiles(df.filter("id < 20"), df.withColumnRenamed("id", "o"), "id", "o", "v", 4, not_itself=True, block=block).collect()
+    for i in range(20):
+        order = sorted((j for j in range(60) if j not in (i, 5)), key=lambda j: (-round(cos[i, j], 9), j))[:4]
+        assert [r.o for r in sorted((r for r in near if r.id == i), key=lambda r: r["rank"])] == (order if i != 5 else [])
+    assert vectors.similar_pairs(df.limit(0), "id", "v", 0.5).count() == 0
+
+
+def test_forest_left_out_one_by_one(spark):
+    data = [(i, [float(i % 2), float(i)], i % 2) for i in range(6)]
+    got = vectors.leave_one_out_forest(spark.createDataFrame(data, "k int, f array<double>, c int"), "k", "f", "c", trees=5).collect()
+    assert sorted((r.k, r.c) for r in got) == [(i, i % 2) for i in range(6)] and all(r.predicted in (0, 1) for r in got)
+
+
+def test_gaps_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(evidence, "GROUPS", 2)
+    df = spark.createDataFrame([("t", g) for g in "abcde"] + [("u", "b"), ("u", "e"), ("v", "a")], "t string, g string")
+    assert rows(evidence.coverage_gaps(df, "t", "g")) == [("u", "2/5", "a,c,d"), ("v", "1/5", "b,c,d,e")]
+
+
+def test_components_of_texts(spark):
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y"), ("z", "z")], "src string, dst string")
+    assert rows(graphs.components(edges)) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x"), ("y", "x"), ("z", "z")]
+
+
+def test_literal_tables(spark):
+    assert [literals.frameworks(spark).count(), literals.symmetries(spark).count(), literals.connections(spark).count(), literals.turning_points(spark).count()] == [8, 8, 14, 15]
+    assert set(symptoms.ERROR_TYPES) >= {r.error for r in literals.records(spark).unionByName(literals.open_problems(spark)).select("error").distinct().collect()}
+    slugs = {f[0] for f in literals.FRAMEWORKS}
+    assert all(set(f) <= slugs and t in literals.TOPICS for f, t, _, _ in literals.CONNECTIONS) and {s[0] for s in literals.SYMMETRIES} == slugs
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from evidentia.__main__ import VIEWS, main
+    from evidentia.plans.catalogue import QUERIES
+
+    assert all(n in QUERIES for names in VIEWS.values() for n in names)
+    assert main(["list"]) == 0 and "symptoms_all" in capsys.readouterr().out
+    assert main(["sql", "point_lookup"]) == 0 and "c_custkey = 42" in capsys.readouterr().out
+    assert main(["run", "point_lookup", "--data", SF]) == 0 and "c_custkey" in capsys.readouterr().out
+    assert main(["view", "investigate-top", "--data", SF, "--out", str(tmp_path)]) == 0 and spark.read.parquet(f"{tmp_path}/worth_investigating").count() == 7
+    assert main(["run", "nothing", "--data", SF]) == 1
+    assert main(["phases", "--log", str(tmp_path / "log"), "--reset"]) == 0 and "next: ingest_tier1" in capsys.readouterr().out
