@@ -401,3 +401,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["view", "investigate-top", "--data", SF, "--out", str(tmp_path)]) == 0 and spark.read.parquet(f"{tmp_path}/worth_investigating").count() == 7
     assert main(["run", "nothing", "--data", SF]) == 1
     assert main(["phases", "--log", str(tmp_path / "log"), "--reset"]) == 0 and "next: ingest_tier1" in capsys.readouterr().out
+
+
+def test_archives_and_pdfs(spark, tmp_path):
+    import gzip
+    import io
+    import tarfile
+    import zlib
+
+    def tar(mode, **files):
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode=mode) as out:
+            for name, text in files.items():
+                info = tarfile.TarInfo(f"src/{name}.tex")
+                info.size = len(text)
+                out.addfile(info, io.BytesIO(text.encode()))
+        return held.getvalue()
+
+    for name, content in {"one.tar.gz": tar("w:gz", main="A", intro="B"), "two.tar": tar("w", main="C"), "three.gz": gzip.compress(b"D"), "four.gz": b"broken", "five.txt": b"no"}.items():
+        (tmp_path / name).write_bytes(content)
+    assert rows(landed.tex_archives(spark, str(tmp_path))) == [("one", "intro", "B"), ("one", "main", "A"), ("three", "main", "D"), ("two", "main", "C")]
+    page = lambda data, extra=b"": b"<< /Length %d %s >> stream\n%s\nendstream" % (len(data), extra, data)
+    first, second = b"BT (Hello \\(you\\)) Tj T* [(wo) -20 (rld)] TJ ET", zlib.compress(b"BT (\\101rea) Tj ET")
+    pdf = b"%PDF-1.4\n" + page(first) + page(second, b"/Filter /FlateDecode") + page(b"\xff\xd8", b"/Filter /DCTDecode")
+    (tmp_path / "p.pdf").write_bytes(pdf)
+    (tmp_path / "q.pdf").write_bytes(b"nothing")
+    assert rows(landed.pdf_texts(spark, str(tmp_path))) == [("p", "Hello (you)\nworld\nArea"), ("q", "")]
+
+
+def test_references_and_hits(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"paper": "a", "references": ["b", "c", "b", "", null, "a"]}\n{"paper": "b", "references": null}\n')
+    (tmp_path / "h.json").write_text('{"query": "q", "data": [{"title": "x", "citationCount": 30}, {"title": "y", "citationCount": null}]}\n{"query": "none", "data": []}\n')
+    assert rows(landed.references(spark, str(tmp_path / "r.json"))) == [("a", "b"), ("a", "c")]
+    assert rows(landed.references(spark, str(tmp_path / "r.json"), 1)) == [("a", "b")]
+    assert rows(landed.search_hits(spark, str(tmp_path / "h.json"))) == [("none", 0, 0), ("q", 2, 1)]
