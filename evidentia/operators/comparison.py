@@ -108,3 +108,12 @@ def first_containing(asked: DataFrame, items: DataFrame, key: str, text: str, it
     low, other = F.lower(text), F.lower(name)
     met = asked.join(items, other.contains(low) | low.contains(other))
     return met.groupBy(key).agg(F.min(item).alias(item))
+
+
+def verified_conjectures(conjectures: DataFrame, flags: DataFrame, key: str = "id") -> DataFrame:
+    """``conjectures`` with the flags (key, algebraic_verified, numerical_verified, dimensional_verified, counterexample_found, is_novel) that are known written in, and the status that follows."""
+    from evidentia.operators.scans import sparse_update
+
+    out = sparse_update(conjectures, flags, key)
+    names = ("algebraic_verified", "numerical_verified", "dimensional_verified", "counterexample_found", "is_novel")
+    return out.withColumn("status", ranking.status(*(F.col(c) for c in names)))

@@ -167,6 +167,33 @@ def engineered_features(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", F.posexplode(E.engineered(F.col("grp"), F.col("topic"), F.col("expr"), F.lit(0.5))).alias("pos", "x"))
 
 
+SOURCES = [(1, r"S = \frac{A}{4 l_P^2}"), (2, r"\hbar c"), (3, r"G_N^2 x"), (4, r"((")]
+
+
+@query(known("id int, expression varchar, plain varchar, consistent boolean", (1, "((A)/(4 l_P**2))", "1/4*A^1*G^-1", None), (2, "hbar c", "1", True), (3, "G**2 x", "1*G^2*x^1", None), (4, "((", None, None)))
+def normalised_in_full(spark: SparkSession, d: str) -> DataFrame:
+    """Notation to an expression (right of a sign of equality), then to natural units, then what is known of its dimension."""
+    from evidentia.functions import latex
+
+    rows = spark.createDataFrame(SOURCES, "id int, text string").withColumn("expression", F.trim(F.element_at(F.split(latex.normalised(F.col("text")), "="), -1)))
+    rows = rows.withColumn("natural", E.udf(E.natural_units, "string")(F.col("expression")))
+    plain = E.udf(lambda t: None if E.parse(t) is None else E.canonical(E.parse(t)), "string")
+    check = E.udf(lambda t: [x] if (x := E.dimension_check(t)) else [], "array<struct<consistent:boolean,g_power:int>>")
+    return rows.select("id", "expression", plain(F.col("natural")).alias("plain"), F.get(check(F.col("natural")), F.lit(0))["consistent"].alias("consistent"))
+
+
+@query("""
+with c as (select o_orderkey, case when o_orderkey % 7 = 0 then false end as n0, case when o_orderkey % 2 = 0 then true end as a1, case when o_orderkey % 5 = 0 then true end as x1 from orders)
+select o_orderkey, case when x1 then 'disproved' when n0 is not null and not n0 then 'known' when a1 then 'verified' else 'inconclusive' end as status from c
+""")
+def verified_conjectures(spark: SparkSession, d: str) -> DataFrame:
+    """Conjectures after the flags found were written in."""
+    key, none = F.col("o_orderkey"), F.lit(None).cast("boolean")
+    rows = table(spark, d, "orders").select("o_orderkey", *(none.alias(c) for c in ("algebraic_verified", "numerical_verified", "dimensional_verified", "counterexample_found")), F.when(key % 7 == 0, False).alias("is_novel"))
+    flags = rows.select("o_orderkey", F.when(key % 2 == 0, True).alias("algebraic_verified"), F.when(key % 5 == 0, True).alias("counterexample_found"))
+    return comparison.verified_conjectures(rows, flags, "o_orderkey").select("o_orderkey", "status")
+
+
 # Premises and matches.
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import latex, text as X
-from evidentia.operators import clusters, comparison, enrich, evidence, graphs, ranking, reports, scans, semantic, sinks, symptoms, vectors
+from evidentia.operators import clusters, comparison, enrich, evidence, graphs, ranking, regression, reports, scans, semantic, sinks, symptoms, vectors
 from evidentia.schema import DDL, empty
 from evidentia.sources import landed, literals
 from evidentia.streaming.incremental import Checkpoints, PhaseLog, run_phases, stream_keep_first, windowed_counts
@@ -435,3 +435,10 @@ def test_references_and_hits(spark, tmp_path):
     assert rows(landed.references(spark, str(tmp_path / "r.json"))) == [("a", "b"), ("a", "c")]
     assert rows(landed.references(spark, str(tmp_path / "r.json"), 1)) == [("a", "b")]
     assert rows(landed.search_hits(spark, str(tmp_path / "h.json"))) == [("none", 0, 0), ("q", 2, 1)]
+
+
+def test_symbolic_regression(spark):
+    points = spark.createDataFrame([(0.0, 1.0, 3.0), (1.0, 1.0, 1.0), (0.5, 0.0, 7.0), (0.0, 0.0, 2.0), (1.0, 0.0, 5.0)], "a double, b double, c double").withColumn("y", 2 * F.abs(F.col("a") + F.col("b") - 1.6) + 1.4)
+    best = regression.symbolic_fit(points, "y", ["a", "b", "c"], [1.6], rounds=3, keep=60).first()
+    assert best.loss < 1e-12 and "abs" in best.expr and abs(abs(best.slope) - 2) < 1e-9
+    assert regression.symbolic_fit(points, "a", ["a"], rounds=1).first().expr == "a"
