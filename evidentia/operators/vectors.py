@@ -168,7 +168,9 @@ def principal_axes(df: DataFrame, item: str, vector: str, k: int = 2) -> DataFra
     """(item, axes): projection on the ``k`` first principal components."""
     rows = df.select(item, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
     fitted = PCA(k=k, inputCol="_v", outputCol="_p").fit(rows)
-    return fitted.transform(rows).select(item, vector_to_array("_p").alias("axes"))
+    # An axis has two directions; its loadings' sum is made positive.
+    signs = F.array(*(F.lit(-1.0 if x < 0 else 1.0) for x in fitted.pc.toArray().sum(0)))
+    return fitted.transform(rows).select(item, F.zip_with(vector_to_array("_p"), signs, lambda x, s: x * s).alias("axes"))
 
 
 def forest_probabilities(train: DataFrame, test: DataFrame, key: str, features: str, label: str, trees: int = 200, seed: int = 42) -> DataFrame:

@@ -54,7 +54,21 @@ def cluster_summary(spark: SparkSession, d: str) -> DataFrame:
     return vectors.cluster_summary(rows, "label", "g", "t")
 
 
-@query()
+def _axis(n: int, of: str) -> str:
+    """The first eigenvector of a matrix (list of rows) by squaring it again and again: v{n}, its loadings' sum positive."""
+    trace = "list_sum(list_transform(range(1, 65), lambda i: c[i][i]))"
+    return f"""
+s{n}(k, c) as (select 0, c from {of} union all select k + 1, list_transform(c, lambda r: list_transform(c, lambda s: list_dot_product(r, s) / ({trace} * {trace}))) from s{n} where k < 16),
+u{n} as (select list_transform(range(1, 65), lambda i: c[i][i]) as d, c from s{n} where k = 16), w{n} as (select c[list_position(d, list_max(d))] as r from u{n}),
+v{n} as (select list_transform(r, lambda x: x / sqrt(list_dot_product(r, r)) * case when list_sum(r) < 0 then -1 else 1 end) as v from w{n})"""
+
+
+@query(f"""
+with recursive e as (select vec_id, unnest(range(1, 65)) as p, unnest(embedding)::double as x from embeddings), z as (select a.p as i, b.p as j, covar_samp(a.x, b.x) as q from e a join e b using (vec_id) group by all),
+c1 as (select list(r order by i) as c from (select i, list(q order by j) as r from z group by i)), {_axis(1, "c1")},
+l1 as (select c, v, list_dot_product(v, list_transform(c, lambda r: list_dot_product(r, v))) as l from c1, v1), c2 as (select list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * v[i] * v[j])) as c from l1), {_axis(2, "c2")}
+select vec_id, round(list_dot_product(embedding::double[], v1.v), 6) as axis_0, round(list_dot_product(embedding::double[], v2.v), 6) as axis_1 from embeddings, v1, v2
+""")
 def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     return vectors.principal_axes(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", *(F.round(F.get("axes", F.lit(k)), 6).alias(f"axis_{k}") for k in (0, 1)))
 
