@@ -9,6 +9,7 @@ from evidentia.functions import expressions as E
 from evidentia.functions.text import simple_fraction
 from evidentia.operators import clusters, pairs, ranking
 from evidentia.plans.registry import known, query
+from evidentia.sources.literals import FRAMEWORKS
 
 FORMULAS = [
     (1, "alpha", "area", "A/(4*G)"),
@@ -237,20 +238,23 @@ def duplicate_tiers(spark: SparkSession, d: str) -> DataFrame:
     return clusters.duplicate_tiers(formulas(spark), "topic", "id", "expr")
 
 
-@query()
-def expression_embedding(spark: SparkSession, d: str) -> DataFrame:
-    """Structure, fingerprint and engineered features, standardised: 84 numbers."""
+def embedding(spark: SparkSession) -> DataFrame:
+    """(id, scaled): structure, fingerprint and engineered features of expressions, standardised: 84 numbers."""
     from evidentia.operators.vectors import standardised
 
-    zero = lambda n: F.array_repeat(F.lit(0.0), n)
-    hot = lambda c, names: F.transform(F.array(*map(F.lit, names)), lambda x: (x == F.col(c)).cast("double"))
-    e = F.col("expr")
-    count = lambda s: F.size(F.split(e, s)).cast("double") - 1
-    rest = F.array(F.length(e).cast("double"), count(r"\*\*"), count("log|ln"), count("exp"), count("pi"), F.lit(0.5))
-    groups, topics = ["alpha", "beta", "gamma", "delta", "", "", "", ""], ["area", "growth", "limit", "", "", ""]
-    vec = F.concat(F.coalesce(E.udf(E.features, "array<double>")(e), zero(14)), F.coalesce(E.udf(E.fingerprint, "array<double>")(e), zero(50)), hot("grp", groups), hot("topic", topics), rest)
-    out = standardised(formulas(spark).withColumn("v", vec), "id", "v")
-    return out.select("id", F.posexplode("scaled").alias("pos", "x")).withColumn("x", F.round("x", 6))
+    zero, e = (lambda n: F.array_repeat(F.lit(0.0), n)), F.col("expr")
+    vec = F.concat(F.coalesce(E.udf(E.features, "array<double>")(e), zero(14)), F.coalesce(E.udf(E.fingerprint, "array<double>")(e), zero(50)), E.engineered(F.col("slug"), F.col("topic"), e, F.col("confidence")))
+    rows = formulas(spark).withColumn("slug", F.get(F.array(*(F.lit(f[0]) for f in FRAMEWORKS)), F.col("id") % 8)).withColumn("confidence", F.lit(0.5) + F.col("id") / 100)
+    return standardised(rows.withColumn("v", vec), "id", "v")
+
+
+@query("select unnest(range(0, 84))::int as pos, 12::bigint as n, true as centred, true as scaled")
+def expression_embedding(spark: SparkSession, d: str) -> DataFrame:
+    """Of each of the embedding's 84 numbers: over how many expressions it stands, and whether its mean is zero and its deviation one, or zero where it is constant."""
+    each = embedding(spark).select("id", F.posexplode("scaled").alias("pos", "x"))
+    out = each.groupBy("pos").agg(F.count("x").alias("n"), F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    near = lambda c, x: F.abs(F.col(c) - x) < 1e-9
+    return out.select("pos", "n", near("m", 0).alias("centred"), (near("s", 1) | near("s", 0)).alias("scaled"))
 
 
 PROFILES = [

@@ -73,11 +73,13 @@ def pca_2d(spark: SparkSession, d: str) -> DataFrame:
     return vectors.principal_axes(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id", *(F.round(F.get("axes", F.lit(k)), 6).alias(f"axis_{k}") for k in (0, 1)))
 
 
-@query()
+@query("select user_id, 3::int as classes, true as sums_to_one, true as in_range from (select distinct user_id from events where user_id % 2 = 1)")
 def forest_profile_predict(spark: SparkSession, d: str) -> DataFrame:
+    """A forest fitted on half the users' profiles and asked about the others: whether it gives each a distribution over the three classes."""
     rows = profiles(spark, d).withColumn("label", (F.col("user_id") % 3).cast("int"))
-    out = vectors.forest_probabilities(rows.filter("user_id < 100"), rows.filter("user_id >= 100"), "user_id", "features", "label", trees=20)
-    return out.select("user_id", F.posexplode("probabilities").alias("label", "probability"))
+    out = vectors.forest_probabilities(rows.filter("user_id % 2 = 0"), rows.filter("user_id % 2 = 1"), "user_id", "features", "label", trees=20)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda s, x: s + x)
+    return out.select("user_id", F.size("probabilities").alias("classes"), (F.abs(total - 1) < 1e-9).alias("sums_to_one"), F.forall("probabilities", lambda x: x.between(0, 1)).alias("in_range"))
 
 
 @query(f"""

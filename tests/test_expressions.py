@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from evidentia.functions import expressions as E
@@ -76,11 +78,10 @@ def test_verification():
 
 
 def test_embedding_has_84_finite_numbers(spark):
-    from evidentia.plans.catalogue import QUERIES
+    from evidentia.plans.expressions import embedding
 
-    rows = QUERIES["expression_embedding"](spark, "").groupBy("id").count().collect()
-    assert {r["count"] for r in rows} == {84}
-    assert QUERIES["expression_embedding"](spark, "").filter("isnan(x) or x is null").count() == 0
+    rows = embedding(spark).collect()
+    assert len(rows) == 12 and all(len(r.scaled) == 84 and all(map(math.isfinite, r.scaled)) for r in rows)
 
 
 def test_skeletons_and_distance():
