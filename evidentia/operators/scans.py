@@ -61,8 +61,11 @@ def placed(df: DataFrame, order: list[Column | str]) -> DataFrame:
     """``df`` in order, with ``place`` from 1.
 
     The rows are numbered in two steps, by range and then within it, so that no task holds them all.
+    The sorted rows are written, as another sort could cut the ranges elsewhere.
     """
-    sorted_ = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
+    from evidentia.operators.graphs import cut_lineage
+
+    sorted_ = cut_lineage(df.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id()))
     sizes = sorted_.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_first"))
     # One row for each part of the sorted table.
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
