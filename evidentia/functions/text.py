@@ -8,7 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,6 +146,18 @@ def text_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
+def best_match(df: DataFrame, name: str, asked: Sequence[str], least: float = 0.5) -> DataFrame:
+    """(id, name, ratio): of each given text, by its place, the distinct name most like it, if ``least`` alike; the later name wins ties.
+
+    The given texts are a short list. Lengths bound the ratio, so most pairs never reach Python.
+    """
+    texts = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(t).alias("text")) for i, t in enumerate(asked)))
+    pairs = df.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("a", F.explode(texts)).select("a.id", "a.text", name)
+    a, b = F.length("text"), F.length(name)
+    scored = pairs.filter(2 * F.least(a, b) >= least * (a + b)).withColumn("ratio", text_ratio(F.col("text"), F.col(name))).filter(F.col("ratio") >= least)
+    return scored.groupBy("id").agg(F.max_by(name, F.struct("ratio", name)).alias(name), F.round(F.max("ratio"), 6).alias("ratio"))
+
+
 def lookup(table: Mapping[str, object], key: Column, default: object) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key), F.lit(default))
 

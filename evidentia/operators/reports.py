@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import json
 from collections.abc import Mapping, Sequence
 
@@ -86,3 +87,21 @@ def investigation_json(found: DataFrame, path: str, key: str = "id") -> None:
 
 def investigation_text(row: Mapping[str, object]) -> str:
     return json.dumps(row, sort_keys=True, ensure_ascii=False, default=str)
+
+
+def scatter_svg(df: DataFrame, x: str, y: str, label: str, most: int = 2000, size: int = 480) -> str:
+    """A drawing of the first ``most`` points by label, a colour each; more than a page can show is left to the caller's choice of rows."""
+    rows = [(float(r[x]), float(r[y]), str(r[label])) for r in df.select(x, y, label).dropna().orderBy(label, x, y).limit(most).collect()]
+    labels = sorted({r[2] for r in rows})
+    scaled = lambda v, values: round(20 + (size - 40) * (v - min(values)) / ((max(values) - min(values)) or 1), 1)
+    xs, ys = [r[0] for r in rows], [r[1] for r in rows]
+    dots = [f'<circle cx="{scaled(a, xs)}" cy="{round(size - scaled(b, ys), 1)}" r="3" fill="hsl({360 * labels.index(t) // len(labels)},60%,45%)"><title>{html.escape(t)}</title></circle>' for a, b, t in rows]
+    return "\n".join([f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">', *dots, "</svg>"]) + "\n"
+
+
+def heatmap_svg(df: DataFrame, row: str, column: str, value: str, most: int = 2000, cell: int = 24) -> str:
+    """A drawing of a matrix given as cells (row, column, value), darker for larger values."""
+    cells = [(str(r[row]), str(r[column]), float(r[value])) for r in df.select(row, column, value).dropna().orderBy(row, column).limit(most).collect()]
+    down, across, top = sorted({c[0] for c in cells}), sorted({c[1] for c in cells}), max((abs(c[2]) for c in cells), default=1.0) or 1.0
+    boxes = [f'<rect x="{across.index(b) * cell}" y="{down.index(a) * cell}" width="{cell}" height="{cell}" fill="hsl(210,60%,{round(95 - 60 * abs(v) / top)}%)"><title>{html.escape(f"{a} / {b}: {v:g}")}</title></rect>' for a, b, v in cells]
+    return "\n".join([f'<svg xmlns="http://www.w3.org/2000/svg" width="{cell * len(across)}" height="{cell * len(down)}">', *boxes, "</svg>"]) + "\n"

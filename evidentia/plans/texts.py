@@ -166,7 +166,4 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
 )
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
     """The part name most like each of a few texts, if half alike; text similarity needs Python, on distinct names only."""
-    asked = strings(spark, ["smal rng", "blue bolts", "zzzz", "hot gear"])
-    names = table(spark, d, "part").select("p_name").distinct()
-    scored = asked.join(names).withColumn("ratio", X.text_ratio(F.col("text"), F.col("p_name"))).filter("ratio >= 0.5")
-    return scored.groupBy("id").agg(F.max_by("p_name", F.struct("ratio", "p_name")).alias("p_name"), F.round(F.max("ratio"), 6).alias("ratio"))
+    return X.best_match(table(spark, d, "part"), "p_name", ["smal rng", "blue bolts", "zzzz", "hot gear"])

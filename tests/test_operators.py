@@ -442,3 +442,12 @@ def test_symbolic_regression(spark):
     best = regression.symbolic_fit(points, "y", ["a", "b", "c"], [1.6], rounds=3, keep=60).first()
     assert best.loss < 1e-12 and "abs" in best.expr and abs(abs(best.slope) - 2) < 1e-9
     assert regression.symbolic_fit(points, "a", ["a"], rounds=1).first().expr == "a"
+
+
+def test_drawings(spark):
+    df = spark.createDataFrame([(0.0, 1.0, "a<b"), (2.0, 3.0, "c"), (None, 1.0, "c")], "x double, y double, t string")
+    svg = reports.scatter_svg(df, "x", "y", "t", size=100)
+    assert svg.count("<circle") == 2 and 'cx="20.0" cy="80.0"' in svg and 'cx="80.0" cy="20.0"' in svg and "a&lt;b" in svg
+    svg = reports.heatmap_svg(df.dropna(), "t", "y", "x", cell=10)
+    assert svg.count("<rect") == 2 and 'width="20" height="20"' in svg
+    assert "<circle" not in reports.scatter_svg(df.limit(0), "x", "y", "t")
