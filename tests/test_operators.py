@@ -451,3 +451,32 @@ def test_drawings(spark):
     svg = reports.heatmap_svg(df.dropna(), "t", "y", "x", cell=10)
     assert svg.count("<rect") == 2 and 'width="20" height="20"' in svg
     assert "<circle" not in reports.scatter_svg(df.limit(0), "x", "y", "t")
+
+
+@pytest.mark.parametrize("tile", [9, 5000])
+def test_clusters_that_last(spark, tile):
+    rng = np.random.default_rng(5)
+    centres = [(0, 0), (10, 0), (10, 1.6), (0, 10)]
+    points = [(i, (np.array(centres[i % 4]) + rng.normal(0, 0.15, 2)).tolist(), "one") for i in range(60)]
+    points += [(100, [40.0, 40.0], "one"), (200, [0.0, 0.0], "two"), (201, [0.1, 0.0], "two"), (300, [1.0, 1.0], None)]
+    df = spark.createDataFrame(points, "id long, v array<double>, b string")
+    got = {r.id: r.cluster for r in clusters.stable_clusters(df, "b", "id", "v", 5, 2, tile=tile).collect()}
+    assert len(got) == len(points) and all(got[i] == -1 for i in (100, 200, 201, 300))
+    for k in range(4):
+        own = [got[i] for i in range(k, 60, 4)]
+        assert max(set(own), key=own.count) == k and own.count(k) >= 13, (k, own)
+
+
+def test_a_lasting_cluster_holds_its_parts():
+    # two dense pairs of triples far apart; at size 3 the four triples last, at size 5 the two sixes
+    xs = np.array([0, 0.1, 0.2, 1, 1.1, 1.2, 50, 50.1, 50.2, 51, 51.1, 51.2])
+    i, j = np.triu_indices(12, 1)
+    tree = clusters.kruskal(i, j, np.abs(xs[i] - xs[j]))
+    assert len(tree) == 11
+
+    def of(n):
+        got = clusters.lasting(tree, n)
+        return sorted(sorted(i for i in got if got[i] == k) for k in set(got.values()))
+
+    assert of(3) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]] and of(5) == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11]] and of(7) == []
+    assert clusters.lasting([], 3) == {}
