@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -58,6 +61,14 @@ def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.Record
         yield batch.slice(at, step)
 
 
+def release() -> None:
+    """Gives back to the system what a task held: a worker process stays for the next tasks, also those of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the C library of GNU has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -78,7 +89,7 @@ def add_columns(
     kept = [f.name for f in keep]
     inputs = list(inputs)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def worked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
             for part in slices(batch):
@@ -87,6 +98,10 @@ def add_columns(
                 cols = [c if c.type == f.type else c.cast(f.type) for c, f in zip(cols, arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, schema=arrow)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from worked(batches)
+        release()
+
     return df.mapInArrow(run, schema)
 
 

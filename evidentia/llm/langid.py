@@ -21,6 +21,7 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -28,6 +29,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +42,7 @@ SAMPLE_CHARS, SAMPLE_ROWS, PIECES = 40_000, 400, 40
 #: Cells of a table of all transitions; beyond it, lists of transitions are searched, of about 1 MB a language.
 DENSE_CELLS = 1 << 26
 #: Characters of a stretch, and cells (characters by languages) of the stretches that walk in step at most.
-STRETCH, STEP = 512, 1 << 22
+STRETCH, STEP = 512, 1 << 21
 #: Walks in step at least; fewer go one by one, which is faster then.
 ABREAST = 48
 # Numerals that are neither digits nor letters: what a pattern of word characters takes for letters. The planes beyond have none.
@@ -107,7 +109,7 @@ class Parser:
         # Codes: 0 fills rows up, 1 is a character that no sample has.
         self.code = {c: k + 2 for k, c in enumerate(letters)}
         width = len(letters) + 2
-        self.lookup = np.ones(max(map(ord, letters), default=0) + 2, np.int32)
+        self.lookup = np.ones(max(map(ord, letters), default=0) + 2, np.int16 if width < 1 << 15 else np.int32)
         for c, k in self.code.items():
             self.lookup[ord(c)] = k
         automata = [Automaton([self.code[c] for c in samples[n]], width) for n in self.names]
@@ -142,15 +144,25 @@ class Parser:
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Counts, a row for each folded text and a column for each language."""
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        pieces = [(i, at, codes[at : at + STRETCH]) for i, codes in enumerate(map(self.encoded, texts)) for at in range(0, len(codes), STRETCH)]
         most = max(1, STEP // STRETCH // len(self.names))
-        ended = self.roots
-        for start in range(0, len(pieces), most):
-            some = pieces[start : start + most]
-            count, ended = self.walk([codes for _, _, codes in some], np.array([at > 0 for _, at, _ in some]), ended)
-            np.add.at(out, [i for i, _, _ in some], count.T)
+        ended, some = self.roots, []
+        for i, text in enumerate(texts):
+            codes = self.encoded(text)
+            for at in range(0, len(codes), STRETCH):
+                some.append((i, at, codes[at : at + STRETCH]))
+                if len(some) == most:
+                    ended = self.counted(some, ended, out)
+                    some = []
+        if some:
+            self.counted(some, ended, out)
         return out + (np.array([len(t) for t in texts]) > 0)[:, None]
 
+    def counted(self, some: list[tuple[int, int, np.ndarray]], before: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Adds the ends of phrases in stretches (text, place, codes) to ``out``, and returns the states at the end of the last."""
+        count, ended = self.walk([codes for _, _, codes in some], np.array([at > 0 for _, at, _ in some]), before)
+        np.add.at(out, [i for i, _, _ in some], count.T)
+        return ended
+
     def walk(self, stretches: list[np.ndarray], goes_on: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ends of phrases in each language and stretch, and the states at the end of the last one.
 
@@ -274,12 +286,24 @@ def fit(df: DataFrame, train: Column | None = None, text_col: str = "text", lang
     return out
 
 
+#: The parser that a worker process has built last, by the digest of its samples: tasks of one query share it.
+BUILT: dict[str, Parser] = {}
+
+
+def parser_of(name: str, samples: Broadcast) -> Parser:
+    if name not in BUILT:
+        BUILT.clear()
+        BUILT[name] = Parser(samples.value)
+    return BUILT[name]
+
+
 def predict(df: DataFrame, samples: dict[str, str], text_col: str = "text", out_cols: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``df`` with the language of each text and how clearly it wins, from 0 to 1."""
     shared = df.sparkSession.sparkContext.broadcast(samples)
+    name = hashlib.sha256(repr(sorted(samples.items())).encode()).hexdigest()
 
     def make():
-        parser = Parser(shared.value)
+        parser = parser_of(name, shared)
 
         def fn(texts: pa.Array) -> list[pa.Array]:
             got = parser.predict(texts.to_pylist())
