@@ -38,7 +38,7 @@ from evidentia.llm.common import add_columns, cut_lineage, held_out
 
 #: Labelled rows of each class that features are learned from, at most about this many, chosen by hash of the id.
 SAMPLE = 20_000
-#: Words kept in the memo of a worker; a full memo is emptied.
+#: Tokens kept in the memo of a task; a full memo is emptied.
 MEMO = 300_000
 #: Lengths of word beginnings that are features, beside whole words.
 PREFIXES = range(3, 8)
@@ -234,32 +234,30 @@ class Reader:
 
     def __init__(self, model: np.ndarray) -> None:
         self.model = model
-        self.memo: dict[str, tuple[str, ...]] = {}
 
     def words(self, token: str) -> tuple[str, ...]:
-        got = self.memo.get(token)
-        if got is None:
-            plain = core(token)
-            got = (plain,) if plain else ()
-            if not plain.isalpha() or ODD.search(plain):
-                got += tuple(re.findall(r"[^\W\d_]+", plain))
-                if ODD.search(plain):
-                    got += tuple(restore(plain, self.model).split())
-            if len(token) < 100:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[token] = got
-        return got
+        """What a token of lower case may say: its core, the words in it, and those of its restored reading."""
+        plain = core(token)
+        out = (plain,) if plain else ()
+        if not plain.isalpha() or ODD.search(plain):
+            out += tuple(re.findall(r"[^\W\d_]+", plain))
+            if ODD.search(plain):
+                out += tuple(restore(plain, self.model).split())
+        return out
 
-    def read(self, text: str) -> tuple[set[str], dict[str, tuple[str, ...]]]:
-        """Distinct words, restored ones among them; and of what is spaced out, its letters and the words in them."""
-        low = text.lower()
-        spaced = {}
+    def spaced(self, low: str) -> dict[str, tuple[str, ...]]:
+        """Of what is spaced out in a text of lower case, the letters and the words in them."""
+        out = {}
         for m in SPACED.finditer(low):
             if sum(map(len, m[0].split(" "))) <= 2 * (m[0].count(" ") + 1) - SINGLES:
                 words = restore(m[0].replace(" ", ""), self.model, True).split()
-                spaced["".join(words)] = tuple(words)
-        return set().union(*map(self.words, set(low.split()))), spaced
+                out["".join(words)] = tuple(words)
+        return out
+
+    def read(self, text: str) -> set[str]:
+        """Distinct words, restored ones among them."""
+        low = text.lower()
+        return set().union(*map(self.words, set(low.split())), *self.spaced(low).values())
 
 
 @dataclass
@@ -274,17 +272,21 @@ class Model:
 class Scorer:
     def __init__(self, model: Model) -> None:
         self.model, self.reader = model, Reader(model.language)
-        self.memo: dict[str, float] = {}
+        self.memo: dict[str, tuple[tuple[str, float], ...]] = {}
         self.lengths = sorted({len(f.removeprefix("=")) for f in model.marks} - set(range(LEAST)))
 
     def mark(self, word: str) -> float:
-        got = self.memo.get(word)
+        return max((self.model.marks.get(f, 0.0) for f in features(word)), default=0.0)
+
+    def marked(self, token: str) -> tuple[tuple[str, float], ...]:
+        """The words of a token that are marks, with their weight; of most tokens none."""
+        got = self.memo.get(token)
         if got is None:
-            got = max((self.model.marks.get(f, 0.0) for f in features(word)), default=0.0)
-            if len(word) < 100:
+            got = tuple((w, m) for w in self.reader.words(token) if (m := self.mark(w)) > 0)
+            if len(token) < 100:
                 if len(self.memo) >= MEMO:
                     self.memo.clear()
-                self.memo[word] = got
+                self.memo[token] = got
         return got
 
     def marks_within(self, letters: str) -> dict[str, float]:
@@ -300,10 +302,14 @@ class Scorer:
     def evidence(self, text: str | None) -> float:
         if not text:
             return 0.0
-        words, spaced = self.reader.read(text)
-        within = {k: v for letters in spaced for k, v in self.marks_within(letters).items()}
+        low = text.lower()
+        found: dict[str, float] = {}
+        for token in set(low.split()):
+            if got := self.marked(token):
+                found.update(got)
+        within = {k: v for letters in self.reader.spaced(low) for k, v in self.marks_within(letters).items()}
         # an exact sum, so that equal texts get equal sums
-        return math.fsum([*map(self.mark, words), *within.values()])
+        return math.fsum([*found.values(), *within.values()])
 
     def score(self, text: str | None) -> float:
         if self.model.curve is None:
@@ -322,8 +328,7 @@ def count_features(texts: DataFrame, language: np.ndarray, among: set[str] | Non
         reader, total = Reader(language), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words, spaced = reader.read(text or "")
-                found = {f for w in words.union(*spaced.values()) for f in features(w)}
+                found = {f for w in reader.read(text or "") for f in features(w)}
                 total.update(found if among is None else found & among)
                 total[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "n"])
