@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Words that carry no content.
-STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for "
-    "on with at by from as into through during before after above below between out off over under again further then once here there when "
-    "where why how all each every both few more most other some such no nor not only own same so than too very and but or if that "
-    "this these those it its what which who whom"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "can", "shall", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during",
+    "before", "after", "above", "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "each", "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own",
+    "same", "so", "than", "too", "very", "and", "but", "or", "if", "that", "this", "these", "those", "it", "its", "what", "which", "who",
+    "whom",
+]
 # Words that signal a simpler premise.
 SIMPLER = ("unify", "unification", "single", "simpler", "reduce", "eliminate", "remove", "drop", "one", "emergent", "derive", "recover", "explain", "subsume")
 # Combinations of words that contradict established results.

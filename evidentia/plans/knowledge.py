@@ -55,7 +55,7 @@ SHIFTS = [(1, "Drop absolute time: simultaneity depends on the frame of the obse
 @query(known("id int, name varchar, score double", (1, "special relativity", 1.0), (2, "entropy of horizons", 1.0), (3, "special relativity", 0.0), (4, "conservation laws", 1.0)))
 def turning_point_match(spark: SparkSession, d: str) -> DataFrame:
     """The turning point whose words a proposed shift has most of; the first one wins ties."""
-    best = X.best_label(F.col("text"), [(name, literals.words_of(said)) for name, said in literals.TURNING_POINTS])
+    best = X.best_label(F.col("text"), literals.TURNING_POINTS)
     return spark.createDataFrame(SHIFTS, "id int, text string").select("id", best.alias("b")).select("id", F.col("b.label").alias("name"), F.round("b.score", 6).alias("score"))
 
 
