@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -170,3 +170,20 @@ def join_counted(left: DataFrame, right: DataFrame, key: str, n: str) -> DataFra
     hot, rest = right.filter(F.col(n) > bound).drop(n), right.filter(F.col(n) <= bound).drop(n)
     seldom = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
     return left.join(F.broadcast(hot), key).unionByName(seldom)
+
+
+def running(df: DataFrame, out: str, value: str, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows before each row in ``order``, within each group of the columns ``by``, which hold no nulls.
+
+    Rows are dealt by ranges and written; a range adds what the ranges before it hold, so a
+    group of any size is many tasks' work. ``df`` is read twice, for the ranges first. Rows alike
+    in ``by`` and ``order`` are one task's.
+    """
+    part, own, ahead = fresh(df, "part", "own", "ahead")
+    dealt = cut_lineage(df.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))
+    sums = dealt.groupBy(part, *by).agg(F.sum(value).alias(own))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each range and group
+    offsets = sums.select(part, *by, F.coalesce(F.sum(own).over(before), F.lit(0)).alias(ahead))
+    within = Window.partitionBy(part, *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = dealt.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
+    return summed.join(offsets, [part, *by]).withColumn(out, F.col(out) + F.col(ahead)).drop(part, ahead)

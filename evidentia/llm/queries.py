@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import ann, bpe, chat, decontam, langid, pii, secrets, simhash, toxicity, urls
+from evidentia.llm import ann, bpe, chat, decontam, langid, mixture, phrases, pii, resample, secrets, simhash, toxicity, urls
 from evidentia.llm.common import held_out, read
 
 
@@ -78,6 +78,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best(phrases.collocations(read(spark, sf_dir, "documents")))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), longest=1)
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -89,6 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "op11_phrases": op11_phrases,
+    "op12_resample": op12_resample,
+    "op13_mixture": op13_mixture,
 }
 
 #: DuckDB SQL for the queries that SQL can express.
@@ -97,4 +112,7 @@ ORACLES: dict[str, str] = {
     "op7_ann": ann.ORACLE,
     "op8_decontam": decontam.ORACLE,
     "op9_secrets": secrets.ORACLE,
+    "op11_phrases": phrases.ORACLE,
+    "op12_resample": resample.ORACLE,
+    "op13_mixture": mixture.ORACLE,
 }
