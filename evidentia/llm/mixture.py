@@ -4,8 +4,9 @@ Sources have weights and share a number of words; a source's share stops at ``mo
 the excess goes to the others by weight, round by round. Within a source a document is expected
 in as many copies as its share of the source's target asks for, ``most`` at the most. The whole part
 of that number is certain. The fraction is its inclusion probability in a sample of fixed size: documents
-are ranked by the odds of a random number over the odds of that probability, and the first ones are
-taken, until their words are as near as can be to what the certain copies leave of the target.
+are ranked by the odds of a random number over the odds of that probability, and in this order each is
+taken whose words still fit into what the certain copies leave of the target. So what a source lacks in the end is less than its
+smallest document that was not drawn.
 
 The random number comes from a seed and the id, so reruns agree. Ranks and running sums are worked
 out by ranges, so a source with any share of the rows is many tasks' work.
@@ -19,6 +20,7 @@ whatever their names; an empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +75,24 @@ def expected(docs: DataFrame, sources: DataFrame, most: int) -> DataFrame:
         now = new.drop("rises")
 
 
+def draw(pool: DataFrame) -> list[DataFrame]:
+    """Tables that hold the rows of ``pool`` (id, key, size, whole, left, odds) with their ``copies``: one more than ``whole`` where a row, by its rank, fits into what is left to its key.
+
+    A round takes of every key the first rows as far as they all fit; the next one goes
+    on behind them with the rows that fit into what is then left.
+    """
+    out = []
+    while not pool.isEmpty():
+        ranked = running(pool, "before", "size", [F.col("odds"), F.col("id"), F.col("size")], ["key"])
+        ranked = cut_lineage(ranked.withColumn("fits", F.col("before") + F.col("size") <= F.col("left")).drop("before"))
+        out.append(ranked.filter("fits").withColumn("copies", F.col("whole") + 1))
+        rest = ranked.groupBy("key").agg((F.first("left") - F.sum(F.when(F.col("fits"), F.col("size")).otherwise(0))).alias("left"), F.count("*").alias("rows"))
+        rest = cut_lineage(join_counted(ranked.filter("not fits").drop("fits", "left"), cut_lineage(rest), "key", "rows"))
+        out.append(rest.filter("size > left").withColumn("copies", F.col("whole")))
+        pool = rest.filter("size <= left")
+    return out
+
+
 def mix(
     df: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -88,8 +108,7 @@ def mix(
 
     Sources in order of code points, null last, have the ``weights`` in turn. ``weight_col``
     names positive weights of documents within their source, null counting as 0; without it all words of a
-    source are as likely. Of documents larger than twice what is left to a source none is drawn,
-    as none would bring it nearer.
+    source are as likely.
     """
     weight = F.coalesce(F.greatest(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0)) if weight_col else F.lit(1.0)
     size = F.coalesce(F.regexp_count(text_col, F.lit(f"[^{BLANKS}]+")), F.lit(0)).cast("long")
@@ -110,17 +129,15 @@ def mix(
     left = cut_lineage(held.groupBy("key").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("left"), F.count("*").alias("rows")))
     held = join_counted(held, left, "key", "rows")
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("chance") / (1 - F.col("chance")))
-    drawn = (F.col("chance") > 0) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left"))
-    held = cut_lineage(held.withColumn("drawn", drawn))
-    ranked = running(held.filter("drawn").withColumn("odds", odds), "before", "size", [F.col("odds"), F.col("id"), F.col("size")], ["key"]).drop("odds")
-    taken = F.col("whole") + (2 * F.col("before") + F.col("size") < 2 * F.col("left")).cast("long")
-    every = ranked.withColumn("copies", taken).drop("before").unionByName(held.filter("not drawn").withColumn("copies", F.col("whole")))
+    held = cut_lineage(held.withColumn("odds", F.when((F.col("chance") > 0) & (F.col("size") > 0) & (F.col("size") <= F.col("left")), odds)))
+    copies = [held.filter("odds is null").withColumn("copies", F.col("whole")), *draw(held.filter("odds is not null"))]
+    every = reduce(DataFrame.unionByName, (c.select("id", "size", "source_size", "target", "copies") for c in copies))
     return every.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 #: DuckDB SQL for the query's rows. The level at which the sources share is found from their order by cap over weight.
 ORACLE = """
-with d as (select row_number() over () as row_no, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
+with recursive d as (select row_number() over () as row_no, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size,
   (('0x' || sha256('2024:' || coalesce(doc_id::varchar, ''))[1:13])::bigint + 0.5) / 4503599627370496.0 as u from documents),
 g as (select source, sum(size)::bigint as source_size from d group by source),
 p as (select source, source_size, [5, 2, 1][((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::int]::double as weight from g),
@@ -131,6 +148,13 @@ t as (select source, source_size, least(weight * level, 3.0 * source_size) as ta
 e as (select d.*, source_size, target, case when source_size > 0 then least(target / source_size, 3.0) else 0.0 end as copies from d join t on d.source is not distinct from t.source),
 w as (select *, floor(copies)::bigint as whole, copies - floor(copies) as chance from e),
 r as (select *, target - sum(whole * size) over (partition by source) as left_ from w),
-o as (select row_no, sum(size) over (partition by source order by (u / (1 - u)) / (chance / (1 - chance)), doc_id, size rows between unbounded preceding and current row) - size as before from r where chance > 0 and size > 0 and size < 2 * left_)
-select doc_id, size, source_size, target, (whole + coalesce(2 * before + size < 2 * left_, false)::bigint) as copies, (size * (whole + coalesce(2 * before + size < 2 * left_, false)::bigint))::bigint as taken from r left join o using (row_no)
+draw(round, row_no, source, doc_id, size, odds, rest, fits) as (
+  select *, sum(size) over (partition by source order by odds, doc_id, size rows between unbounded preceding and current row) <= rest from (
+    select 0, row_no, source, doc_id, size, (u / (1 - u)) / (chance / (1 - chance)) as odds, left_ as rest from r where chance > 0 and size > 0 and size <= left_)
+  union all
+  select *, sum(size) over (partition by source order by odds, doc_id, size rows between unbounded preceding and current row) <= rest from (
+    select round + 1, row_no, source, doc_id, size, odds, rest from (
+      select * exclude (rest), rest - coalesce(sum(size) filter (fits) over (partition by source), 0) as rest from draw) where not fits and size <= rest)),
+o as (select row_no from draw where fits)
+select doc_id, size, source_size, target, whole + (o.row_no is not null)::bigint as copies, size * (whole + (o.row_no is not null)::bigint) as taken from r left join o using (row_no)
 """

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut_lineage, join_counted, release, running, ship, slices
+from evidentia.llm.common import cut_lineage, join_counted, release, ship, slices
 
 #: Rows and bytes of a table of names that is broadcast.
 NAMES, NAME_BYTES = 1_000_000, 64 << 20
@@ -208,19 +208,18 @@ def name_pairs(docs: DataFrame, names: DataFrame) -> DataFrame:
     return replaced(docs, make)
 
 
-def numbered(counts: DataFrame, least: int, *keys: str) -> DataFrame:
-    """Counts (keys, n) of at least ``least``, with a number ``id`` from 1 on."""
-    often = cut_lineage(counts.filter(F.col("n") >= least).withColumn("one", F.lit(1).cast("long")))
-    return running(often, "id", "one", [F.col(k) for k in keys]).select(*keys, "n", (F.col("id") + 1).alias("id"))
+def numbered(counts: DataFrame, least: int) -> DataFrame:
+    """Counts of at least ``least``, written with a positive number ``id`` for each; numbers need not be without gaps."""
+    return cut_lineage(counts.filter(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id() + 1))
 
 
 def levels(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Counts (lang, word, n) of all words, and for each length the frequent phrases: (lang, word, n, id), then (a, b, n, id) with their parents' numbers."""
     words = cut_lineage(word_counts(docs))
-    found = [cut_lineage(numbered(words, least, "lang", "word"))]
+    found = [numbered(words, least)]
     now = cut_lineage(name_words(docs, found[0]))
     for k in range(2, longest + 1):
-        found.append(cut_lineage(numbered(pair_counts(now), least, "a", "b")))
+        found.append(numbered(pair_counts(now), least))
         if k < longest:
             now = cut_lineage(name_pairs(now, found[-1]), now)
     return words, found
