@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import expressions as E
 from evidentia.operators.graphs import components, cut_lineage
+from evidentia.operators.hierarchy import stable_clusters as stable_clusters
 
 
 def leader_clusters(df: DataFrame, block: str, item: str, text: str, alike: Callable[[str, str], bool]) -> DataFrame:
@@ -97,119 +98,6 @@ def density_clusters(df: DataFrame, block: str, item: str, vector: str, min_size
     return member.join(whole, "_c", "left").select(item, F.coalesce("_first", F.lit(-1).cast("long")).alias("cluster"))
 
 
-def stable_clusters(df: DataFrame, block: str, item: str, vector: str, min_size: int = 3, min_samples: int = 2, tile: int = 2048) -> DataFrame:
-    """(item, cluster) by the whole hierarchy of mutual reachability: of nested clusters those that last longest, each named by its smallest item; -1 is noise.
-
-    Two tiles give the shortest spanning forest of the pairs between them; those of all tiles
-    hold the block's shortest tree, which one task turns into the hierarchy: as many edges as items
-    times tiles. A block itself is never one cluster.
-    """
-    t = Tiles(df, block, item, vector, tile)
-
-    def shortest(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, far, one = sides(frame)
-        core = dict(zip(frame["_id"], frame["_core"], strict=True))
-        a, b = (np.array([core[i] for i in ids]) for ids in (left, right))
-        far = np.maximum(np.maximum(far, a[:, None]), b[None, :])
-        r, c = np.nonzero(np.triu(np.ones_like(far, bool), 1) if one else np.ones_like(far, bool))
-        edges = kruskal(left[r], right[c], far[r, c])
-        return pd.DataFrame(edges, columns=["src", "dst", "far"])
-
-    cored = t.placed.join(t.cores(min_samples), "_id")
-    edges = t.met(cored).applyInPandas(lambda key, frame: shortest(frame).assign(block=str(key[0])), "src long, dst long, far double, block string")
-
-    def told(frame: pd.DataFrame) -> pd.DataFrame:
-        tree = kruskal(frame["src"].to_numpy(), frame["dst"].to_numpy(), frame["far"].to_numpy())
-        return pd.DataFrame(list(lasting(tree, min_size).items()), columns=["_id", "_c"])
-
-    found = edges.groupBy("block").applyInPandas(told, "_id long, _c long")
-    named = t.rows.select("_id", item).join(found, "_id", "left").withColumn("_c", F.coalesce("_c", F.lit(-1).cast("long")))
-    first = named.filter("_c <> -1").groupBy("_c").agg(F.min(item).cast("long").alias("_first"))
-    return named.join(first, "_c", "left").select(item, F.coalesce("_first", F.lit(-1).cast("long")).alias("cluster"))
-
-
-def kruskal(src: np.ndarray, dst: np.ndarray, far: np.ndarray) -> list[tuple[int, int, float]]:
-    """Edges of a shortest spanning forest, shortest first."""
-    root: dict[int, int] = {}
-
-    def up(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for k in np.lexsort((dst, src, far)).tolist():
-        a, b = up(int(src[k])), up(int(dst[k]))
-        if a != b:
-            root[a] = b
-            out.append((int(src[k]), int(dst[k]), float(far[k])))
-    return out
-
-
-def lasting(tree: list[tuple[int, int, float]], min_size: int) -> dict[int, int]:
-    """For each item of a cluster that is kept, its cluster's number, from a shortest tree's edges, shortest first.
-
-    As the distance falls, a cluster either loses fewer than ``min_size`` items at a time or
-    splits in two. It lasts as long as the sum over its items of how much the inverse distance
-    grows while they are in it, and is kept if it lasts longer than the kept ones within it.
-    """
-    top: dict[int, int] = {}
-    nodes: list[tuple[int, int, float, int]] = []  # left, right, distance, size; items are -1 - item
-    owner: dict[int, int] = {}
-
-    def up(x: int) -> int:
-        while owner.setdefault(x, x) != x:
-            owner[x] = owner[owner[x]]
-            x = owner[x]
-        return x
-
-    size = lambda n: nodes[n][3] if n >= 0 else 1
-    for a, b, far in tree:
-        x, y = up(a), up(b)
-        left, right = top.get(x, -1 - x), top.get(y, -1 - y)
-        nodes.append((left, right, far, size(left) + size(right)))
-        owner[y] = x
-        top[x] = len(nodes) - 1
-    if not nodes:
-        return {}
-
-    def items(n: int) -> list[int]:
-        todo, out = [n], []
-        while todo:
-            k = todo.pop()
-            todo += nodes[k][:2] if k >= 0 else ()
-            out += [-1 - k] if k < 0 else ()
-        return out
-
-    # Condensed clusters: birth, how long they last, children, items under them.
-    clusters: list[dict] = [{"birth": 0.0, "lasts": 0.0, "in": [], "top": len(nodes) - 1}]
-    todo = [(len(nodes) - 1, 0)]
-    while todo:
-        node, c = todo.pop()
-        left, right, far, n = nodes[node] if node >= 0 else (node, node, 0.0, 1)
-        if node < 0:
-            continue
-        now = 1 / max(far, 1e-12)
-        big = [k for k in (left, right) if size(k) >= min_size]
-        if len(big) == 2:
-            clusters[c]["lasts"] += n * (now - clusters[c]["birth"])
-            for k in big:
-                clusters.append({"birth": now, "lasts": 0.0, "in": [], "top": k})
-                clusters[c]["in"].append(len(clusters) - 1)
-                todo.append((k, len(clusters) - 1))
-        else:
-            gone = sum(size(k) for k in (left, right) if k not in big)
-            clusters[c]["lasts"] += gone * (now - clusters[c]["birth"])
-            todo += [(k, c) for k in big]
-    kept: dict[int, list[int]] = {}
-    for c in range(len(clusters) - 1, -1, -1):
-        inner = [k for child in clusters[c]["in"] for k in kept[child]]
-        within = sum(clusters[k]["lasts"] for k in inner)
-        kept[c] = inner if inner and (within > clusters[c]["lasts"] or c == 0) else [c] if c else []
-    return {i: k for k in kept[0] for i in items(clusters[k]["top"])}
-
-
 def forest(close: np.ndarray) -> list[tuple[int, int]]:
     """(row, column) of links that connect what all links of the matrix ``close`` connect, at most one for each row and column."""
     across = np.ascontiguousarray(close.T)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` written in the folder that executors share (the session's checkpoint folder; the warehouse where that is unset and the session is one process) and read again."""
+def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written in the folder that executors share (the session's checkpoint folder; the warehouse where that is unset and the session is one process) and read again.
+
+    The table goes when the session ends; that of ``instead_of``, an earlier result that nothing else reads any more, at once.
+    """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
@@ -18,9 +21,53 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/evidentia/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files = lambda p: (where := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    where, system = files(path)
+    system.deleteOnExit(where)
+    if instead_of is not None and hasattr(instead_of, "_written"):
+        where, system = files(instead_of._written)
+        system.delete(where, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+#: Keys that are broadcast at most, as each has more than this share of the rows; and rows of a key that no task minds.
+FREQUENT, FEW = 10_000, 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on ``key``, where no task gathers the rows of a frequent key.
+
+    ``right`` has at most one row for a key, and in ``n`` how many rows of ``left`` have it; ``n`` is
+    dropped. Both are written tables, as both are read more than once. A table of FREQUENT rows or fewer is broadcast
+    as it is; of a larger one only keys with more than one in FREQUENT of all rows, which are fewer than FREQUENT.
+    """
+    rows, total, most = right.agg(F.count("*"), F.sum(n), F.max(n)).first()
+    if rows <= FREQUENT:
+        return left.join(F.broadcast(right.drop(n)), key, how)
+    bound = max(FEW, (total or 0) // FREQUENT)
+    if (most or 0) <= bound:
+        return left.join(right.drop(n), key, how)
+    hot, rest = right.filter(F.col(n) > bound).drop(n), right.filter(F.col(n) <= bound).drop(n)
+    seldom = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, how)
+    return left.join(F.broadcast(hot), key).unionByName(seldom)
+
+
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up) in which roots point to null: pointers jump to their targets' targets, so rounds are logarithmic in the depth.
+
+    Nodes that have found their root rest, so no round gathers them again.
+    """
+    state = cut_lineage(pointers.select("node", F.coalesce("up", "node").alias("at"), F.col("up").isNull().alias("there")))
+    while True:
+        open_ = state.filter("not there")
+        if open_.isEmpty():
+            return state.select("node", F.col("at").alias("root"))
+        asked = open_.groupBy("at").agg(F.count("*").alias("n"))
+        target = cut_lineage(state.select(F.col("node").alias("at"), F.col("at").alias("to"), F.col("there").alias("arrived")).join(asked, "at"))
+        moved = join_counted(open_, target, "at", "n").select("node", F.col("to").alias("at"), F.col("arrived").alias("there"))
+        state = cut_lineage(state.filter("there").unionByName(moved), state)
 
 
 def group_flow(edges: DataFrame, tags: DataFrame, node: str, tag: str, source: str = "src", target: str = "dst", ignore: str = "unclassified") -> DataFrame:

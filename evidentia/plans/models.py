@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import clusters, vectors
+from evidentia.operators import clusters, hierarchy, vectors
 from evidentia.plans.registry import query, table
 from evidentia.plans.symptoms import VECTOR, profiles
 
@@ -102,3 +102,9 @@ select vec_id, case when count(*) over (partition by m) >= 3 then m else -1 end:
 """)
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.density_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding", cut=1.3)
+
+
+@query()
+def stable_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """The clusters of each label's vectors that last longest in the whole hierarchy; no SQL, as merges and choices go on from each other."""
+    return hierarchy.stable_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding")

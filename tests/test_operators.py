@@ -465,18 +465,3 @@ def test_clusters_that_last(spark, tile):
     for k in range(4):
         own = [got[i] for i in range(k, 60, 4)]
         assert max(set(own), key=own.count) == k and own.count(k) >= 13, (k, own)
-
-
-def test_a_lasting_cluster_holds_its_parts():
-    # two dense pairs of triples far apart; at size 3 the four triples last, at size 5 the two sixes
-    xs = np.array([0, 0.1, 0.2, 1, 1.1, 1.2, 50, 50.1, 50.2, 51, 51.1, 51.2])
-    i, j = np.triu_indices(12, 1)
-    tree = clusters.kruskal(i, j, np.abs(xs[i] - xs[j]))
-    assert len(tree) == 11
-
-    def of(n):
-        got = clusters.lasting(tree, n)
-        return sorted(sorted(i for i in got if got[i] == k) for k in set(got.values()))
-
-    assert of(3) == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]] and of(5) == [[0, 1, 2, 3, 4, 5], [6, 7, 8, 9, 10, 11]] and of(7) == []
-    assert clusters.lasting([], 3) == {}
