@@ -12,7 +12,6 @@ sums are exact in any order and results do not depend on how rows are dealt.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
@@ -23,9 +22,8 @@ from pyspark.sql import functions as F
 from evidentia.operators import graphs
 from evidentia.operators.graphs import cut_lineage, join_counted, roots
 from evidentia.operators.ordered import running
+from evidentia.operators.tiles import Tiles, distances, unpack
 
-#: Vectors whose distances bound those of tiles; a sample of this size.
-PIVOTS = 16
 #: Inverse distances count in units of this part of one.
 UNIT = 10**9
 WHOLE = "decimal(38,0)"
@@ -37,87 +35,6 @@ def inverse(far: Column) -> Column:
     return (UNIT / F.greatest(far, F.lit(1e-12))).cast(WHOLE)
 
 
-def unpack(row: pd.Series, n: int) -> np.ndarray:
-    return np.frombuffer(row["data"]).reshape(n, -1)
-
-
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Each coordinate difference squared and summed, so that equal vectors are 0 apart and either order gives the same number."""
-    return np.sqrt(np.stack([((y - r) ** 2).sum(1) for r in x])) if len(x) else np.zeros((0, len(y)))
-
-
-class Tiles:
-    """Vectors of blocks in tiles of about ``tile``: ``packed`` has (tile, block, ids, data) and ``pairs`` (i, j, least), tiles of a block with a lower bound of their distances."""
-
-    def __init__(self, df: DataFrame, block: str, item: str, vector: str, tile: int) -> None:
-        real = F.transform(vector, lambda x: x.cast("double"))
-        fine = F.col(item).isNotNull() & (F.size(vector) > 0) & F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-        key = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit(""))
-        rows = cut_lineage(df.filter(F.coalesce(fine, F.lit(False))).select(F.col(item).cast("long").alias("id"), key.alias("block"), real.alias("v")))
-        pivots = [r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()]
-        away = F.array(*(F.sqrt(F.aggregate(F.zip_with("v", F.lit(p), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)) for p in pivots)) if pivots else F.array(F.lit(0.0))
-        counted = cut_lineage(rows.groupBy("block").agg(F.count("*").alias("n")).withColumn("cells", F.least(F.ceil(F.col("n") / tile), F.lit(max(1, len(pivots)))).cast("int")))
-        near = F.slice("away", F.lit(1), F.col("cells"))
-        celled = cut_lineage(join_counted(rows.withColumn("away", away), counted, "block", "n").withColumn("cell", F.struct("block", F.array_position(near, F.array_min(near)).alias("of"))).drop("cells"))
-        sizes = cut_lineage(celled.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / tile)))
-        placed = join_counted(celled, sizes, "cell", "n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-
-        def pack(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("id")
-            far = np.stack(frame["away"].to_numpy())
-            return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["id"].to_numpy()], "data": [np.stack(frame["v"].to_numpy()).tobytes()], "low": [far.min(0)], "high": [far.max(0)]})
-
-        kinds = "block string, ids array<long>, data binary, low array<double>, high array<double>"
-        self.packed = cut_lineage(placed.select("cell", "part", "block", "id", "v", "away").groupBy("cell", "part").applyInPandas(pack, kinds).withColumn("tile", F.monotonically_increasing_id()))
-        side = lambda name: self.packed.select("block", F.col("tile").alias(name), F.struct("low", "high").alias(f"of_{name}"))
-        gap = F.zip_with(F.zip_with("of_i.low", "of_j.high", lambda x, y: x - y), F.zip_with("of_j.low", "of_i.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
-        # What rounding may take from a bound.
-        least = F.greatest(F.array_max(gap) - 1e-9 * F.greatest(F.lit(1.0), F.array_max("of_i.high"), F.array_max("of_j.high")), F.lit(0.0))
-        self.pairs = cut_lineage(side("i").join(side("j"), "block").filter("i <= j").select("block", "i", "j", least.alias("least")))
-
-    def met(self, pairs: DataFrame, work: Callable[[pd.Series, pd.Series, bool], pd.DataFrame], schema: str) -> DataFrame:
-        """Rows that ``work`` makes of the two tiles of each pair, given as rows, and of whether they are one."""
-        kept = self.packed.drop("block", "low", "high")
-        both = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")).join(kept, "tile")
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("tile")
-            return work(frame.iloc[0], frame.iloc[-1], len(frame) == 1)
-
-        tasks = max(8, min(20_000, pairs.count()))  # the work is no matter of bytes
-        return both.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(run, schema)
-
-    def cores(self, min_samples: int) -> DataFrame:
-        """(id, core): the distance to the ``min_samples``-th neighbour, the item itself being the first; with too few the last one counts.
-
-        A tile looks at itself first; after that only at tiles that may hold nearer ones.
-        """
-
-        def nearest(a: pd.Series, b: pd.Series, one: bool) -> pd.DataFrame:
-            far = distances(unpack(a, len(a["ids"])), unpack(b, len(b["ids"])))
-            out = []
-            for ids, d, tile in ((a["ids"], far, a["tile"]),) if one else ((a["ids"], far, a["tile"]), (b["ids"], far.T, b["tile"])):
-                few = min(min_samples + 1, d.shape[1])
-                near = np.sort(np.partition(d, few - 1, 1)[:, :few], 1)
-                out.append(pd.DataFrame({"id": ids, "tile": tile, "near": list(near)}))
-            return pd.concat(out)
-
-        schema = "id long, tile long, near array<double>"
-        own = cut_lineage(self.met(self.pairs.filter("i = j"), nearest, schema))
-        most = own.groupBy("tile").agg(F.max(F.when(F.size("near") > min_samples, F.get("near", F.lit(min_samples))).otherwise(float("inf"))).alias("most"))
-        side = lambda name: most.select(F.col("tile").alias(name), F.col("most").alias(f"most_{name}"))
-        left = cut_lineage(self.pairs.filter("i < j").join(side("i"), "i").join(side("j"), "j").filter("least <= greatest(most_i, most_j)").select("i", "j"))
-        near = own.unionByName(self.met(left, nearest, schema)).groupBy("id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-        return near.select("id", F.get("near", F.least(F.lit(min_samples), F.size("near") - 1)).alias("core"))
-
-    def give_cores(self, cores: DataFrame) -> None:
-        """Packs ``core`` beside the ids, and raises the pairs' bounds to the smallest core distance of either tile."""
-        each = self.packed.select("tile", F.posexplode("ids").alias("at", "id")).join(cores, "id").groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", "core"))).alias("all"))
-        self.packed = cut_lineage(self.packed.join(each, "tile").withColumn("core", F.transform("all", lambda x: x["core"])).drop("all"))
-        side = lambda name: self.packed.select(F.col("tile").alias(name), F.array_min("core").alias(f"core_{name}"))
-        self.pairs = cut_lineage(self.pairs.join(side("i"), "i").join(side("j"), "j").withColumn("least", F.greatest("least", "core_i", "core_j")).drop("core_i", "core_j"))
-
-
 def shortest_links(a: pd.Series, b: pd.Series, one: bool) -> pd.DataFrame:
     """Links (far, a, b), a < b, of the shortest spanning tree between two tiles, or within one, by mutual reachability; ties go to the smaller ids."""
     left, right = np.asarray(a["ids"]), np.asarray(b["ids"])

@@ -12,6 +12,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators.tiles import Tiles, unpack
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -65,36 +67,41 @@ def unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return rows[good] / size[good, None], fine
 
 
+def near_tiles(df: DataFrame, item: str, vector: str, low: float, group: str | None = None, block: int = BLOCK) -> tuple[Tiles, DataFrame]:
+    """Vectors of length one in packed tiles of neighbours, and the pairs of tiles that may hold a cosine of ``low`` or more.
+
+    Of vectors of length one the distance follows from the cosine, so the pivots' triangle bound keeps tiles apart.
+    """
+    real = F.transform(vector, lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(real, F.lit(0.0), lambda s, x: s + x * x))
+    unit = df.withColumn("_length", length).filter((F.col("_length") > 0) & (F.col("_length") < float("inf"))).withColumn("_unit", F.transform(vector, lambda x: x.cast("double") / F.col("_length")))
+    tiles = Tiles(unit, None, item, "_unit", block, group)
+    return tiles, tiles.pairs.filter(F.col("least") <= (2 - 2 * low) ** 0.5 + 1e-9) if low > -1 else tiles.pairs
+
+
 def similar_pairs(df: DataFrame, item: str, vector: str, low: float, high: float = 2.0, group: str | None = None, block: int = BLOCK) -> DataFrame:
     """Pairs (item_a, item_b, cosine) of cosine from ``low`` up to below ``high``, smaller id first, of different groups if one is named.
 
-    All pairs have to be looked at: as matrix products of blocks, of which only the pairs in
-    the band leave a task.
+    Tiles of neighbouring vectors meet as matrix products unless the bound of their distances keeps
+    them apart; only pairs in the band leave a task. ``item`` is a whole number. Rows whose vector is null, zero or not finite
+    take no part; a null group is a group.
     """
-    rows = df.select(F.col(item), F.transform(vector, lambda x: x.cast("double")).alias("_v"), *([F.col(group).alias("_g")] if group else []))
+    tiles, pairs = near_tiles(df, item, vector, low, group, block)
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        one = frame["_i"].iloc[0] == frame["_j"].iloc[0]
-        a = frame if one else frame[frame["_side"] == 0]
-        b = a if one else frame[frame["_side"] == 1]
-        (x, ok_x), (y, ok_y) = unit_rows(a["_v"]), unit_rows(b["_v"])
-        a, b = a[ok_x], b[ok_y]
-        if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
-        c = x @ y.T
+    def compare(a: pd.Series, b: pd.Series, one: bool) -> pd.DataFrame:
+        left, right = np.asarray(a["ids"]), np.asarray(b["ids"])
+        c = unpack(a, len(left)) @ unpack(b, len(right)).T
         near = (c >= low) & (c < high)
-        left, right = a["_key"].to_numpy(), b["_key"].to_numpy()
         if group:
-            near &= a["_g"].to_numpy()[:, None] != b["_g"].to_numpy()[None, :]
+            near &= np.asarray(a["tags"])[:, None] != np.asarray(b["tags"])[None, :]
         i, j = np.nonzero(near)
         keep = left[i] < right[j] if one else left[i] != right[j]
         i, j = i[keep], j[keep]
-        first = left[i] < right[j]
-        return pd.DataFrame({"a": np.where(first, left[i], right[j]), "b": np.where(first, right[j], left[i]), "cosine": c[i, j]})
+        return pd.DataFrame({"a": np.minimum(left[i], right[j]), "b": np.maximum(left[i], right[j]), "cosine": c[i, j]})
 
     kind = df.schema[item].dataType.simpleString()
-    found = tiles(rows, None, item, "_v", block).applyInPandas(compare, f"a {kind}, b {kind}, cosine double")
-    return found.select(F.col("a").alias(f"{item}_a"), F.col("b").alias(f"{item}_b"), "cosine")
+    found = tiles.met(pairs, compare, "a long, b long, cosine double")
+    return found.select(F.col("a").cast(kind).alias(f"{item}_a"), F.col("b").cast(kind).alias(f"{item}_b"), "cosine")
 
 
 def top_similar(df: DataFrame, query: Sequence[float] | DataFrame, item: str, vector: str, k: int) -> DataFrame:
