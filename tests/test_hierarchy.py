@@ -81,7 +81,7 @@ def points(seed, n, dim=2):
     return np.round(x, 1 if seed % 2 else 6)  # rounded ones have ties and copies
 
 
-@pytest.mark.parametrize(("seed", "n", "min_size", "min_samples", "tile"), [(1, 70, 3, 2, 20), (2, 150, 5, 1, 40), (3, 200, 2, 3, 1000), (4, 120, 8, 2, 15)])
+@pytest.mark.parametrize(("seed", "n", "min_size", "min_samples", "tile"), [(1, 70, 3, 2, 20), (2, 150, 5, 1, 40), (3, 200, 2, 3, 1000), (4, 120, 8, 2, 200)])
 def test_equals_one_task(spark, monkeypatch, seed, n, min_size, min_samples, tile):
     if seed == 1:  # nothing is finished by one task
         monkeypatch.setattr(hierarchy, "FINISH", 0)
