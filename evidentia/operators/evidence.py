@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.operators.scans import placed
+
 #: A group agrees if its mean is within this share of the overall mean.
 TOLERANCE = 0.1
 
@@ -70,6 +72,33 @@ def coverage_gaps(df: DataFrame, topic: str, group: str) -> DataFrame:
     return gaps.select(topic, F.concat_ws("/", F.col("_k").cast("string"), F.lit(str(total))).alias("coverage"), F.array_join("_gap", ",").alias("missing"))
 
 
+#: Bits of one of Spark's bitmaps.
+BITS = 32_768
+
+
+def gap_rows(df: DataFrame, topic: str, group: str) -> DataFrame:
+    """(topic, group): a row for each group that lacks a topic.
+
+    Groups are numbered, so what a topic has is a bitmap for each BITS groups, put together before the
+    shuffle; the bits that are not set become names again. Nulls are neither topics nor groups, but a
+    topic that only the null group has is lacked by all.
+    """
+    groups = placed(df.select(group).filter(F.col(group).isNotNull()).distinct(), [group])
+    total = groups.count()
+    topics = df.filter(F.col(topic).isNotNull())
+    numbered = topics.join(groups, group).select(topic, F.bitmap_bucket_number("place").alias("_list"), F.bitmap_bit_position("place").alias("_bit"))
+    held = numbered.groupBy(topic, "_list").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    lists = F.sequence(F.lit(1).cast("long"), F.lit(max(1, -(-total // BITS))).cast("long"))
+    every = topics.select(topic).distinct().withColumn("_list", F.explode(lists)).join(held, [topic, "_list"], "left")
+    byte = lambda at: F.conv(F.hex(F.call_function("substring", F.col("_map"), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    is_set = lambda at: F.coalesce(F.call_function("getbit", byte(at), at.bitwiseAND(F.lit(7))), F.lit(0).cast("byte")) == 1
+    last = F.least(F.lit(BITS), F.lit(total) - (F.col("_list") - 1) * BITS).cast("int") - 1
+    free = F.filter(F.sequence(F.lit(0), last), lambda at: ~is_set(at))
+    each = every.filter(F.lit(total > 0)).select(topic, "_list", F.explode(free).alias("_bit"))
+    lacked = each.select(topic, ((F.col("_list") - 1) * BITS + F.col("_bit") + 1).cast("int").alias("place"))
+    return lacked.join(groups, "place").select(topic, group)
+
+
 def shared_items(df: DataFrame, text: str, group: str, share: float = 0.8, least: int = 2) -> DataFrame:
     """Items, alike but for case and surrounding blanks, that ``max(least, int(share * groups))`` groups have; the longest original stands for them."""
     n = df.agg(F.greatest(F.floor(F.countDistinct(group) * share), F.lit(least)).alias("_need"))

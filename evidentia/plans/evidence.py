@@ -70,6 +70,12 @@ def prediction_gaps(spark: SparkSession, d: str) -> DataFrame:
     return evidence.coverage_gaps(table(spark, d, "part"), "p_name", "p_brand")
 
 
+@query("select p_name, p_brand from (select distinct p_name from part), (select distinct p_brand from part) except select p_name, p_brand from part")
+def gap_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Brands that lack a name, a row for each."""
+    return evidence.gap_rows(table(spark, d, "part"), "p_name", "p_brand")
+
+
 @query("""
 with c as (select count(distinct p_brand) as k from part)
 select lower(trim(p_name)) as item, count(distinct p_brand)::bigint as n_groups, max(p_name) as original from part group by 1 having count(distinct p_brand) >= (select greatest(2, floor(k * 0.8)) from c)

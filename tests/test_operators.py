@@ -465,3 +465,12 @@ def test_clusters_that_last(spark, tile):
     for k in range(4):
         own = [got[i] for i in range(k, 60, 4)]
         assert max(set(own), key=own.count) == k and own.count(k) >= 13, (k, own)
+
+
+def test_gap_rows(spark):
+    """More groups than one bitmap has bits; nulls and repeated rows."""
+    n = 32_768 + 10
+    df = spark.range(n).selectExpr("'a' as t", "id as g").unionAll(spark.createDataFrame([("b", 3), ("b", 3), ("c", None), (None, 4), ("b", n - 1)], "t string, g long"))
+    got = evidence.gap_rows(df, "t", "g").groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("g").isin(3, n - 1)).alias("m"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
+    assert {tuple(r) for r in got} == {("b", n - 2, 0, 0, n - 2), ("c", n, 2, 0, n - 1)}
+    assert evidence.gap_rows(df.limit(0), "t", "g").count() == 0
