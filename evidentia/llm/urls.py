@@ -1,12 +1,17 @@
 """URL filters: given rules first, then association rules mined from labels.
 
 A URL becomes a set of tokens: labels of its host and their hyphenated parts, segments of its
-path with digits masked, names of its query's parameters. FP-growth finds the token sets that
-are frequent together with the mark of a bad page. A set is a rule if its pages are bad often
-enough: by confidence, as a multiple of the share of bad pages among all labelled ones, and by
-the likelihood ratio, so that chance makes no rules. Of these, sets that hold another rule's add
-nothing and go. Rules are indexed by their rarest token: a page meets a rule only through that
-token, and matches if it has all others. Equal token sets are matched once.
+path with digits masked, names of its query's parameters. A set of tokens is a rule if its pages
+are bad often enough: by confidence, as a multiple of the share of bad pages among all labelled
+ones, and by the likelihood ratio, so that chance makes no rules. Of these, sets that hold another
+rule's add nothing and go. Rules are indexed by their rarest token: a page meets a rule only
+through that token, and matches if it has all others. Equal token sets are matched once.
+
+FP-growth finds the sets that are frequent among bad pages. It sees no more than it must, as
+the sets double with each token that pages share: tokens that occur in the very same labelled
+pages are one class, of which a rule needs one, whichever it is; classes that are rules by
+themselves, and those of all labelled pages, can be in no wider rule; and a set has to be in as
+many bad pages as would be significant if it were in no others. None of this loses a rule.
 
 Only DataFrame operations, and the ML library's FP-growth. Defined results: a null URL, or
 one without "://", has an empty host and path and no tokens; without bad labels, or without
@@ -17,6 +22,7 @@ made here do not disturb; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import math
 import string
@@ -32,8 +38,6 @@ from evidentia.llm.common import cut_lineage
 MIN_SUPPORT, MIN_PAGES = 0.01, 5
 #: How many times likelier than any labelled page a rule's page must be bad, and the likelihood ratio statistic at least.
 MIN_LIFT, SIGNIFICANT = 2.0, 20.0
-#: The item that marks a bad page; tokens have a colon.
-BAD = "bad"
 
 Rule = tuple[str, str, str]  # host, path, verdict
 
@@ -78,10 +82,10 @@ def by_rules(rules: Sequence[Rule], full: Column, rest: Column) -> tuple[Column,
 
 
 def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, rule) of every rule (rule, anchor, items) whose items a set (key, items) has all of."""
-    index = rules.select("rule", "anchor", F.col("items").alias("wanted"))
+    """(key, rule) of every rule (rule, anchors, items) of whose classes ``items`` a set (key, items) has a token each; once for each of ``anchors``, the rarest class, that the set has."""
+    index = rules.select("rule", F.explode("anchors").alias("anchor"), F.col("items").alias("wanted"))
     met = sets.select("key", "items", F.explode("items").alias("anchor")).join(index, "anchor")
-    return met.filter(F.size(F.array_except("wanted", "items")) == 0).select("key", "rule")
+    return met.filter(F.forall("wanted", lambda tokens_: F.arrays_overlap(tokens_, "items"))).select("key", "rule")
 
 
 def likelihood_ratio(n: Column, bad: Column, total: int, guilty: int) -> Column:
@@ -90,25 +94,73 @@ def likelihood_ratio(n: Column, bad: Column, total: int, guilty: int) -> Column:
     return 2 * functools.reduce(Column.__add__, (F.when(seen > 0.5, seen * F.ln(seen / due)).otherwise(0.0) for seen, due in cells))
 
 
+def fewest(least: int, total: int, guilty: int, significant: float) -> int:
+    """Bad pages, ``least`` or more, that a set must be in to be significant even if it is in no others; over ``guilty`` if none suffice."""
+
+    def ratio(k: int) -> float:
+        cells = ((k, k * guilty / total), (guilty - k, (total - k) * guilty / total), (total - guilty, (total - k) * (1 - guilty / total)))
+        return 2 * math.fsum(seen * math.log(seen / due) for seen, due in cells if seen)
+
+    ks = range(least, guilty + 1)
+    return least + bisect.bisect_left(ks, significant - 1e-9, key=ratio)
+
+
+def classes(sets: DataFrame, least: int) -> DataFrame:
+    """(token, tokens, n, bad) of tokens of one and the same sets (key, items, n, bad), the first of them standing for all, that are in ``least`` bad pages.
+
+    Sets are compared by their number and two digests of 64 bits.
+    """
+    each = sets.select("key", "n", "bad", F.explode("items").alias("token"))
+    digests = (F.bit_xor(F.xxhash64("key")).alias("one"), F.bit_xor(F.xxhash64(F.lit("again"), "key")).alias("two"))
+    by_token = each.groupBy("token").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.count("*").alias("often"), *digests).filter(F.col("bad") >= least)
+    # The tokens of a class occur in one URL together.
+    alike = by_token.groupBy("n", "bad", "often", "one", "two").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
+    return alike.select(F.col("tokens")[0].alias("token"), "tokens", "n", "bad")
+
+
+def together(sets: DataFrame, single: DataFrame, least: int) -> DataFrame:
+    """(rule, anchors, items, n, bad) of sets of two or more of the classes ``single`` that ``least`` bad pages have, by their first tokens."""
+    each = sets.filter("bad > 0").select("key", "bad", F.explode("items").alias("token"))
+    shown = each.join(single.select("token"), "token").groupBy("key", "bad").agg(F.collect_list("token").alias("items")).filter(F.size("items") > 1)
+    pages = cut_lineage(shown.select("items", F.explode(F.sequence(F.lit(1).cast("long"), "bad"))).select("items"))
+    many = pages.count()
+    none = sets.sparkSession.createDataFrame([], "rule string, anchors array<string>, items array<array<string>>, n long, bad long")
+    if many < least:
+        return none
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / many, minConfidence=1.0).fit(pages)
+    found = model.freqItemsets.filter(F.size("items") > 1).select(F.array_sort("items").alias("names"), F.col("freq").alias("bad"))
+    found = cut_lineage(found.withColumn("rule", F.array_join("names", " ")))
+    rarest = found.select("rule", F.explode("names").alias("token")).join(single.select("token", "n"), "token").groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
+    held = found.join(rarest, "rule").select("rule", F.array("anchor").alias("anchors"), F.transform("names", lambda x: F.array(x)).alias("items"), "bad")
+    n = match(sets, held).join(sets.select("key", "n"), "key").groupBy("rule").agg(F.sum("n").alias("n"))
+    return held.join(n, "rule").select(none.columns)
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_lift: float = MIN_LIFT, min_pages: int = MIN_PAGES, significant: float = SIGNIFICANT) -> DataFrame:
-    """Rules (rule, anchor, items, n, bad, confidence) from token sets with labels (items, bad as 0 or 1); none is part of another."""
-    known = labelled.filter(F.size("items") > 0).select("items", "bad")
-    total, guilty = known.agg(F.count("*"), F.sum("bad")).first()
-    schema = "rule string, anchor string, items array<string>, n long, bad long, confidence double"
+    """Rules (rule, anchors, items, n, bad, confidence) from token sets with labels (items, bad as 0 or 1); none is part of another.
+
+    ``items`` has a class of tokens each, any one of which will do.
+    """
+    sets = labelled.filter(F.size("items") > 0).groupBy(F.array_join("items", " ").alias("key"), "items").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    sets = cut_lineage(sets)
+    total, guilty = sets.agg(F.sum("n"), F.sum("bad")).first()
+    none = labelled.sparkSession.createDataFrame([], "rule string, anchors array<string>, items array<array<string>>, n long, bad long, confidence double")
     if not guilty or guilty == total:
-        return labelled.sparkSession.createDataFrame([], schema)
-    least = max(min_pages, math.ceil(min_support * guilty))
-    marked = known.select(F.when(F.col("bad") == 1, F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / total, minConfidence=min(1.0, min_lift * guilty / total)).fit(marked)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-    rules = rules.select(F.array_sort("antecedent").alias("items"), F.round(F.col("support") * total).cast("long").alias("bad"), "confidence")
-    rules = rules.withColumn("n", F.round(F.col("bad") / F.col("confidence")).cast("long")).withColumn("rule", F.array_join("items", " "))
-    rules = cut_lineage(rules.filter(likelihood_ratio(F.col("n"), F.col("bad"), total, guilty) >= significant))
-    often = known.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("often"))
-    anchors = rules.select("rule", F.explode("items").alias("item")).join(often, "item").groupBy("rule").agg(F.min(F.struct("often", "item"))["item"].alias("anchor"))
-    indexed = cut_lineage(rules.join(anchors, "rule").select("rule", "anchor", "items", "n", "bad", "confidence"))
-    wider = match(indexed.select(F.col("rule").alias("key"), "items"), indexed).filter("key <> rule").select(F.col("key").alias("rule")).distinct()
-    return indexed.join(wider, "rule", "left_anti")
+        return none
+    least = fewest(max(min_pages, math.ceil(min_support * guilty)), total, guilty, significant)
+    if least > guilty:
+        return none
+    confidence, ratio = F.col("bad") / F.col("n"), likelihood_ratio(F.col("n"), F.col("bad"), total, guilty)
+    is_rule = (confidence >= min(1.0, min_lift * guilty / total)) & (ratio >= significant)
+    folded = cut_lineage(classes(sets, least))
+    alone = folded.filter(is_rule).select(F.col("token").alias("rule"), F.col("tokens").alias("anchors"), F.array("tokens").alias("items"), "n", "bad")
+    wide = cut_lineage(together(sets, folded.filter(~is_rule & (F.col("n") < total)), least).filter(is_rule))
+    # Of two rules one of which is part of the other, the wider goes; its first tokens show it.
+    wider = match(wide.select(F.col("rule").alias("key"), F.flatten("items").alias("items")), wide).filter("key <> rule").select(F.col("key").alias("rule")).distinct()
+    members = folded.select("token", "tokens")
+    named = wide.join(wider, "rule", "left_anti").select("*", F.explode(F.flatten("items")).alias("token")).join(members, "token")
+    spelled = named.groupBy("rule", "n", "bad").agg(F.collect_list("tokens").alias("items"), F.max(F.when(F.array_contains("anchors", F.col("token")), F.col("tokens"))).alias("anchors"))
+    return alone.unionByName(spelled).select("rule", "anchors", "items", "n", "bad", confidence.alias("confidence"))
 
 
 def judge(

@@ -1,7 +1,10 @@
 import itertools
 import math
 import random
+import string
+import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +85,51 @@ def test_mining_equals_brute_force(spark, write_tables, seed):
     assert len(got) == 301
 
 
+def names(n):
+    return "&".join(f"k{i}=1" for i in range(n))
+
+
+@pytest.mark.parametrize("n", [10, 20, 60])
+def test_many_tokens_that_always_occur_together(spark, n):
+    """Each of a URL's tokens is a rule by itself, and no more than that is looked at."""
+    rows = [(i, f"http://bad.net/?{names(n)}") for i in range(100)] + [(i, "http://fine.org/a") for i in range(100, 200)]
+    known = spark.createDataFrame([(i, int(i < 100)) for i in range(200)], "id long, bad int")
+    more = [(500, "http://other.com/?k3=1"), (501, "http://other.com/?q=1")]
+    begun = time.monotonic()
+    got = {r.page_id: r.mined for r in urls.judge(pages(spark, rows + more), known, min_lift=1.5).collect()}
+    assert time.monotonic() - begun < 30
+    assert got == {**{i: i < 100 for i in range(200)}, 500: True, 501: False}
+
+
+def test_shared_names_with_a_word_that_decides(spark):
+    """Forty names stand in good pages as in bad ones; only together with a word they are bad."""
+    rows, known = [], []
+    for i in range(240):
+        word, shared = i % 2, i % 3 > 0
+        rows.append((i, f"http://x.net/{'w' if word else 'v'}/" + (f"?{names(40)}" if shared else "")))
+        known.append((i, int(word and shared)))
+    tell = [(900, "http://y.org/w/?k7=2"), (901, "http://y.org/v/?k7=2"), (902, "http://y.org/w/")]
+    labelled = spark.createDataFrame(known, "id long, bad int")
+    begun = time.monotonic()
+    judged = urls.judge(pages(spark, rows + tell), labelled, min_lift=2.5).collect()
+    assert time.monotonic() - begun < 30
+    got = {r.page_id: r.mined for r in judged}
+    assert got == {**{i: bool(b) for i, b in known}, 900: True, 901: False, 902: False}
+
+
+def test_columns_equal_sql(spark):
+    """Host, path and given rule of all pages, as DuckDB has them."""
+    folder = "/root/testdata/sf0.01"
+    got = op4_urls(spark, folder).select("page_id", "host", "path", "rule").collect()
+    fits = lambda h, p: f"((host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}'))"
+    cases = " ".join(f"when {fits(h, p)} then '{h}{p}'" for h, p, _ in sorted(URL_RULES, key=lambda r: -len(r[0] + r[1])))
+    want = duckdb.sql(rf"""
+      with a as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from '{folder}/pages.parquet'),
+      b as (select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from a)
+      select page_id, host, path, case {cases} end as rule from b""").fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and any(r[3] for r in want)
+
+
 def test_mined_rules_hold_on_pages_not_learned_from(spark):
     """Precision and recall of the method on held-out pages of a planted habit of bad hosts."""
     rng = random.Random(9)
