@@ -264,16 +264,18 @@ class Parser:
 def fit(df: DataFrame, train: Column | None = None, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
     """Samples of folded text by language, from rows of ``df`` for which ``train`` holds.
 
-    Each language's rows are counted, thinned by hash of the id to a few times SAMPLE_ROWS, and
-    the first of those in hash order kept, those longer than SAMPLE_CHARS last; whole texts join
-    until SAMPLE_CHARS are reached.
+    Each language's distinct rows (id and text) are counted, up to the few per cent that such a
+    count may err, thinned by hash to a few times SAMPLE_ROWS, and the first of those in hash
+    order kept, those longer than SAMPLE_CHARS last; whole texts join until SAMPLE_CHARS are
+    reached. Repeated rows count once, so that they can't crowd out or lose a language.
     """
     known = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.filter(train if train is not None else F.lit(True)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("at"))
-    n = known.groupBy("lang").count().withColumnRenamed("count", "n")
+    n = known.groupBy("lang").agg(F.approx_count_distinct("at").alias("n"))
     thin = known.join(F.broadcast(n), "lang").filter(F.pmod("at", F.lit(1 << 30)) < F.lit(4.0 * SAMPLE_ROWS * (1 << 30)) / F.col("n"))
     size, part = F.length("text"), SAMPLE_CHARS // PIECES
     spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda k: F.substr("text", (F.floor(k * (size - part) / (PIECES - 1)) + 1).cast("int"), F.lit(part)))
+    thin = thin.groupBy("lang", "at").agg(F.first("text").alias("text"))
     thin = thin.select("lang", "at", (size > SAMPLE_CHARS).alias("long"), F.when(size > SAMPLE_CHARS, F.array_join(spread, " ")).otherwise(F.col("text")).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("long", "at", "text"))
     # Whole texts, as few as reach the wanted size: sizes first, so that no more than those leave the executors.

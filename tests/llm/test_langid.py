@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidentia.llm import langid
 from evidentia.llm.queries import op6_langid
@@ -166,3 +167,22 @@ def test_nothing_learned(spark):
     assert samples == {}
     assert langid.predict(docs, samples).first().lang_pred == "und"
     assert langid.predict(docs.limit(0), samples).count() == 0
+
+
+def test_repeated_rows_lose_no_language(spark):
+    """Equal rows fall or stay together, so they count once."""
+    rng = random.Random(8)
+    rest = spark.createDataFrame([(i, sentence(rng, "en"), "en") for i in range(100, 150)], "doc_id long, text string, lang string")
+    for doc_id in (1, 7):
+        same = spark.range(20_000).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit("der hund und die katze").alias("text"), F.lit("de").alias("lang"))
+        samples = langid.fit(same.unionByName(rest))
+        assert samples["de"] == "der hund und die katze" and len(samples["en"]) > 1000
+
+
+def test_samples_are_the_first_distinct_rows_by_hash(spark):
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, "en"), "en") for i in range(30)] + [(i, sentence(rng, "de"), "de") for i in range(30, 45)]
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string, lang string")
+    at = {(r.doc_id, r.text): r.at for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("at")).distinct().collect()}
+    want = {x: " ".join(langid.fold(t) for _, t in sorted(((i, t) for i, t, y in rows if y == x), key=at.get)) for x in ("en", "de")}
+    assert langid.fit(df) == want
