@@ -346,7 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     The language model counts all texts. Labels are read of ids for which ``train`` (over
-    ``doc_id``) holds; features are learned from ``SAMPLE`` rows of each class or fewer.
+    ``doc_id``) holds; features are learned from about ``SAMPLE`` distinct rows (id and text) of
+    each class or fewer: ids are thinned by hash, and where they bring many texts, so are those.
     """
     docs = docs.select("doc_id", "text")
     model = Model(language_model(docs))
@@ -358,7 +359,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
     share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / n[1])).otherwise(min(1.0, SAMPLE / n[0]))
     some = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
     # The sample's expected size is bounded by twice SAMPLE rows of two small columns. Its texts are written once and read three times.
-    texts = cut_lineage(docs.join(F.broadcast(some), "doc_id").select("text", "toxic"))
+    own = docs.join(F.broadcast(some), "doc_id").withColumn("at", F.xxhash64("doc_id", "text"))
+    texts = cut_lineage(own.groupBy("doc_id", "at").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("at", "text", "toxic"))
+    brought = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    if max(brought.values(), default=0) > 2 * SAMPLE:  # an id with many texts
+        share = F.when(F.col("toxic") == 1, min(1.0, SAMPLE / brought.get(1, 1))).otherwise(min(1.0, SAMPLE / brought.get(0, 1)))
+        texts = cut_lineage(texts.filter(F.pmod(F.xxhash64("at"), F.lit(1 << 20)) < share * (1 << 20)), texts)
     found = count_features(texts.filter("toxic = 1"), model.language)
     toxic = found.filter("feature = ''").agg(F.sum("n")).first()[0] or 0
     least = max(3, toxic // 500)
@@ -373,19 +379,21 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None) -> Mode
         if often >= LIFT * seldom and likelihood_ratio(k, toxic, c.get(f, 0), max(clean, 1)) >= SIGNIFICANT:
             model.marks[f] = math.log(often / seldom)
     pairs = evidence(texts, model).collect()
-    model.curve = logistic(np.array([r.evidence for r in pairs]), np.array([r.toxic for r in pairs], float), prior)
+    model.curve = logistic(np.array([r.evidence for r in pairs]), np.array([r.toxic for r in pairs], float), prior, np.array([r.n for r in pairs], float))
     return model
 
 
 def evidence(texts: DataFrame, model: Model) -> DataFrame:
-    """(evidence, toxic) of the bounded sample ``texts``."""
-    return score(texts, model, out_col="evidence", what=Scorer.evidence).select("evidence", "toxic")
+    """(evidence, toxic, n) of the bounded sample ``texts``, which so many of its rows have."""
+    return score(texts, model, out_col="evidence", what=Scorer.evidence).groupBy("evidence", "toxic").agg(F.count("*").alias("n"))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]:
-    """Intercept and slope by Newton steps with a slight ridge; rows are weighted to the true share of toxic ones."""
-    share = min(max(y.mean(), 1e-6), 1 - 1e-6)
-    weight = np.where(y == 1, prior / share, (1 - prior) / (1 - share))
+def logistic(x: np.ndarray, y: np.ndarray, prior: float, n: np.ndarray) -> tuple[float, float]:
+    """Intercept and slope by Newton steps with a slight ridge; rows, each standing for ``n``, are weighted to the true share of toxic ones."""
+    order = np.lexsort((y, x))  # so that sums don't depend on how rows arrive
+    x, y, n = x[order], y[order], n[order]
+    share = min(max(float(np.average(y, weights=n)), 1e-6), 1 - 1e-6)
+    weight = n * np.where(y == 1, prior / share, (1 - prior) / (1 - share))
     rows, w = np.stack([np.ones_like(x), x], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))

@@ -1,4 +1,6 @@
+import collections
 import itertools
+import math
 import random
 import time
 import zlib
@@ -137,3 +139,43 @@ def test_no_labels_and_no_rows(spark):
     model = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs, model).first().score == 0
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("alike", [True, False])
+def test_an_id_of_many_rows_does_not_reach_the_driver_whole(spark, monkeypatch, alike):
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    docs, labels = corpus(200)
+    hot = spark.range(30_000).select(F.lit(9_999).cast("long").alias("doc_id"), F.lit("moron bako") if alike else F.concat(F.lit("moron "), F.col("id").cast("string")))
+    every = spark.createDataFrame(docs, "doc_id long, text string, lang string").select("doc_id", "text").union(hot)
+    arrived = []
+    was = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda x, y, prior, n: arrived.append((len(x), n.sum())) or was(x, y, prior, n))
+    toxicity.fit(every, spark.createDataFrame([*labels, (9_999, 1)], "doc_id long, toxic int"))
+    assert all(rows <= n <= 120 for rows, n in arrived)
+
+
+def test_the_curve_weighs_rows_that_are_alike():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 6, 400) / 2
+    y = (rng.random(400) < 1 / (1 + np.exp(2 - 2 * x))).astype(float)
+    cells, n = np.unique(np.stack([x, y], 1), axis=0, return_counts=True)
+    one = toxicity.logistic(x, y, 0.1, np.ones(400))
+    assert np.allclose(one, toxicity.logistic(cells[:, 0], cells[:, 1], 0.1, n.astype(float)), atol=1e-9)
+
+
+def test_marks_and_weights_equal_brute_force(spark):
+    """Marks are the features far likelier in toxic rows, their weights the log of how much."""
+    docs, labels = corpus(300, seed=5)
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    reader, truth = toxicity.Reader(model.language), dict(labels)
+    seen = {k: collections.Counter() for k in (0, 1)}
+    for i, text, _ in docs:
+        if i in truth:
+            seen[truth[i]].update({f for w in reader.read(text) for f in toxicity.features(w)})
+    many = {k: sum(1 for i, _, _ in docs if truth.get(i) == k) for k in (0, 1)}
+    want = {}
+    for f, t in seen[1].items():
+        often, seldom = t / many[1], (seen[0][f] + 0.5) / (many[0] + 1)
+        if t >= max(3, many[1] // 500) and often >= toxicity.LIFT * seldom and toxicity.likelihood_ratio(t, many[1], seen[0][f], many[0]) >= toxicity.SIGNIFICANT:
+            want[f] = math.log(often / seldom)
+    assert want and model.marks == pytest.approx(want)
