@@ -5,8 +5,10 @@ window that resembles an item shares a shingle with it, so windows are laid wher
 of an item occurs, aligned as that shingle stands in the item and as long as the item; tests
 compare them with all windows at all places. Each window gets a 64-bit SimHash of its shingles, weighted by how often they occur. With the
 fingerprint cut into ``RADIUS + 1`` blocks, two fingerprints that differ in ``RADIUS`` bits or
-fewer agree in a block, so an equi-join on blocks finds all pairs within the radius. Those
-are verified exactly by the weighted Jaccard similarity of their shingles.
+fewer agree in a block, so an equi-join on blocks finds all pairs within the radius. As blocks
+of three bits agree by chance, a window carries the items that laid it, and the join is on item,
+block and value: it meets no item that it shares no shingle with. What meets is verified exactly
+by the weighted Jaccard similarity of the shingles.
 
 At a similarity of 0.8 fingerprints differ in 9.7 bits on average with a standard deviation
 of 2.9, so the radius of 20 loses fewer than one window in ten thousand at the very threshold.
@@ -17,7 +19,8 @@ time about linear in its length. Defined results: null and wordless texts match
 fewer than five words count as one shingle; windows are cut off at a document's ends; a
 result row is a distinct document id and item id, with its best window, the earliest of
 equally good ones; documents of equal id are told apart by text, and share result rows; null
-ids are one more id; an empty table gives an empty result.
+ids are one more id; items of equal id and different texts are one item of several texts; further
+columns, whatever their names, do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,7 +100,7 @@ def prints(df: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFrame:
-    """Distinct windows (doc_id, text_hash, size, width, start, words) where a wanted shingle (hash, width, size, place) occurs."""
+    """Distinct windows (doc_id, text_hash, size, width, start, words, by) where wanted shingles (hash, width, size, place, item) occur; ``by`` has their items."""
     text = docs.filter("text is not null").select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("words"))
     found = []
     for width in widths:
@@ -106,8 +109,8 @@ def windows(docs: DataFrame, wanted: DataFrame, widths: list[int]) -> DataFrame:
         hashed = at.withColumn("hash", F.xxhash64(*(F.get("words", F.col("at") + k) for k in range(width))))
         met = hashed.join(F.broadcast(wanted.filter(F.col("width") == width)), "hash")
         start = F.greatest(F.least(F.col("at") - F.col("place"), F.size("words") - F.col("size")), F.lit(0))
-        found.append(met.select("doc_id", "text_hash", "size", "width", start.alias("start"), F.slice("words", start + 1, F.col("size")).alias("words")))
-    every = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "size", "width", "start").agg(F.first("words").alias("words"))
+        found.append(met.select("doc_id", "text_hash", "size", "width", "item", start.alias("start"), F.slice("words", start + 1, F.col("size")).alias("words")))
+    every = reduce(DataFrame.unionAll, found).groupBy("doc_id", "text_hash", "size", "width", "start").agg(F.first("words").alias("words"), F.collect_set("item").alias("by"))
     # What comes next is work on few bytes, so the number of tasks is given.
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.sparkSession.sparkContext.defaultParallelism)
     return every.repartition(tasks, "doc_id", "text_hash", "size", "start")
@@ -117,20 +120,21 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST, shingl
     """(doc_id, item_id, similarity, start) of each document (doc_id, text) with a window at least ``least`` similar to an item (item_id, text); ``start`` counts words."""
     docs = docs.select("doc_id", "text")
     parts = items.filter("text is not null").select("item_id", words(F.col("text")).alias("words")).filter("words[0] <> ''")
-    parts = cut_lineage(parts.withColumn("size", F.size("words")).withColumn("width", F.least(F.size("words"), F.lit(shingle))))
-    # Each shingle once per size of item and place: what windows are laid by.
-    each = parts.select("size", "width", "words", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("place"))
+    parts = parts.withColumn("size", F.size("words")).withColumn("width", F.least(F.size("words"), F.lit(shingle)))
+    parts = cut_lineage(parts.withColumn("item", F.xxhash64("item_id", "words")))
+    # Each item's shingles at their places: what windows are laid by.
+    each = parts.select("item", "size", "width", "words", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("width"))).alias("place"))
     hashed = reduce(lambda rest, k: F.when(F.col("width") == k, F.xxhash64(*(F.get("words", F.col("place") + i) for i in range(k)))).otherwise(rest), range(1, shingle + 1), F.lit(None).cast("long"))
-    wanted = cut_lineage(each.select(hashed.alias("hash"), "width", "size", "place").distinct())
+    wanted = cut_lineage(each.select(hashed.alias("hash"), "width", "size", "place", "item").distinct())
     widths = sorted(r.width for r in wanted.select("width").distinct().collect())  # five values at most
     if not widths:
         kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}"
         return docs.sparkSession.createDataFrame([], f"{kinds}, similarity double, start int")
     passes = -(-wanted.count() // BROADCAST)
     laid = reduce(DataFrame.unionAll, (windows(docs, wanted.filter(F.pmod(F.xxhash64("hash"), F.lit(passes)) == k), widths) for k in range(passes)))
-    left = prints(laid).select("doc_id", "text_hash", "size", "width", "start", "shingles", "fp", "blocks", F.posexplode("blocks").alias("block", "value"))
-    right = prints(parts).select("item_id", "size", "width", F.col("shingles").alias("own"), F.col("fp").alias("own_fp"), F.col("blocks").alias("own_blocks"), F.posexplode("blocks").alias("block", "value"))
-    met = left.join(right, ["size", "width", "block", "value"])
+    left = prints(laid).withColumn("item", F.explode("by")).select("doc_id", "text_hash", "start", "item", "shingles", "fp", "blocks", F.posexplode("blocks").alias("block", "value"))
+    right = prints(parts).select("item_id", "item", F.col("shingles").alias("own"), F.col("fp").alias("own_fp"), F.col("blocks").alias("own_blocks"), F.posexplode("blocks").alias("block", "value"))
+    met = left.join(right, ["item", "block", "value"])
     first = F.array_position(F.zip_with("blocks", "own_blocks", lambda x, y: x == y), True) == F.col("block") + 1
     near = met.filter(first & (F.bit_count(F.col("fp").bitwiseXOR(F.col("own_fp"))) <= RADIUS))
     sure = near.withColumn("similarity", similarity(F.col("shingles"), F.col("own"))).filter(F.col("similarity") >= least)
