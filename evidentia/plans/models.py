@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators import clusters, hierarchy, vectors
+from evidentia.operators import clusters, hierarchy, leaders, vectors
 from evidentia.plans.registry import query, table
 from evidentia.plans.symptoms import VECTOR, profiles
 
@@ -108,3 +108,17 @@ def density_clusters(spark: SparkSession, d: str) -> DataFrame:
 def stable_clusters(spark: SparkSession, d: str) -> DataFrame:
     """The clusters of each label's vectors that last longest in the whole hierarchy; no SQL, as merges and choices go on from each other."""
     return hierarchy.stable_clusters(table(spark, d, "embeddings"), "label", "vec_id", "embedding")
+
+
+@query(f"""
+with recursive near as (select b.vec_id as b, list(a.vec_id order by a.vec_id) as before from embeddings a join embeddings b on a.vec_id < b.vec_id where {COSINE} >= 0.35 group by b.vec_id),
+i as (select vec_id, coalesce(before, []) as before, row_number() over (order by vec_id) as pos from embeddings left join near on b = vec_id),
+pass as (select 0::bigint as pos, null::bigint as vec_id, null::bigint as leader, []::bigint[] as leading
+  union all select i.pos, i.vec_id, coalesce(list_min(list_intersect(i.before, p.leading)), i.vec_id),
+    case when list_has_any(i.before, p.leading) then p.leading else list_append(p.leading, i.vec_id) end from pass p join i on i.pos = p.pos + 1)
+select vec_id, leader from pass where pos > 0
+""")
+def vector_leaders(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors in order, each with the first earlier leader of cosine 0.35 or more, or itself; by rounds, where the SQL goes one by one."""
+    rows = table(spark, d, "embeddings")
+    return leaders.leaders(rows, vectors.similar_pairs(rows, "vec_id", "embedding", 0.35).select("vec_id_a", "vec_id_b"), "vec_id")
