@@ -111,8 +111,8 @@ def stable_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-with recursive near as (select b.vec_id as b, list(a.vec_id order by a.vec_id) as before from embeddings a join embeddings b on a.vec_id < b.vec_id where {COSINE} >= 0.35 group by b.vec_id),
-i as (select vec_id, coalesce(before, []) as before, row_number() over (order by vec_id) as pos from embeddings left join near on b = vec_id),
+with recursive near as materialized (select b.vec_id as b, list(a.vec_id order by a.vec_id) as before from embeddings a join embeddings b on a.vec_id < b.vec_id where {COSINE} >= 0.35 group by b.vec_id),
+i as materialized (select vec_id, coalesce(before, []) as before, row_number() over (order by vec_id) as pos from embeddings left join near on b = vec_id),
 pass as (select 0::bigint as pos, null::bigint as vec_id, null::bigint as leader, []::bigint[] as leading
   union all select i.pos, i.vec_id, coalesce(list_min(list_intersect(i.before, p.leading)), i.vec_id),
     case when list_has_any(i.before, p.leading) then p.leading else list_append(p.leading, i.vec_id) end from pass p join i on i.pos = p.pos + 1)
