@@ -81,11 +81,11 @@ def by_rules(rules: Sequence[Rule], full: Column, rest: Column) -> tuple[Column,
     return pick(lambda r: r[0] + r[1]), pick(lambda r: r[2])
 
 
-def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
-    """(key, rule) of every rule (rule, anchors, items) of whose classes ``items`` a set (key, items) has a token each; once for each of ``anchors``, the rarest class, that the set has."""
+def match(sets: DataFrame, rules: DataFrame, *keep: str) -> DataFrame:
+    """(key, rule), and the columns ``keep`` of ``sets``, of every rule (rule, anchors, items) of whose classes ``items`` a set (key, items) has a token each; once for each of ``anchors``, the rarest class, that the set has."""
     index = rules.select("rule", F.explode("anchors").alias("anchor"), F.col("items").alias("wanted"))
-    met = sets.select("key", "items", F.explode("items").alias("anchor")).join(index, "anchor")
-    return met.filter(F.forall("wanted", lambda tokens_: F.arrays_overlap(tokens_, "items"))).select("key", "rule")
+    met = sets.select("key", "items", *keep, F.explode("items").alias("anchor")).join(index, "anchor")
+    return met.filter(F.forall("wanted", lambda tokens_: F.arrays_overlap(tokens_, "items"))).select("key", "rule", *keep)
 
 
 def likelihood_ratio(n: Column, bad: Column, total: int, guilty: int) -> Column:
@@ -132,7 +132,7 @@ def together(sets: DataFrame, single: DataFrame, least: int) -> DataFrame:
     found = cut_lineage(found.withColumn("rule", F.array_join("names", " ")))
     rarest = found.select("rule", F.explode("names").alias("token")).join(single.select("token", "n"), "token").groupBy("rule").agg(F.min(F.struct("n", "token"))["token"].alias("anchor"))
     held = found.join(rarest, "rule").select("rule", F.array("anchor").alias("anchors"), F.transform("names", lambda x: F.array(x)).alias("items"), "bad")
-    n = match(sets, held).join(sets.select("key", "n"), "key").groupBy("rule").agg(F.sum("n").alias("n"))
+    n = match(sets, held, "n").groupBy("rule").agg(F.sum("n").alias("n"))
     return held.join(n, "rule").select(none.columns)
 
 
