@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import expressions as E
-from evidentia.operators import pairs, ranking
+from evidentia.operators import pairs, ranking, strings
 
 #: Kinds of expressions that are compared with all, and within one topic.
 ALL_KINDS, PREDICTED = ("prediction", "correction", "key_equation", "mapping"), ("prediction", "correction")
@@ -104,10 +104,11 @@ def claimed(pairs_: DataFrame, claims: DataFrame, members: str, said: str, least
 
 
 def first_containing(asked: DataFrame, items: DataFrame, key: str, text: str, item: str, name: str) -> DataFrame:
-    """(key, item): for each text the first item whose name contains it or is contained in it, but for case; ``items`` is a bounded dimension."""
-    low, other = F.lower(text), F.lower(name)
-    met = asked.join(items, other.contains(low) | low.contains(other))
-    return met.groupBy(key).agg(F.min(item).alias(item))
+    """(key, item): for each text the first item whose name contains it or is contained in it, but for case; texts without any are absent."""
+    firsts = items.groupBy(F.lower(name).alias("_name")).agg(F.min(item).alias("_item"))
+    said = asked.select(F.col(key), F.lower(text).alias("_said"))
+    best = strings.substring_join(said, firsts, "_said", "_name").join(firsts, "_name").groupBy("_said").agg(F.min("_item").alias("_item"))
+    return said.join(best, "_said").groupBy(key).agg(F.min("_item").alias(item))
 
 
 def verified_conjectures(conjectures: DataFrame, flags: DataFrame, key: str = "id") -> DataFrame:

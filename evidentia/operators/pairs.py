@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidentia.operators import strings
+
 
 def cross_group_pairs(df: DataFrame, item: str, group: str, topic: Sequence[str], same_group: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Pairs of items of one topic, smaller id first, of different groups unless ``same_group``.
@@ -42,8 +44,12 @@ def last_before(events: DataFrame, by: Sequence[str], order: Sequence[str], is_h
 
 
 def contained_keys(keys: DataFrame, items: DataFrame, key: str, name: str) -> DataFrame:
-    """Pairs where the key occurs in the name or the name's last path part in the key; ``keys`` is a bounded dimension."""
-    return keys.join(items, F.col(name).contains(F.col(key)) | F.col(key).contains(F.substring_index(name, "/", -1)))
+    """Rows of both tables where the key occurs in the name or the name's last path part in the key; by an index of grams, not by all pairs."""
+    last = F.substring_index(name, "/", -1)
+    parts = items.select(F.col(name), last.alias("_last")).distinct()
+    within = strings.contained(parts, keys, "_last", key).join(parts, "_last").select(key, name)
+    found = strings.contained(keys, items, key, name).unionByName(within).distinct()
+    return keys.join(found, key).join(items, name)
 
 
 def class_of(members: str) -> Column:

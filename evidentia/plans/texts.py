@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions import latex, text as X
+from evidentia.operators import strings as S
 from evidentia.plans.registry import known, query, table
 
 NUMBERS = ["d_s = 2", "value ≈ 1.98 here", "it gives -1.5 overall", "the ratio 3/2 holds", "no number", "x = . y 7/4", "equals 4", "→ −3"]
@@ -165,5 +166,30 @@ def search_queries(spark: SparkSession, d: str) -> DataFrame:
     )
 )
 def fuzzy_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """The part name most like each of a few texts, if half alike; text similarity needs Python, on distinct names only."""
-    return X.best_match(table(spark, d, "part"), "p_name", ["smal rng", "blue bolts", "zzzz", "hot gear"])
+    """The part name most like each of a few texts, if half alike; of names as much alike, the first by key."""
+    asked = strings(spark, ["smal rng", "blue bolts", "zzzz", "hot gear"])
+    found = S.best_alike(asked, table(spark, d, "part"), "text", "p_name", "p_partkey")
+    return asked.join(found, "text").select("id", "p_name", F.round("ratio", 6).alias("ratio"))
+
+
+#: The name that a page's host has below its domain.
+HOST = r"://(?:[^/?#]*\.)?([^./?#]+)\.example\."
+
+
+def hosts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.regexp_extract("url", HOST, 1).alias("host")).filter("host <> ''").distinct()
+
+
+@query(f"""
+with h as (select distinct regexp_extract(url, '{HOST}', 1) as host from pages) select distinct host, url from h join pages on contains(url, host) or contains(host, url) where host <> ''
+""")
+def substring_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every host's name with every url that names it, or is within it."""
+    return S.substring_join(hosts(spark, d), table(spark, d, "pages"), "host", "url")
+
+
+@query()
+def fuzzy_join(spark: SparkSession, d: str) -> DataFrame:
+    """For every host's name the benchmark word most like it, 0.6 at least; only Python can tell the ratio, so tests hold it against all pairs."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
+    return S.best_alike(hosts(spark, d), words, "host", "word", least=0.6)
