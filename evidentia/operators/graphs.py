@@ -4,10 +4,24 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def files_of(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's path and file system of a place."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut_lineage`` wrote and nothing reads any more; leaves others alone."""
+    for df in tables:
+        if hasattr(df, "_written"):
+            where, system = files_of(df.sparkSession, df._written)
+            system.delete(where, True)
+
+
 def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` written in the folder that executors share (the session's checkpoint folder; the warehouse where that is unset and the session is one process) and read again.
 
@@ -21,12 +35,10 @@ def cut_lineage(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame
         folder = spark.conf.get("spark.sql.warehouse.dir")
     path = f"{folder}/evidentia/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    files = lambda p: (where := spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p), where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
-    where, system = files(path)
+    where, system = files_of(spark, path)
     system.deleteOnExit(where)
-    if instead_of is not None and hasattr(instead_of, "_written"):
-        where, system = files(instead_of._written)
-        system.delete(where, True)
+    if instead_of is not None:
+        drop(instead_of)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out
@@ -89,21 +101,29 @@ def bridge_scores(tags: DataFrame, edges: DataFrame, node: str, tag: str, source
     return best.groupBy(F.col("_n").alias(node)).agg(F.sum("_w").alias("score"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, node: str, source: str = "src", target: str = "dst", alpha: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(node, rank) after a fixed number of rounds; rank of nodes without edges out is spread over all. Each round reads the last one twice, so each is written."""
+def pagerank(nodes: DataFrame, edges: DataFrame, node: str, source: str = "src", target: str = "dst", alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """(node, rank): rank flows along edges until the ranks of all nodes together change by less than ``tolerance`` in a round, at most for ``rounds`` rounds.
+
+    Rank of nodes without edges out is spread over all. Repeated nodes and edges count once; nulls, and edges
+    from or to what is no node, take no part; of no nodes nothing comes out. A round reads the last one's table,
+    which goes when the next is written. A node with very many edges out sends by a broadcast of its share,
+    and what many send to one node is summed before it is shuffled.
+    """
+    every = cut_lineage(nodes.select(F.col(node).alias("v")).filter("v is not null").distinct())
+    n = every.count()
+    known = lambda df, end: df.join(every.select(F.col("v").alias(end)), end, "left_semi")
     # Every round reads the edges, so they are worked out once.
-    links = cut_lineage(edges.select(F.col(source).alias("s"), F.col(target).alias("d")).distinct())
+    links = cut_lineage(known(known(edges.select(F.col(source).alias("s"), F.col(target).alias("d")), "s"), "d").select("s", "d").distinct())
     out = links.groupBy("s").agg(F.count("*").alias("out"))
-    n = nodes.count()
-    ranks = nodes.select(F.col(node).alias("v"), F.lit(1.0 / max(1, n)).alias("r"))
-    ends = nodes.select(F.col(node).alias("v")).join(out, F.col("v") == F.col("s"), "left").select("v", "out")
-    for _ in range(rounds):
-        now = ranks.join(ends, "v")
-        lost = now.agg((F.coalesce(F.sum(F.when(F.col("out").isNull(), F.col("r"))), F.lit(0.0)) / n).alias("lost"))
-        sent = now.join(links, F.col("v") == F.col("s")).groupBy("d").agg(F.sum(F.col("r") / F.col("out")).alias("got"))
-        base = nodes.select(F.col(node).alias("v")).join(F.broadcast(lost))
-        ranks = base.join(sent, F.col("v") == F.col("d"), "left").select("v", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost"))).alias("r"))
-        ranks = cut_lineage(ranks)
+    ranks = cut_lineage(every.join(out, F.col("v") == F.col("s"), "left").select("v", "out", F.lit(1.0 / max(1, n)).alias("r"), F.lit(0.0).alias("moved")))
+    for _ in range(rounds if n else 0):
+        lost = (ranks.filter("out is null").agg(F.sum("r")).first()[0] or 0.0) / n
+        share = ranks.filter("out is not null").select(F.col("v").alias("s"), "out", (F.col("r") / F.col("out")).alias("share"))
+        sent = join_counted(links, share, "s", "out").groupBy(F.col("d").alias("v")).agg(F.sum("share").alias("got"))
+        new = F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.lit(lost))
+        ranks = cut_lineage(ranks.join(sent, "v", "left").select("v", "out", new.alias("r"), F.abs(new - F.col("r")).alias("moved")), ranks)
+        if ranks.agg(F.sum("moved")).first()[0] < tolerance:
+            break
     return ranks.select(F.col("v").alias(node), F.col("r").alias("rank"))
 
 
@@ -128,18 +148,23 @@ def components(edges: DataFrame, source: str = "src", target: str = "dst") -> Da
     """(node, component): the smallest node that each node's edges reach, by labels that spread and jump until none changes; nodes of any ordered type.
 
     The number of rounds is logarithmic for all but long thin paths, whose labels halve their distance each round.
+    A node with very many edges, and a label that very many nodes have, are joined without one task
+    that gathers their rows; a round's tables go when the next ones are written.
     """
     both = cut_lineage(edges.select(F.col(source).alias("u"), F.col(target).alias("v")).unionAll(edges.select(F.col(target).alias("u"), F.col(source).alias("v"))).filter("u is not null and v is not null").distinct())
-    labels = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("l"), F.lit(True).alias("new"))
-    while True:
-        labels = cut_lineage(labels)
-        if labels.filter("new").isEmpty():
-            return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))
-        labels = labels.drop("new")
-        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
-        spread = labels.join(near, "u").select("u", "l", F.least("l", "n").alias("n"))
+    # Edges go both ways, so as many rows end in a node as start from it.
+    labels = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("l"), "n", F.lit(True).alias("new")))
+    while not labels.filter("new").isEmpty():
+        near = join_counted(both, labels.select(F.col("u").alias("v"), "l", "n"), "v", "n").groupBy("u").agg(F.min("l").alias("m"))
+        spread = labels.join(near, "u").select("u", "l", "n", F.least("l", "m").alias("m"))
         # The root that a node hung on takes the node's new label, then labels jump to their label's label.
-        hooked = spread.groupBy("l").agg(F.min("n").alias("h")).select(F.col("l").alias("u"), "h")
-        new = spread.join(hooked, "u", "left").select("u", F.col("l").alias("was"), F.least("n", F.coalesce("h", "n")).alias("l"))
-        jumped = new.join(new.select(F.col("u").alias("l"), F.col("l").alias("j")), "l", "left").select("u", "was", F.least("l", F.coalesce("j", "l")).alias("l"))
-        labels = jumped.select("u", "l", (F.col("l") != F.col("was")).alias("new"))
+        hooked = spread.groupBy("l").agg(F.min("m").alias("h")).select(F.col("l").alias("u"), "h")
+        moved = cut_lineage(spread.join(hooked, "u", "left").select("u", "n", F.col("l").alias("was"), F.least("m", F.coalesce("h", "m")).alias("l")))
+        held = moved.groupBy("l").agg(F.count("*").alias("k"))
+        target_of = cut_lineage(moved.select(F.col("u").alias("l"), F.col("l").alias("j")).join(held, "l"))
+        last = cut_lineage(join_counted(moved, target_of, "l", "k", "left").select("u", F.least("l", F.coalesce("j", "l")).alias("l"), "n", "was"), labels)
+        drop(moved, target_of)
+        labels = last.select("u", "l", "n", (F.col("l") != F.col("was")).alias("new"))
+        labels._written = last._written
+    drop(both)
+    return labels.select(F.col("u").alias("node"), F.col("l").alias("component"))

@@ -35,13 +35,32 @@ def _rounds() -> str:
 
 @query(f"with {TRADE}, e as (select distinct src as s, dst as d from trade), o as (select s, count(*) as k from e group by s), {_rounds()} select v as n_nationkey, round(r, 9) as rank from r{ROUNDS}")
 def pagerank(spark: SparkSession, d: str) -> DataFrame:
-    out = graphs.pagerank(table(spark, d, "nation").select("n_nationkey"), trade_edges(spark, d), "n_nationkey", rounds=ROUNDS)
+    out = graphs.pagerank(table(spark, d, "nation").select("n_nationkey"), trade_edges(spark, d), "n_nationkey", rounds=ROUNDS, tolerance=0.0)
     return out.withColumn("rank", F.round("rank", 9))
 
 
+#: Rounds of the SQL below; its ranks then stand still to the eleventh digit.
+STILL = 150
+
+
+@query(f"""
+with recursive l as (select distinct o_custkey % 97 as s, o_orderkey % 89 + 20 as d from orders where o_orderkey % 7 = 0), v as (select s as v from l union select d from l), o as (select s, count(*) as k from l group by s),
+r(i, v, r) as (select 0, v, 1.0::double / (select count(*) from v) from v union all
+select i + 1, v, 0.15 / count(*) over () + 0.85 * (got + sum(case when ends then r else 0 end) over () / count(*) over ()) from (
+select any_value(x.i) as i, x.v, any_value(x.r) as r, any_value(x.ends) as ends, coalesce(sum(p.r / p.k), 0) as got from (select r.*, o.k is null as ends from r left join o on o.s = r.v) x
+left join (select l.d, r.r, o.k from l join r on r.v = l.s join o on o.s = l.s) p on p.d = x.v where x.i < {STILL} group by x.v))
+select v as node, round(r, 8) as rank from r where i = {STILL}
+""")
+def pagerank_converged(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks of a graph with dead ends, drawn from the keys of orders, by rounds until they stand still."""
+    edges = table(spark, d, "orders").filter("o_orderkey % 7 = 0").select((F.col("o_custkey") % 97).alias("src"), (F.col("o_orderkey") % 89 + 20).alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return graphs.pagerank(nodes, edges, "node", tolerance=1e-12, rounds=200).withColumn("rank", F.round("rank", 8))
+
+
 @query(f"with {TRADE}, e as (select distinct src as s, dst as d from trade), o as (select s, count(*) as k from e group by s), {_rounds()} select v as n_nationkey, round(r, 9) as rank from r{ROUNDS} join nation on n_nationkey = v where n_regionkey < 3 order by r desc, v limit 5")
 def most_influential(spark: SparkSession, d: str) -> DataFrame:
-    ranks = graphs.pagerank(table(spark, d, "nation").select("n_nationkey"), trade_edges(spark, d), "n_nationkey", rounds=ROUNDS)
+    ranks = graphs.pagerank(table(spark, d, "nation").select("n_nationkey"), trade_edges(spark, d), "n_nationkey", rounds=ROUNDS, tolerance=0.0)
     return graphs.most_influential(ranks, "rank", "n_nationkey", 5, table(spark, d, "nation").filter("n_regionkey < 3")).withColumn("rank", F.round("rank", 9))
 
 
