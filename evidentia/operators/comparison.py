@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import expressions as E
 from evidentia.operators import pairs, ranking, strings
+from evidentia.operators.graphs import cut_lineage, join_counted
 
 #: Kinds of expressions that are compared with all, and within one topic.
 ALL_KINDS, PREDICTED = ("prediction", "correction", "key_equation", "mapping"), ("prediction", "correction")
@@ -55,13 +56,58 @@ def novel_matches(matches: DataFrame, items: DataFrame, citations: DataFrame, it
     ``items`` has (item, paper, group); ``citations`` has (src, dst). Matches of items without a paper go.
     """
     side = lambda s: items.select(F.col(item).alias(f"{item}_{s}"), F.col(paper).alias(f"paper_{s}"), F.col(group).alias(f"group_{s}"))
-    rows = matches.join(side("a"), f"{item}_a").join(side("b"), f"{item}_b").filter("group_a <> group_b and paper_a is not null and paper_b is not null")
-    low, high = F.least("paper_a", "paper_b"), F.greatest("paper_a", "paper_b")
-    first = F.row_number().over(Window.partitionBy("low", "high").orderBy(F.desc("score"), f"{item}_a", f"{item}_b"))
-    rows = rows.withColumn("low", low).withColumn("high", high).withColumn("_first", first).filter("_first = 1")
+    return best_of_papers(matches.join(side("a"), f"{item}_a").join(side("b"), f"{item}_b"), citations, item)
+
+
+def novel_topic_matches(items: DataFrame, citations: DataFrame, item: str, paper: str, group: str, topic: Sequence[str], score: Column) -> DataFrame:
+    """The same rows where all items of one topic match, with a ``score`` that follows from the topic's columns; without forming all of a topic's pairs."""
+    firsts = cut_lineage(first_items(items, item, paper, group, topic))
+    side = lambda s: firsts.select(*topic, F.col(item).alias(f"{item}_{s}"), F.col(paper).alias(f"paper_{s}"), F.col(group).alias(f"group_{s}"))
+    met = side("a").join(side("b"), list(topic)).filter(F.col(f"{item}_a") < F.col(f"{item}_b"))
+    return best_of_papers(met.withColumn("score", score), citations, item)
+
+
+def first_items(items: DataFrame, item: str, paper: str, group: str, topic: Sequence[str]) -> DataFrame:
+    """Items (topic, item, paper, group) of which the first pair (smaller item first) of any two papers in a topic is made, if groups and items must differ.
+
+    A pair comes no later if one side gives way to the paper's first item that still differs from
+    the other. So of each paper its first item is enough, with its first of another group; only if
+    an item stands in several rows of a topic, the first ones of another item are needed too.
+    """
+    of = [*topic, paper]
+    rows = items.select(*of, group, item).filter(" and ".join(f"{c} is not null" for c in (*of, group, item)))
+    some = cut_lineage(rows.groupBy(*of, group).agg(F.min(item).alias(item)))
+    repeated = not some.groupBy(*topic, item).agg(F.count("*").alias("_n")).filter("_n > 1").isEmpty()
+    if repeated:
+        later = rows.join(some.withColumnRenamed(item, "_i"), [*of, group]).filter(F.col(item) > F.col("_i")).groupBy(*of, group).agg(F.min(item).alias(item))
+        some = cut_lineage(some.unionByName(later))
+    one = F.struct(F.col(item).alias("i"), F.col(group).alias("g"))
+    least = lambda name, ok: F.min(F.when(ok, one)).alias(name)
+    other_group, other_item = lambda y: F.col(group) != F.col(f"{y}.g"), lambda y: F.col(item) != F.col(f"{y}.i")
+    kept = some.groupBy(*of).agg(F.min(one).alias("_1"))
+    kept = some.join(kept, of).groupBy(*of).agg(F.first("_1").alias("_1"), least("_2", other_group("_1")), least("_3", other_item("_1")))
+    names = ["_1", "_2"]
+    if repeated:
+        kept = some.join(kept, of).groupBy(*of).agg(*(F.first(y).alias(y) for y in ("_1", "_2", "_3")), least("_4", other_group("_1") & other_item("_2")), least("_5", other_item("_1") & other_group("_3")))
+        names += ["_3", "_4", "_5"]
+    each = kept.select(*of, F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("_y"))
+    return each.select(*of, F.col("_y.i").alias(item), F.col("_y.g").alias(group))
+
+
+def best_of_papers(rows: DataFrame, citations: DataFrame, item: str) -> DataFrame:
+    """Of matches with papers and groups, those of different groups whose papers don't cite each other, the best of each pair of papers, best first.
+
+    The best score comes first, by partial maxima, so that only matches that have it are sorted.
+    """
+    ids = [f"{item}_a", f"{item}_b"]
+    rows = rows.filter("group_a <> group_b and paper_a is not null and paper_b is not null")
+    rows = rows.select(F.struct(F.least("paper_a", "paper_b").alias("low"), F.greatest("paper_a", "paper_b").alias("high")).alias("_pair"), "score", *ids, "group_a", "group_b")
+    best = cut_lineage(rows.groupBy("_pair").agg(F.max("score").alias("_best"), F.count("*").alias("_n")))
+    near = join_counted(rows, best, "_pair", "_n").filter(F.col("score").eqNullSafe(F.col("_best")))
+    out = near.groupBy("_pair", "score").agg(F.min(F.struct(*ids, "group_a", "group_b")).alias("_first")).select("_pair.low", "_pair.high", "score", "_first.*")
     cited = citations.select(F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high")).distinct()
-    out = rows.join(cited, ["low", "high"], "left_anti")
-    return out.select(f"{item}_a", f"{item}_b", "group_a", "group_b", F.col("low").alias("paper_low"), F.col("high").alias("paper_high"), "score").orderBy(F.desc("score"), f"{item}_a", f"{item}_b")
+    out = out.join(cited, ["low", "high"], "left_anti")
+    return out.select(*ids, "group_a", "group_b", F.col("low").alias("paper_low"), F.col("high").alias("paper_high"), "score").orderBy(F.desc("score"), *ids)
 
 
 def droppable(df: DataFrame, text: str, status: str, score: str, least: float = 0.3, most: int = 10) -> DataFrame:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -474,3 +475,35 @@ def test_gap_rows(spark):
     got = evidence.gap_rows(df, "t", "g").groupBy("t").agg(F.count("*").alias("n"), F.count_if(F.col("g").isin(3, n - 1)).alias("m"), F.min("g").alias("low"), F.max("g").alias("high")).collect()
     assert {tuple(r) for r in got} == {("b", n - 2, 0, 0, n - 2), ("c", n, 2, 0, n - 1)}
     assert evidence.gap_rows(df.limit(0), "t", "g").count() == 0
+
+
+def novel_brute(items, cited):
+    best = {}
+    for i, p, g, t in items:
+        for j, q, h, u in items:
+            if t == u and t is not None and i < j and g != h and p is not None and q is not None:
+                at, way = (min(p, q), max(p, q)), (-t, i, j)
+                best[at] = min(best.get(at, way), way)
+    return {(at, way) for at, way in best.items() if at not in cited and at[::-1] not in cited}
+
+
+@pytest.mark.parametrize("ids", [10_000, 25])
+def test_novel_matches_of_a_topic(spark, ids):
+    """Equal to all pairs of a topic, also where an item stands in several rows; through both ways."""
+    rng = random.Random(ids)
+    keys = rng.sample(range(ids), 150) if ids > 150 else [rng.randrange(ids) for _ in range(150)]
+    items = [(i, rng.choice([*range(6), None]), rng.choice("abc"), rng.choice([1, 2, None])) for i in keys]
+    cited = {(1, 2), (4, 0), (3, 3)}
+    df, cites = spark.createDataFrame(items, "id int, paper int, g string, t int"), spark.createDataFrame([*cited], "src int, dst int")
+    told = lambda out: {((r.paper_low, r.paper_high), (-r.score, r.id_a, r.id_b)) for r in out.collect()}
+    want = novel_brute(items, cited)
+    assert told(comparison.novel_topic_matches(df, cites, "id", "paper", "g", ["t"], F.col("t"))) == want and want
+    if ids > 150:
+        matches = df.alias("a").join(df.alias("b"), "t").filter("a.id < b.id").select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), F.col("t").alias("score"))
+        assert told(comparison.novel_matches(matches, df.select("id", "paper", "g"), cites, "id", "paper", "g")) == want
+
+
+def test_novel_matches_form_few_pairs(spark):
+    """One topic of many items: no more of them meet than papers ask for."""
+    df = spark.range(20_000).select("id", (F.col("id") % 4).alias("paper"), (F.col("id") % 7).alias("g"), F.lit(1).alias("t"))
+    assert comparison.first_items(df, "id", "paper", "g", ["t"]).count() == 8
