@@ -119,6 +119,5 @@ pass as (select 0::bigint as pos, null::bigint as vec_id, null::bigint as leader
 select vec_id, leader from pass where pos > 0
 """)
 def vector_leaders(spark: SparkSession, d: str) -> DataFrame:
-    """Vectors in order, each with the first earlier leader of cosine 0.35 or more, or itself; by rounds, where the SQL goes one by one."""
-    rows = table(spark, d, "embeddings")
-    return leaders.leaders(rows, vectors.similar_pairs(rows, "vec_id", "embedding", 0.35).select("vec_id_a", "vec_id_b"), "vec_id")
+    """Vectors in order, each with the first earlier leader of cosine 0.35 or more, or itself; by rounds of many, where the SQL goes one by one."""
+    return leaders.vector_leaders(table(spark, d, "embeddings"), "vec_id", "embedding", 0.35)
