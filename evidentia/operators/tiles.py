@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.operators.graphs import cut_lineage, join_counted
 
 #: Vectors whose distances bound those of tiles; a sample of this size.
 PIVOTS = 16
+#: Files of tiles at most.
+FILES = 1000
 
 
-def unpack(row: pd.Series, n: int) -> np.ndarray:
+def unpack(row: pd.Series | dict, n: int) -> np.ndarray:
     return np.frombuffer(row["data"]).reshape(n, -1)
 
 
@@ -24,11 +27,18 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([((y - r) ** 2).sum(1) for r in x])) if len(x) else np.zeros((0, len(y)))
 
 
+def least_distance(i: str, j: str) -> Column:
+    """A lower bound of the distances between two tiles' vectors, from their distances to the pivots (low_i, high_i, low_j, high_j)."""
+    gap = F.zip_with(F.zip_with(f"low_{i}", f"high_{j}", lambda x, y: x - y), F.zip_with(f"low_{j}", f"high_{i}", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    # What rounding may take from a bound.
+    return F.greatest(F.array_max(gap) - 1e-9 * F.greatest(F.lit(1.0), F.array_max(f"high_{i}"), F.array_max(f"high_{j}")), F.lit(0.0))
+
+
 class Tiles:
     """Vectors of blocks in tiles of about ``tile``: ``packed`` has (tile, block, ids, data) and ``pairs`` (i, j, least), tiles of a block with a lower bound of their distances."""
 
-    def __init__(self, df: DataFrame, block: str | None, item: str, vector: str, tile: int, tag: str | None = None) -> None:
-        """``tag`` names a column that is packed beside the ids, as text; without ``block`` all rows are one."""
+    def __init__(self, df: DataFrame, block: str | None, item: str, vector: str, tile: int, tag: str | None = None, spread: bool = False) -> None:
+        """``tag`` names a column that is packed beside the ids, as text; without ``block`` all rows are one; ``spread`` writes tiles to as many files, up to FILES."""
         real = F.transform(vector, lambda x: x.cast("double"))
         fine = F.col(item).isNotNull() & (F.size(vector) > 0) & F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         key = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("")) if block else F.lit("")
@@ -41,18 +51,22 @@ class Tiles:
         sizes = cut_lineage(celled.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / tile)))
         placed = join_counted(celled, sizes, "cell", "n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
+        placed = placed.select("cell", "part", "block", "id", "v", "tag", "away")
+        if spread:
+            placed = placed.repartition(min(FILES, sizes.agg(F.sum("parts")).first()[0] or 1), "cell", "part")
+
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id")
             far = np.stack(frame["away"].to_numpy())
             return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["id"].to_numpy()], "tags": [frame["tag"].to_numpy() if tag else None], "data": [np.stack(frame["v"].to_numpy()).tobytes()], "low": [far.min(0)], "high": [far.max(0)]})
 
         kinds = "block string, ids array<long>, tags array<string>, data binary, low array<double>, high array<double>"
-        self.packed = cut_lineage(placed.select("cell", "part", "block", "id", "v", "tag", "away").groupBy("cell", "part").applyInPandas(pack, kinds).withColumn("tile", F.monotonically_increasing_id()))
-        side = lambda name: self.packed.select("block", F.col("tile").alias(name), F.struct("low", "high").alias(f"of_{name}"))
-        gap = F.zip_with(F.zip_with("of_i.low", "of_j.high", lambda x, y: x - y), F.zip_with("of_j.low", "of_i.high", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
-        # What rounding may take from a bound.
-        least = F.greatest(F.array_max(gap) - 1e-9 * F.greatest(F.lit(1.0), F.array_max("of_i.high"), F.array_max("of_j.high")), F.lit(0.0))
-        self.pairs = cut_lineage(side("i").join(side("j"), "block").filter("i <= j").select("block", "i", "j", least.alias("least")))
+        self.packed = cut_lineage(placed.groupBy("cell", "part").applyInPandas(pack, kinds).withColumn("tile", F.monotonically_increasing_id()))
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        side = lambda name: self.packed.select("block", F.col("tile").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("low", "high")))
+        return cut_lineage(side("i").join(side("j"), "block").filter("i <= j").select("block", "i", "j", least_distance("i", "j").alias("least")))
 
     def share(self, pairs: DataFrame) -> tuple[int, int]:
         """How many pairs of items the tiles of ``pairs`` make, and all that there are."""
@@ -73,6 +87,27 @@ class Tiles:
         tasks = max(8, min(20_000, pairs.count()))  # the work is no matter of bytes
         return both.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(run, schema)
 
+    def met_near(self, most: float | None, work: Callable[[dict, dict, bool], pd.DataFrame], schema: str) -> DataFrame:
+        """The same for all pairs of tiles of a block whose bound is ``most`` or less, all of them without it.
+
+        Tasks read the tiles of two partitions from the written table, so that no tile is shuffled, however many others it meets.
+        """
+        names = ("ids", "tags", "data")
+        side = lambda s: self.packed.select(*(F.col(c).alias(f"{c}_{s}") for c in ("block", "tile", "low", "high", *names)))
+        i, j = F.col("tile_i"), F.col("tile_j")
+        # Each pair once, in either order, so that all tasks have about as many.
+        once = (i == j) | ((i < j) == (F.xxhash64(F.least(i, j), F.greatest(i, j)) % 2 == 0)) & (i != j)
+        near = F.lit(True) if most is None else least_distance("i", "j") <= most
+        both = side("i").join(side("j").hint("shuffle_replicate_nl"), (F.col("block_i") == F.col("block_j")) & once & near)
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    a, b = ({c: row[f"{c}_{s}"] for c in names} for s in "ij")
+                    yield work(a, b, row["tile_i"] == row["tile_j"])
+
+        return both.select("tile_i", "tile_j", *(f"{c}_{s}" for c in names for s in "ij")).mapInPandas(run, schema)
+
     def cores(self, min_samples: int) -> DataFrame:
         """(id, core): the distance to the ``min_samples``-th neighbour, the item itself being the first; with too few the last one counts.
 

@@ -41,5 +41,23 @@ def test_high_thresholds_compare_few(spark):
     assert share(-1.0) == (every, every)
 
 
+def test_tiles_are_not_shuffled_to_meet(spark):
+    """What is shuffled would grow with the square of the tiles."""
+    x = np.random.default_rng(5).normal(0, 1, (300, 6))
+    got = vectors.similar_pairs(table(spark, x), "id", "v", 0.5, block=20)
+    assert got.count() == len(brute(x, 0.5))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [7, 65_536])
+def test_bounds_in_double_precision(most):
+    """Cosines next to a bound are told apart where single precision can't."""
+    angles = np.arange(2000) * 1e-9 + 1
+    x, y = np.array([[1.0, 0.0]]), np.stack([np.cos(angles), np.sin(angles)], 1)
+    low, high = y[1500, 0], y[200, 0]
+    i, j, c = vectors.in_band(x, y, low, high, most)
+    assert not i.any() and j.tolist() == list(range(201, 1501)) and (c == y[201:1501, 0]).all()
+
+
 def test_no_vectors(spark):
     assert vectors.similar_pairs(table(spark, np.zeros((0, 3))), "id", "v", 0.5).count() == 0
