@@ -32,6 +32,8 @@ def word_vectors(df: DataFrame, item: str, text: str, dims: int = 64) -> DataFra
 
 def like_each_other(df: DataFrame, item: str, text: str, low: float, dims: int = 64) -> DataFrame:
     """Pairs (item_a, item_b, cosine) of texts whose word vectors have a cosine of ``low`` or more."""
+    from evidentia.operators.graphs import cut_lineage
     from evidentia.operators.vectors import similar_pairs
 
-    return similar_pairs(word_vectors(df, item, text, dims), item, "vector", low)
+    # Vectors are read more than once.
+    return similar_pairs(cut_lineage(word_vectors(df, item, text, dims)), item, "vector", low)

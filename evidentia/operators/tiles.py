@@ -7,6 +7,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from evidentia.operators.graphs import cut_lineage, join_counted
 
 #: Vectors whose distances bound those of tiles; a sample of this size.
 PIVOTS = 16
-#: Files of tiles at most.
-FILES = 1000
+#: Tiles of a file, about, and files at most.
+TILES, FILES = 4, 1000
 
 
 def unpack(row: pd.Series | dict, n: int) -> np.ndarray:
@@ -37,8 +38,8 @@ def least_distance(i: str, j: str) -> Column:
 class Tiles:
     """Vectors of blocks in tiles of about ``tile``: ``packed`` has (tile, block, ids, data) and ``pairs`` (i, j, least), tiles of a block with a lower bound of their distances."""
 
-    def __init__(self, df: DataFrame, block: str | None, item: str, vector: str, tile: int, tag: str | None = None, spread: bool = False) -> None:
-        """``tag`` names a column that is packed beside the ids, as text; without ``block`` all rows are one; ``spread`` writes tiles to as many files, up to FILES."""
+    def __init__(self, df: DataFrame, block: str | None, item: str, vector: str, tile: int, tag: str | None = None) -> None:
+        """``tag`` names a column that is packed beside the ids, as text; without ``block`` all rows are one."""
         real = F.transform(vector, lambda x: x.cast("double"))
         fine = F.col(item).isNotNull() & (F.size(vector) > 0) & F.forall(real, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         key = F.coalesce(F.concat(F.lit("="), F.col(block).cast("string")), F.lit("")) if block else F.lit("")
@@ -51,17 +52,13 @@ class Tiles:
         sizes = cut_lineage(celled.groupBy("cell").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / tile)))
         placed = join_counted(celled, sizes, "cell", "n").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
 
-        placed = placed.select("cell", "part", "block", "id", "v", "tag", "away")
-        if spread:
-            placed = placed.repartition(min(FILES, sizes.agg(F.sum("parts")).first()[0] or 1), "cell", "part")
-
         def pack(frame: pd.DataFrame) -> pd.DataFrame:
             frame = frame.sort_values("id")
             far = np.stack(frame["away"].to_numpy())
             return pd.DataFrame({"block": frame["block"].iloc[:1], "ids": [frame["id"].to_numpy()], "tags": [frame["tag"].to_numpy() if tag else None], "data": [np.stack(frame["v"].to_numpy()).tobytes()], "low": [far.min(0)], "high": [far.max(0)]})
 
         kinds = "block string, ids array<long>, tags array<string>, data binary, low array<double>, high array<double>"
-        self.packed = cut_lineage(placed.groupBy("cell", "part").applyInPandas(pack, kinds).withColumn("tile", F.monotonically_increasing_id()))
+        self.packed = cut_lineage(placed.select("cell", "part", "block", "id", "v", "tag", "away").groupBy("cell", "part").applyInPandas(pack, kinds).withColumn("tile", F.monotonically_increasing_id()))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -137,3 +134,63 @@ class Tiles:
         self.packed = cut_lineage(self.packed.join(each, "tile").withColumn("core", F.transform("all", lambda x: x["core"])).drop("all"))
         side = lambda name: self.packed.select(F.col("tile").alias(name), F.array_min("core").alias(f"core_{name}"))
         self.pairs = cut_lineage(self.pairs.join(side("i"), "i").join(side("j"), "j").withColumn("least", F.greatest("least", "core_i", "core_j")).drop("core_i", "core_j"))
+
+
+def to_unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows brought to length one, in double precision, and which rows have one, zero and infinite ones being left out."""
+    x = x.astype(float)
+    with np.errstate(over="ignore"):
+        size = np.sqrt((x * x).sum(1))
+    fine = (size > 0) & (size < np.inf)
+    return x[fine] / size[fine, None], fine
+
+
+class UnitTiles(Tiles):
+    """Vectors brought to length one, in tiles of one block. ``packed`` is all that is written; it has them as they come, in single precision if they have it.
+
+    The rows of ``df`` are read once for the pivots, twice to count and once to be packed.
+    """
+
+    def __init__(self, df: DataFrame, item: str, vector: str, tile: int, tag: str | None = None) -> None:
+        kind = np.dtype("f4" if df.schema[vector].dataType.elementType.typeName() == "float" else "f8")
+        given = F.col(vector).cast(f"array<{'float' if kind.itemsize == 4 else 'double'}>")
+        fine = F.col("id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+        rows = df.select(F.col(item).cast("long").alias("id"), (F.col(tag).cast("string") if tag else F.lit("")).alias("tag"), given.alias("v")).filter(F.coalesce(fine, F.lit(False)))
+
+        def placed(pivots: np.ndarray, parts: list[int]) -> DataFrame:
+            """(place, id, tag, data): rows by the nearest pivot, of each of which ``parts`` places are made."""
+            first = np.cumsum([0, *parts])[:-1].astype(np.uint64)
+
+            def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in filter(len, batches):
+                    if len(batch["v"].value_lengths().unique()) > 1:
+                        raise ValueError("vectors of different lengths")
+                    x = batch["v"].flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+                    unit, good = to_unit(x)
+                    ids, at = batch["id"].to_numpy()[good], np.zeros(len(unit), np.uint64)
+                    if len(pivots):
+                        cell = distances(pivots, unit).argmin(0)
+                        at = first[cell] + (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.array(parts, np.uint64)[cell]
+                    data = pa.array([v.tobytes() for v in x[good]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(ids), batch["tag"].filter(pa.array(good)), data], ["place", "id", "tag", "data"])
+
+            return rows.mapInArrow(place, "place long, id long, tag string, data binary")
+
+        every = placed(np.zeros((0, 0)), [])
+        taken = every.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("data").collect()
+        pivots = to_unit(np.stack([np.frombuffer(r.data, kind) for r in taken]))[0] if taken else np.zeros((0, 0))
+        # No more cells than tiles; rows of each are counted to cut it evenly.
+        pivots = pivots[: -(-every.count() // tile)]
+        sizes = {r.place: r["count"] for r in placed(pivots, [1] * len(pivots)).groupBy("place").count().collect()} if len(pivots) > 1 else {}
+        parts = [max(1, -(-sizes.get(i, 0) // tile)) for i in range(len(pivots))]
+
+        def pack(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("id")
+            far = distances(pivots, to_unit(np.stack([np.frombuffer(v, kind) for v in frame["data"]]))[0])
+            return pd.DataFrame({"tile": frame["place"].iloc[:1], "block": "", "ids": [frame["id"].to_numpy()], "tags": [frame["tag"].to_numpy() if tag else None], "data": [b"".join(frame["data"])], "low": [far.min(1)], "high": [far.max(1)]})
+
+        kinds = "tile long, block string, ids array<long>, tags array<string>, data binary, low array<double>, high array<double>"
+        spread = placed(pivots, parts).repartition(min(FILES, max(1, -(-sum(parts) // TILES))), "place")
+        self.packed = cut_lineage(spread.groupBy("place").applyInPandas(pack, kinds))
+        #: The vectors of a row of ``packed``.
+        self.units = lambda row: to_unit(np.frombuffer(row["data"], kind).reshape(len(row["ids"]), -1))[0]

@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
-from evidentia.operators.tiles import Tiles, unpack
+from evidentia.operators.tiles import UnitTiles
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,34 +67,26 @@ def unit_rows(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return rows[good] / size[good, None], fine
 
 
-def unit_tiles(df: DataFrame, item: str, vector: str, group: str | None = None, block: int = BLOCK) -> Tiles:
-    """Vectors of length one in packed tiles of neighbours."""
-    real = F.transform(vector, lambda x: x.cast("double"))
-    length = F.sqrt(F.aggregate(real, F.lit(0.0), lambda s, x: s + x * x))
-    unit = df.withColumn("_length", length).filter((F.col("_length") > 0) & (F.col("_length") < float("inf"))).withColumn("_unit", F.transform(vector, lambda x: x.cast("double") / F.col("_length")))
-    return Tiles(unit, None, item, "_unit", block, group, spread=True)
-
-
 def farthest(low: float) -> float | None:
     """The distance of vectors of length one that follows from their cosine, with room for rounding; None where all are within it."""
     return (2 - 2 * low) ** 0.5 + 1e-9 if low > -1 else None
 
 
-def near_tiles(df: DataFrame, item: str, vector: str, low: float, group: str | None = None, block: int = BLOCK) -> tuple[Tiles, DataFrame]:
+def near_tiles(df: DataFrame, item: str, vector: str, low: float, group: str | None = None, block: int = BLOCK) -> tuple[UnitTiles, DataFrame]:
     """Vectors of length one in packed tiles of neighbours, and the pairs of tiles that may hold a cosine of ``low`` or more.
 
     Of vectors of length one the distance follows from the cosine, so the pivots' triangle bound keeps tiles apart.
     """
-    tiles, most = unit_tiles(df, item, vector, group, block), farthest(low)
+    tiles, most = UnitTiles(df, item, vector, block, group), farthest(low)
     return tiles, tiles.pairs if most is None else tiles.pairs.filter(F.col("least") <= most)
 
 
 def in_band(x: np.ndarray, y: np.ndarray, low: float, high: float, most: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine) of rows of length one from ``low`` up to below ``high``: a product in single precision, with room for its rounding, leaves those that are worked out in double precision, ``most`` at a time."""
     room = (x.shape[1] + 8) * 2.0**-23
-    near = (c := x.astype(np.float32) @ y.astype(np.float32).T) >= low - room
-    near &= c < high + room
-    i, j = np.nonzero(near)
+    c = (x.astype(np.float32) @ y.astype(np.float32).T).ravel()
+    near = np.flatnonzero(c >= low - room)
+    i, j = np.divmod(near[c[near] < high + room], len(y))
     each = [np.einsum("ij,ij->i", x[i[at : at + most]], y[j[at : at + most]]) for at in range(0, len(i), most)]
     exact = np.concatenate([np.zeros(0), *each])
     keep = (exact >= low) & (exact < high)
@@ -108,11 +100,12 @@ def similar_pairs(df: DataFrame, item: str, vector: str, low: float, high: float
     them apart; only pairs in the band leave a task, and tiles are not shuffled to meet. ``item`` is a whole number. Rows whose vector is null, zero or not finite
     take no part; a null group is a group.
     """
-    tiles = unit_tiles(df, item, vector, group, block)
+    tiles = UnitTiles(df, item, vector, block, group)
+    units = tiles.units
 
     def compare(a: dict, b: dict, one: bool) -> pd.DataFrame:
         left, right = np.asarray(a["ids"]), np.asarray(b["ids"])
-        i, j, c = in_band(unpack(a, len(left)), unpack(b, len(right)), low, high)
+        i, j, c = in_band(units(a), units(b), low, high)
         keep = left[i] < right[j] if one else left[i] != right[j]
         if group:
             tags = pd.factorize(np.concatenate([a["tags"], b["tags"]]))[0]

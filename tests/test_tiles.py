@@ -1,5 +1,7 @@
 """Similarity joins that skip tiles, against all pairs."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -49,6 +51,25 @@ def test_tiles_are_not_shuffled_to_meet(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
+def test_vectors_are_written_once(spark):
+    """Disk holds them in tiles, as precisely as they come, and no other table of them."""
+    x = np.random.default_rng(6).normal(0, 1, (2400, 64))
+    size = lambda: sum(p.stat().st_size for p in top.rglob("*.parquet"))
+    top = Path(vectors.near_tiles(table(spark, x), "id", "v", 0.35)[0].packed._written.removeprefix("file:")).parent
+    before = size()
+    got = vectors.similar_pairs(table(spark, x), "id", "v", 0.35)
+    assert got.count() == len(brute(x, 0.35))
+    assert size() - before < 1.2 * x.size * 4
+
+
+def test_precision_is_kept(spark):
+    """Vectors of doubles are not cut to single precision."""
+    x = np.stack([np.cos(a := np.arange(40) * 1e-9 + 1), np.sin(a)], 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = vectors.similar_pairs(df.filter("id > 0").unionByName(spark.createDataFrame([(0, [1.0, 0.0])], df.schema)), "id", "v", x[20, 0], x[10, 0]).collect()
+    assert {r.id_b for r in got if r.id_a == 0} == set(range(11, 21))
+
+
 @pytest.mark.parametrize("most", [7, 65_536])
 def test_bounds_in_double_precision(most):
     """Cosines next to a bound are told apart where single precision can't."""
