@@ -84,8 +84,8 @@ class Tiles:
         tasks = max(8, min(20_000, pairs.count()))  # the work is no matter of bytes
         return both.repartition(tasks, "i", "j").groupBy("i", "j").applyInPandas(run, schema)
 
-    def met_near(self, most: float | None, work: Callable[[dict, dict, bool], pd.DataFrame], schema: str) -> DataFrame:
-        """The same for all pairs of tiles of a block whose bound is ``most`` or less, all of them without it.
+    def met_near(self, most: float | None, work: Callable[[dict, dict, bool], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """The same, in frames, for all pairs of tiles of a block whose bound is ``most`` or less, all of them without it.
 
         Tasks read the tiles of two partitions from the written table, so that no tile is shuffled, however many others it meets.
         """
@@ -101,7 +101,7 @@ class Tiles:
             for frame in frames:
                 for row in frame.to_dict("records"):
                     a, b = ({c: row[f"{c}_{s}"] for c in names} for s in "ij")
-                    yield work(a, b, row["tile_i"] == row["tile_j"])
+                    yield from work(a, b, row["tile_i"] == row["tile_j"])
 
         return both.select("tile_i", "tile_j", *(f"{c}_{s}" for c in names for s in "ij")).mapInPandas(run, schema)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 #: Vectors of a block; a task compares two blocks.
 BLOCK = 2048
+#: Pairs that leave a task together, about.
+ROWS = 65_536
 
 
 def tiles(left: DataFrame, right: DataFrame | None, key: str, vector: str, block: int = BLOCK) -> GroupedData:
@@ -81,7 +83,7 @@ def near_tiles(df: DataFrame, item: str, vector: str, low: float, group: str | N
     return tiles, tiles.pairs if most is None else tiles.pairs.filter(F.col("least") <= most)
 
 
-def in_band(x: np.ndarray, y: np.ndarray, low: float, high: float, most: int = 65_536) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def in_band(x: np.ndarray, y: np.ndarray, low: float, high: float, most: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, cosine) of rows of length one from ``low`` up to below ``high``: a product in single precision, with room for its rounding, leaves those that are worked out in double precision, ``most`` at a time."""
     room = (x.shape[1] + 8) * 2.0**-23
     c = (x.astype(np.float32) @ y.astype(np.float32).T).ravel()
@@ -101,17 +103,25 @@ def similar_pairs(df: DataFrame, item: str, vector: str, low: float, high: float
     take no part; a null group is a group.
     """
     tiles = UnitTiles(df, item, vector, block, group)
-    units = tiles.units
-
-    def compare(a: dict, b: dict, one: bool) -> pd.DataFrame:
-        left, right = np.asarray(a["ids"]), np.asarray(b["ids"])
-        i, j, c = in_band(units(a), units(b), low, high)
-        keep = left[i] < right[j] if one else left[i] != right[j]
-        if group:
-            tags = pd.factorize(np.concatenate([a["tags"], b["tags"]]))[0]
-            keep &= tags[i] != tags[len(left) + j]
-        i, j, c = i[keep], j[keep], c[keep]
-        return pd.DataFrame({"a": np.minimum(left[i], right[j]), "b": np.maximum(left[i], right[j]), "cosine": c})
+    # Where all are alike, all pairs of a step's rows are found.
+    units, step = tiles.units, max(1, 4 * ROWS // block)
+
+    def compare(a: dict, b: dict, one: bool) -> Iterator[pd.DataFrame]:
+        left, right, x, y = np.asarray(a["ids"]), np.asarray(b["ids"]), units(a), units(b)
+        tags = pd.factorize(np.concatenate([a["tags"], b["tags"]]))[0] if group else None
+        found, rows = [], 0
+        for at in range(0, len(left), step):
+            i, j, c = in_band(x[at : at + step], y, low, high)
+            i += at
+            keep = left[i] < right[j] if one else left[i] != right[j]
+            if group:
+                keep &= tags[i] != tags[len(left) + j]
+            i, j = left[i[keep]], right[j[keep]]
+            found.append((np.minimum(i, j), np.maximum(i, j), c[keep]))
+            rows += len(i)
+            if rows >= ROWS or at + step >= len(left):
+                yield pd.DataFrame(dict(zip(("a", "b", "cosine"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
+                found, rows = [], 0
 
     kind = df.schema[item].dataType.simpleString()
     found = tiles.met_near(farthest(low), compare, "a long, b long, cosine double")

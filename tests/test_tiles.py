@@ -80,5 +80,24 @@ def test_bounds_in_double_precision(most):
     assert not i.any() and j.tolist() == list(range(201, 1501)) and (c == y[201:1501, 0]).all()
 
 
+@pytest.mark.parametrize("group", [None, "g"])
+def test_copies_leave_by_and_by(spark, monkeypatch, group):
+    """Pairs of many copies leave a task a few rows at a time, and none is lost."""
+    x = np.concatenate([np.ones((30, 3)), np.random.default_rng(7).normal(0, 1, (30, 3))])
+    groups = ["ab"[i % 2] for i in range(len(x))]
+    want, sizes, met_near = brute(x, 0.9, groups=groups if group else None), [], vectors.UnitTiles.met_near
+
+    def met(self, most, work, schema):
+        tiles = self.packed.toPandas().to_dict("records")
+        sizes.extend(len(f) for i, a in enumerate(tiles) for b in tiles[i:] for f in work(a, b, a is b))
+        return met_near(self, most, work, schema)
+
+    monkeypatch.setattr(vectors, "ROWS", 10)
+    monkeypatch.setattr(vectors.UnitTiles, "met_near", met)
+    got = vectors.similar_pairs(table(spark, x, groups), "id", "v", 0.9, group=group, block=40)
+    assert sum(sizes) == len(want) and max(sizes) < 10 + 40
+    assert {(r.id_a, r.id_b) for r in got.collect()} == want.keys()
+
+
 def test_no_vectors(spark):
     assert vectors.similar_pairs(table(spark, np.zeros((0, 3))), "id", "v", 0.5).count() == 0
